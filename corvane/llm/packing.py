@@ -13,7 +13,9 @@ packed once each. An empty table gives an empty result. Other columns are not re
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import Rows, Scratch, id_and_text, rows_of
 
-#: Words whose ids a Python worker remembers; the store is emptied when it is full.
-WORD_CACHE = 400_000
-_words: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+#: Words whose ids a Python worker remembers.
+WORD_CACHE = 600_000
+_tokenizers: dict[str, tuple] = {}
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
 Pattern = tuple[list[tuple[int, int]], int]  # (length, copies) of a sequence, and how many sequences are like it
 
@@ -41,7 +43,7 @@ def public_tokenizer(name: str) -> str:
 
 
 class WordTokenizer:
-    """Ids of a text, word by word: the tokenizer splits at white space, so a word's ids do not depend on its neighbours."""
+    """Ids of a text, word by word: the tokenizer lower-cases and splits at white space, so a word's ids do not depend on its neighbours. Likewise a full stop or comma after an ASCII letter is a token of its own."""
 
     def __init__(self, path: str):
         import os
@@ -50,26 +52,51 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path)
-        self.model, self.known = _tokenizers[path], _words.setdefault(path, {})
+            _tokenizers[path] = Tokenizer.from_file(path), {}, {}
+        self.path = path
+        self.model, self.young, self.old = _tokenizers[path]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORD_CACHE:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
             for w, e in zip(part, self.model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                yield w, array("I", e.ids).tobytes()
 
-    def ids(self, words: list[bytes]) -> bytes:
-        """Packed little-endian ids."""
+    def learn(self, words: set[bytes]) -> None:
+        """Brings all these words into young. When it is full it becomes old, so words that are in use stay known."""
+        if len(self.young) + len(words) > WORD_CACHE // 2:
+            self.old, self.young = self.young, {}
+            _tokenizers[self.path] = self.model, self.young, self.old
+        young, old = self.young, self.old
+        new, ends = [], []
+        for w in words:
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+            elif w[-1:] in (b".", b",") and w[-2:-1].isalpha():
+                ends.append(w)
+            else:
+                new.append(w)
+        stems = {w[:-1] for w in ends} | {b".", b","} if ends else set()
+        for w in stems - words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        young.update(self.encode(new))
+        for w in ends:
+            young[w] = young[w[:-1]] + young[w[-1:]]
+
+    def ids(self, text: bytes) -> bytes:
+        """Packed ids in the machine's order, which is little-endian here."""
+        words = (text if b"<|" in text else text.lower()).split()  # a special token is only found as it is written
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
         except KeyError:
             self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
 
 
 def reduce_by_dominance(count: dict[int, int], capacity: int) -> list[Pattern]:
@@ -213,7 +240,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
         model, part, ranks, out = WordTokenizer(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1), Rows(schema)
         for batch in batches:
             for i, text in rows_of(batch):
-                ids = model.ids(text.split()) + end if text else end
+                ids = model.ids(text) + end if text else end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import Rows, hash_words, id_and_text, rows_of, window_hashes, words_of
 
@@ -123,6 +125,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return got.withColumn("clean_text", got["clean_text"].cast("string")) if with_text else got
 
 
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", limits: Limits = Limits()) -> DataFrame:
+    """The columns of docs for the documents that are kept, with their failing lines taken out of the text; length_col, where docs have it, follows the text."""
+    judged = docs.withColumn("_verdict", _verdict(limits)(F.col(text_col).cast("binary"))).filter("_verdict is not null")
+    names = docs.columns
+    length = {length_col: F.length("_verdict").cast(docs.schema[length_col].dataType)} if length_col in names else {}
+    return judged.withColumns(length | {text_col: F.col("_verdict")}).select(*[F.col(f"`{n}`") for n in names])
+
+
+def _verdict(limits: Limits):
+    @F.arrow_udf(T.StringType())
+    def clean(text: pa.Array) -> pa.Array:
+        """The cleaned text of a document that is kept, else null."""
+        found = (judge(t, limits) for t in text.to_pylist())
+        return pa.array([x[-1].decode("utf-8", "replace") if x[-2] else None for x in found], pa.string())
+
+    return clean
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),

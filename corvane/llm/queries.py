@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, line_dedup, packing, quality_rules
+from corvane.llm import decontamination, jaccard_join, line_dedup, packing, quality_rules
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -27,12 +27,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_runs(table(spark, sf_dir, "documents")).select("doc_id", "line_start", "line_end", "n_lines")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op7_ngram_jaccard_join, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

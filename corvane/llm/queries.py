@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, jaccard_join, line_dedup, packing, quality_rules
+from corvane.llm import decontamination, jaccard_join, line_dedup, packing, quality_rules, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -27,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_runs(table(spark, sf_dir, "documents")).select("doc_id", "line_start", "line_end", "n_lines")
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -36,8 +40,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op7_ngram_jaccard_join, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op4_warc_round_trip, op7_ngram_jaccard_join, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op4_warc_round_trip": warc.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}

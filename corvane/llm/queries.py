@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, jaccard_join, line_dedup, packing, quality_rules, warc
+from corvane.llm import decontamination, jaccard_join, katz, line_dedup, packing, quality_rules, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -39,8 +39,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_katz_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op4_warc_round_trip, op7_ngram_jaccard_join, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op4_warc_round_trip, op7_ngram_jaccard_join, op9_quality_rules, op10_katz_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, jaccard_join, katz, line_dedup, packing, quality_classifier, quality_rules, token_counts, warc
+from corvane.llm import decontamination, jaccard_join, katz, line_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, warc
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -32,6 +32,11 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that are left after false positives are removed."""
+    return secrets.secret_findings(table(spark, sf_dir, "documents")).filter("is_secret").drop("is_secret")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +58,7 @@ def op10_katz_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op4_warc_round_trip, op6_quality_classifier, op7_ngram_jaccard_join, op8_token_counts, op9_quality_rules, op10_katz_lm_scoring)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op4_warc_round_trip, op5_secret_scan, op6_quality_classifier, op7_ngram_jaccard_join, op8_token_counts, op9_quality_rules, op10_katz_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,20 +1,639 @@
-"""Named queries of the engine and the SQL that each is compared with."""
+"""Named queries of the engine over the driver's tables, each beside the DuckDB SQL that it is compared with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import text as tx
+from corvane.functions.prior import Prior
+from corvane.functions.vectors import hash_embedding
+from corvane.operators import audit, chunking, evals, graph, memory, notes, sessions, sync, vector
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with their document's source as file path and label as tenant."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "lang")
+    return table(spark, sf_dir, "embeddings").join(docs, "vec_id").select("vec_id", F.col("source").alias("file_path"), F.col("lang").alias("language"), F.col("label").alias("tenant"), "embedding")
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+_COS = "coalesce(round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), 0.0)"
+_SIM = f"SELECT e.vec_id, d.source AS file_path, d.lang AS language, e.label AS tenant, {_COS} AS similarity FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+@query(f"WITH s AS ({_SIM}), b AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY similarity DESC, vec_id) AS n FROM s) SELECT file_path, vec_id, similarity FROM b WHERE n = 1 ORDER BY similarity DESC, file_path LIMIT 10")
+def vector_topk_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector.scored(chunks(spark, sf_dir), query_vector(spark, sf_dir)).select("file_path", "vec_id", "similarity")
+    return vector.distinct_top_k(rows, 10, "file_path", "vec_id")
+
+
+@query(f"SELECT vec_id, similarity FROM ({_SIM}) ORDER BY similarity DESC, vec_id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.top_k(vector.scored(chunks(spark, sf_dir), query_vector(spark, sf_dir)).select("vec_id", "similarity"), 10, "vec_id")
+
+
+@query(f"SELECT vec_id, tenant, similarity FROM ({_SIM}) WHERE tenant = 3 AND language = 'en' ORDER BY similarity DESC, vec_id LIMIT 10")
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector.with_filters(chunks(spark, sf_dir), tenant=3).filter("language = 'en'")
+    return vector.top_k(vector.scored(rows, query_vector(spark, sf_dir)).select("vec_id", "tenant", "similarity"), 10, "vec_id")
+
+
+@query(f"SELECT vec_id, similarity FROM ({_SIM}) WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY similarity DESC, vec_id LIMIT 10")
+def vector_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    rows = vector.allowed(chunks(spark, sf_dir), ids, "vec_id")
+    return vector.top_k(vector.scored(rows, query_vector(spark, sf_dir)).select("vec_id", "similarity"), 10, "vec_id")
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
+def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return vector.batch_top_k(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 8)
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_COS} AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, id) AS n FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, CAST(label AS VARCHAR)) AS rank FROM b WHERE n = 1) SELECT query_id, id, similarity, CAST(label AS VARCHAR) AS label, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def vector_batch_topk_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return vector.batch_top_k(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, group="label")
+
+
+@query("SELECT printf('kb:code=%d:%d:doc=%d:%d', (SELECT count(*) FROM embeddings), (SELECT coalesce(max(vec_id), 0) FROM embeddings), (SELECT count(*) FROM documents), (SELECT coalesce(max(doc_id), 0) FROM documents)) AS snapshot_id")
+def snapshot_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.snapshot(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "kb")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    return vector.upsert_latest(e.limit(0), e, "user_id", "event_id").select("user_id", "event_type", "value", "event_id")
+
+
+_PATHS = "SELECT page_id, url, regexp_replace(regexp_replace(url, '^https?://', ''), '\\?.*$', '') AS path FROM pages"
+_ASK = "search index page for the playbook spec and decision tool in example org blog news test"
+
+
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "\\?.*$", "").alias("path"))
+
+
+_PRIOR = f"""
+WITH u AS ({_PATHS}), p AS (SELECT page_id, path, lower(path) AS low, string_split(lower(path), '/') AS parts, '{_ASK}' AS q FROM u),
+b AS (SELECT *, parts[len(parts)] AS base, regexp_replace(parts[len(parts)], '(.)\\.[^.]+$', '\\1') AS root FROM (SELECT page_id, path, low, q, string_split(low, '/') AS parts0, list_filter(string_split(low, '/'), lambda x: x <> '') AS parts FROM p))
+SELECT page_id, path, round(
+  CASE WHEN contains('/' || low, '/eval/fixtures/') OR contains('/' || low, '/.cursor/') OR contains('/' || low, '/__pycache__/') OR contains('/' || low, '/.venv/') THEN -0.40 ELSE 0.0 END
+  + CASE WHEN ends_with(path, '.yml') AND contains('/' || low, '/fixtures/') THEN -0.30 ELSE 0.0 END
+  + CASE WHEN ends_with(path, '/__init__.py') THEN -0.35 ELSE 0.0 END
+  + CASE WHEN contains('/' || low, 'fake_server') THEN -0.55 ELSE 0.0 END
+  + CASE WHEN ends_with(path, 'schema.py') THEN -0.15 ELSE 0.0 END
+  + CASE WHEN base = 'makefile' THEN -0.50 ELSE 0.0 END
+  + CASE WHEN starts_with(base, 'dockerfile') THEN -0.45 ELSE 0.0 END
+  + CASE WHEN contains(q, low) THEN 0.70 ELSE 0.0 END
+  + CASE WHEN contains(q, base) OR contains(q, root) THEN 0.45 ELSE 0.0 END
+  + 0.10 * len(list_filter(parts0[1:len(parts0) - 1], lambda x: length(x) >= 4 AND contains(q, x)))
+  + CASE WHEN len(parts0) >= 2 AND contains(q, parts0[len(parts0) - 1] || '/' || root) THEN 0.30 ELSE 0.0 END
+  + least(0.30, 0.08 * len(list_filter(string_split(replace(root, '_', '-'), '-'), lambda x: length(x) >= 4 AND contains(q, x))))
+  + CASE WHEN contains('/' || low, '/playbooks/') THEN 0.35 ELSE 0.0 END
+  + CASE WHEN starts_with(path, 'decisions/') THEN 0.25 ELSE 0.0 END
+  + CASE WHEN starts_with(path, 'vault/spec/') THEN 0.30 ELSE 0.0 END
+  + CASE WHEN contains('/' || low, '/tools/') THEN 0.15 ELSE 0.0 END
+  + CASE WHEN contains('/' || low, '/tests/') OR starts_with(path, 'tests/') THEN 0.20 ELSE 0.0 END, 4) AS prior
+FROM b
+"""
+
+
+@query(_PRIOR)
+def path_prior_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_paths(spark, sf_dir).select("page_id", "path", Prior().score("path", F.lit(_ASK)).alias("prior"))
+
+
+@query(f"WITH s AS ({_SIM}), b AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY similarity DESC, vec_id) AS n FROM s), t AS (SELECT file_path, vec_id, language, similarity FROM b WHERE n = 1 ORDER BY similarity DESC, file_path LIMIT 40) SELECT file_path, vec_id, round(similarity + CASE WHEN contains('please see src3 and src7', file_path) THEN 0.7 + 0.45 + CASE WHEN length(file_path) >= 4 THEN 0.08 ELSE 0 END ELSE 0 END, 6) AS similarity FROM t WHERE language = 'en' ORDER BY 3 DESC, file_path LIMIT 10")
+def search_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector.search(chunks(spark, sf_dir).drop("tenant"), "please see src3 and src7", query_vector(spark, sf_dir), 10, language="en", tie="vec_id")
+    return hits.select("file_path", "vec_id", "similarity")
+
+
+@query(f"WITH s AS ({_SIM}), b AS (SELECT *, row_number() OVER (PARTITION BY language = 'en', file_path ORDER BY similarity DESC, vec_id) AS n FROM s), m AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY CASE WHEN language = 'en' THEN 0 ELSE 1 END) AS k FROM b WHERE n = 1) SELECT file_path, vec_id, similarity FROM m WHERE k = 1 ORDER BY similarity DESC, CASE WHEN language = 'en' THEN 0 ELSE 1 END, file_path LIMIT 10")
+def search_union_code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector.scored(chunks(spark, sf_dir), query_vector(spark, sf_dir))
+    side = lambda test: vector.best_per(rows.filter(test).select("file_path", "vec_id", "similarity"), "file_path", "vec_id")
+    return vector.merged_search(side("language = 'en'"), side("language != 'en'"), 10).select("file_path", "vec_id", "similarity")
+
+
+@query("SELECT doc_id, list_transform(range(8), lambda i: (CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) - 128) / 128.0) AS embedding FROM documents")
+def fake_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", hash_embedding("text", 8).alias("embedding"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.content_hash("text").alias("content_hash"))
+
+
+@query(f"WITH u AS ({_PATHS}) SELECT page_id, path, regexp_matches('/' || lower(path), '/docs/|/doc/|/spec/|/specs/|/standards/|/vault/|/playbooks/|/decisions/|/episodes/') OR regexp_matches(lower(path), '\\.(md|mdx|rst|adoc|txt)$') AS is_document FROM u")
+def doc_code_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_paths(spark, sf_dir).select("page_id", "path", tx.is_document("path", F.lit("text")).alias("is_document"))
+
+
+@query(f"WITH u AS ({_PATHS}), p AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u) SELECT page_id, parts[len(parts)] AS base, regexp_replace(parts[len(parts)], '(.)\\.[^.]+$', '\\1') AS stem FROM p")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_paths(spark, sf_dir).select("page_id", tx.basename("path").alias("base"), tx.stem("path").alias("stem"))
+
+
+@query(f"WITH u AS ({_PATHS}) SELECT page_id, regexp_matches(path, '^(?:.*/)?[^/]*1[^/]*$') AND NOT regexp_matches(path, '^[^/]*9[^/]*(?:/.*)?$') AS selected FROM u")
+def glob_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_paths(spark, sf_dir).select("page_id", tx.path_selected("path", ["**/*1*"], ["*9*/**"]).alias("selected"))
+
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(lower(c_name || ' & Co. #' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.slug(F.concat("c_name", F.lit(" & Co. #"), "c_mktsegment")).alias("slug"))
+
+
+_LINES = "SELECT doc_id, line, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n, right(text, 1) = chr(10) AS ended FROM documents WHERE text IS NOT NULL) WHERE NOT (ended AND i = n) AND NOT (n = 1 AND line = '')"
+
+
+@query(f"WITH l AS ({_LINES}), t AS (SELECT doc_id, max(i) AS total FROM l GROUP BY doc_id), b AS (SELECT doc_id, i FROM l WHERE regexp_matches(line, '^[TAE]') UNION SELECT doc_id, 1 FROM t), r AS (SELECT b.doc_id, i AS line_start, coalesce(lead(i) OVER (PARTITION BY b.doc_id ORDER BY i) - 1, total) AS line_end FROM b JOIN t ON t.doc_id = b.doc_id) SELECT doc_id, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end FROM r")
+def chunk_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select("doc_id", tx.lines("text").alias("l"))
+    ranges = chunking.boundaries_to_ranges(chunking.matching_lines(F.col("l"), "^[TAE]"), F.size("l"))
+    return own.select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.line_start", "r.line_end")
+
+
+@query("WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, unnest(generate_series(1, len(string_split(html, chr(10))))) AS i FROM pages), k AS (SELECT page_id, i, i - row_number() OVER (PARTITION BY page_id ORDER BY i) AS g FROM l WHERE regexp_matches(line, '\\S')) SELECT page_id, CAST(min(i) AS INTEGER) AS line_start, CAST(max(i) AS INTEGER) AS line_end FROM k GROUP BY page_id, g")
+def paragraph_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.paragraph_ranges(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy packing with overlap: not SQL; tested against a plain version."""
+    return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ordinal", "line_start", "line_end", F.length("text").alias("n_chars"))
+
+
+@query()
+def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown, script and configuration chunkers over the pages' text, by page."""
+    pages = table(spark, sf_dir, "pages").withColumn("lang", F.element_at(F.array(*map(F.lit, ("markdown", "python", "typescript", "config"))), (F.col("page_id") % 4 + 1).cast("int")))
+    return chunking.chunk(pages, "page_id", "html", "lang").select(F.col("id").alias("page_id"), "ordinal", "name", "kind", "line_start", "line_end")
+
+
+_SESS = "SELECT user_id AS session, event_id AS idx, ts, event_type, CAST(json_extract(props, '$.k') AS INTEGER) % 10 AS sha FROM events"
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as session logs: error is a failed run, purchase a passed one, click and view edits of one file; k mod 10 is the content."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), "ts", "event_type", (F.get_json_object("props", "$.k").cast("int") % 10).alias("sha"))
+    kind = F.when(F.col("event_type").isin("click", "view"), "edit").when(F.col("event_type").isin("error", "purchase"), "test_run").otherwise("tool_call")
+    own = e.withColumn("event", kind).withColumn("file", F.lit("main")).withColumn("exit", F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 0))
+    w = Window.partitionBy("session", "event").orderBy("ts", "idx")
+    return own.withColumn("sha_after", F.col("sha")).withColumn("sha_before", F.lag("sha").over(w))
+
+
+_EDITS = f"SELECT session, idx, ts, sha AS sha_after, lag(sha) OVER (PARTITION BY session ORDER BY ts, idx) AS sha_before FROM ({_SESS}) WHERE event_type IN ('click', 'view')"
+_REVERTS = f"WITH e AS ({_EDITS}) SELECT a.session, a.idx, min(b.idx) AS pre_event_idx FROM e a JOIN e b ON b.session = a.session AND b.sha_before = a.sha_after AND b.idx < a.idx AND epoch_us(a.ts) - epoch_us(b.ts) <= {{s}} * CAST(1000000 AS BIGINT) GROUP BY a.session, a.idx"
+_FAILS = f"WITH s AS ({_SESS}), r AS (SELECT *, last_value(CASE WHEN event_type IN ('error', 'purchase') THEN {{{{'ts': ts, 'idx': idx, 'bad': event_type = 'error'}}}} END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM s) SELECT session, idx, run.idx AS pre_event_idx FROM r WHERE event_type IN ('click', 'view') AND run.bad AND epoch_us(ts) - epoch_us(run.ts) <= {{s}} * CAST(1000000 AS BIGINT)"
+
+
+@query(_REVERTS.format(s=12 * 3600))
+def reverted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.reverted_edits(session_events(spark, sf_dir).filter("event = 'edit'"), 12 * 3600).select("session", "idx", "pre_event_idx")
+
+
+@query(_REVERTS.format(s=1800))
+def reverted_edits_30min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.reverted_edits(session_events(spark, sf_dir).filter("event = 'edit'")).select("session", "idx", "pre_event_idx")
+
+
+@query(_FAILS.format(s=6 * 3600))
+def failed_then_reedited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.failed_then_reedited(session_events(spark, sf_dir), 6 * 3600).select("session", "idx", "pre_event_idx")
+
+
+_MIST = f"SELECT session, idx, pre_event_idx, 'reverted_edit' AS kind FROM ({_REVERTS.format(s=12 * 3600)}) UNION ALL SELECT session, idx, pre_event_idx, 'failed_then_re_edited' FROM ({_FAILS.format(s=6 * 3600)})"
+
+
+def _mistakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.mistakes(session_events(spark, sf_dir), 12 * 3600, 6 * 3600)
+
+
+@query(_MIST)
+def mistakes_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mistakes(spark, sf_dir).select("session", "idx", "pre_event_idx", "kind")
+
+
+@query(f"SELECT coalesce(kind, 'all') AS kind, count(*) AS mistakes, CAST(sum(CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS documented, round(sum(CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END) / count(*), 6) AS rate, 'ok' AS status FROM ({_MIST}) GROUP BY ROLLUP (kind)")
+def repeated_mistake_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "events").agg(F.countDistinct("user_id")).first()[0]
+    return sessions.repeated_mistake_rate(_mistakes(spark, sf_dir), F.col("idx") % 3 == 0, n)
+
+
+@query("SELECT user_id, count(*) AS events FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id DESC LIMIT 50) GROUP BY user_id")
+def rolling_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.last_sessions(table(spark, sf_dir, "events"), "user_id").groupBy("user_id").agg(F.count("*").alias("events"))
+
+
+@query("SELECT user_id AS session, event_id AS idx, right('[' || coalesce(string_agg(event_type, ',') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || ']', 200) AS context FROM events")
+def pre_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), "ts", "event_type")
+    return sessions.pre_context(e, F.col("event_type"), 200)
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def session_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.tail(table(spark, sf_dir, "events").withColumn("idx", F.col("event_id"))).select("event_id", "user_id", "event_type")
+
+
+_EVAL = f"WITH s AS (SELECT q.vec_id AS query_id, q.label AS category, e.vec_id AS item, {_COS} AS similarity, e.label FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item) AS rank FROM s), x AS (SELECT query_id, category, count(*) FILTER (label = category AND rank <= 5) AS hits, count(*) FILTER (label = category) AS expected, min(CASE WHEN label = category AND rank <= 5 THEN rank END) AS first FROM r GROUP BY query_id, category), y AS (SELECT query_id, category, round(hits / expected, 6) AS precision, round(coalesce(1 / first, 0), 6) AS mrr FROM x) "
+
+
+def _eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("category"))
+    ranked = vector.batch_top_k(e, asked, 5).select("query_id", F.col("id").alias("item"), "rank")
+    expected = asked.join(e.select(F.col("vec_id").alias("item"), F.col("label").alias("category")), "category").select("query_id", "item")
+    return evals.ranked_scores(expected, ranked, 5).join(asked.select("query_id", "category"), "query_id")
+
+
+@query(_EVAL + "SELECT query_id, precision, mrr FROM y")
+def eval_precision_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _eval_scores(spark, sf_dir).select("query_id", "precision", "mrr")
+
+
+@query(_EVAL + ", g AS (SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE CAST(category AS VARCHAR) END AS category, count(*) AS n, avg(precision) AS p, avg(mrr) AS m FROM y GROUP BY ROLLUP (category)) SELECT category, n, round(p, 6) AS mean_precision, round(m, 6) AS mean_mrr, CASE WHEN p >= 0.99 AND m >= 0.97 THEN 'A' WHEN p >= 0.9 AND m >= 0.85 THEN 'B' WHEN p >= 0.75 AND m >= 0.7 THEN 'C' ELSE 'F' END AS grade FROM g")
+def eval_grade_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.grades(_eval_scores(spark, sf_dir))
+
+
+@query("WITH x AS (SELECT d.n_chars > 1000 AS p, l.quality = 1 AS a FROM labels l JOIN documents d ON d.doc_id = l.doc_id), c AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND NOT a) AS tn, count(*) FILTER (NOT p AND a) AS fn FROM x) SELECT tp, fp, tn, fn, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END, 6) AS recall, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END >= 0.7 AND CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END >= 0.8 AS meets_floor FROM c")
+def gate_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return evals.confusion(rows, F.col("n_chars") > 1000, F.col("quality") == 1)
+
+
+_GATE = f"WITH u AS ({_PATHS}) SELECT page_id, page_id % 10 AS change, path, CASE WHEN starts_with(path, 'vault/spec/') THEN 'CANONICAL_DOC' WHEN contains(lower(path), '7') OR contains(lower(path), 'policy') THEN 'GUARDS' WHEN starts_with(path, 'www') OR starts_with(path, 'site1') THEN 'IMPLEMENTS' END AS relationship FROM u"
+_RULES = audit.ImpactRules(guard_words=("7", "policy"), engine_prefixes=("www", "site1"))
+
+
+@query(f"SELECT page_id, path, relationship FROM ({_GATE})")
+def gate_impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_paths(spark, sf_dir).select("page_id", "path", _RULES.relationship("path").alias("relationship"))
+
+
+@query(f"WITH g AS ({_GATE}), c AS (SELECT change, count(relationship) AS impacts, change % 4 = 0 AS acknowledged FROM g GROUP BY change) SELECT change, impacts, acknowledged, CASE WHEN acknowledged AND impacts > 0 THEN 'acknowledged' WHEN impacts > 0 THEN 'warn' ELSE 'pass' END AS status FROM c")
+def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = page_paths(spark, sf_dir).select((F.col("page_id") % 10).alias("change"), "path").withColumn("body", F.when(F.col("change") % 4 == 0, "KB-gate: ACK please"))
+    return audit.gate(changes, _RULES)
+
+
+_RATE = "SELECT l_orderkey AS run, CAST(l_linenumber % 2 AS VARCHAR) AS dimension, CASE l_linenumber % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS rater, CAST(l_quantity AS INTEGER) % 5 + 1 AS score FROM lineitem"
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), (n % 2).cast("string").alias("dimension"), F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").otherwise("C").alias("rater"), (F.col("l_quantity").cast("int") % 5 + 1).alias("score"))
+
+
+@query(f"SELECT run, dimension, round(avg(score), 6) AS mean, max(score) - min(score) AS spread, count(score) AS n, count(score) >= 2 AND max(score) - min(score) > 1 AS disagrees FROM ({_RATE}) GROUP BY run, dimension")
+def rater_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.rater_disagreement(ratings(spark, sf_dir))
+
+
+@query(f"WITH p AS (SELECT run, dimension, max(CASE WHEN rater = 'B' THEN score END) AS x, max(CASE WHEN rater = 'C' THEN score END) AS y FROM ({_RATE}) GROUP BY run, dimension) SELECT count(*) AS pairs, round(count(*) FILTER (abs(x - y) > 1) / count(*), 6) AS rate, count(*) FILTER (abs(x - y) > 1) / count(*) > 0.05 AS tripped FROM p WHERE x IS NOT NULL AND y IS NOT NULL")
+def rater_pair_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.rater_pair_rate(ratings(spark, sf_dir), "B", "C")
+
+
+@query(f"WITH a AS (SELECT run, dimension, avg(score) AS s FROM ({_RATE}) GROUP BY run, dimension), b AS (SELECT run, avg(s) AS s FROM a GROUP BY run) SELECT round(avg(s), 4) AS mean, count(*) AS n FROM b")
+def nested_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.nested_mean(ratings(spark, sf_dir), "run", "dimension").withColumn("mean", F.round("mean", 4))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE round(1.0 - l_quantity / 50.0 * 0.5 - l_linenumber / 7.0 * 0.5, 6) END AS score FROM lineitem")
+def time_to_fix_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = evals.time_score(F.col("l_quantity"), F.col("l_linenumber"), F.lit(50.0), F.lit(7.0), F.col("l_returnflag") == "R")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"))
+
+
+@query("WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) SELECT n, round(value, 6) AS p95, (SELECT round(avg(value), 6) FROM events) AS mean FROM r WHERE i = least(n - 1, CAST(round_even((n - 1) * 0.95, 0) AS BIGINT))")
+def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.p95(table(spark, sf_dir, "events"), "value")
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, avg(value) OVER (PARTITION BY event_type) AS m FROM events) SELECT event_type, n, round(value, 6) AS p95, round(m, 6) AS mean FROM r WHERE i = least(n - 1, CAST(round_even((n - 1) * 0.95, 0) AS BIGINT))")
+def p95_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.p95(table(spark, sf_dir, "events"), "value", "event_type")
+
+
+@query("SELECT conv_id, turn, list_filter([CASE WHEN nullif(role, 'system') IS NULL THEN 'missing role' END, CASE WHEN NOT length(text) > 200 THEN 'text too short' END], lambda x: x IS NOT NULL) AS errors FROM conversations")
+def fixture_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", evals.schema_errors({"role": F.nullif("role", F.lit("system"))}, {"text too short": F.length("text") > 200}).alias("errors"))
+
+
+@query("WITH c AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '\\S')) AS l FROM conversations) SELECT conv_id, turn, CASE WHEN len(l) = 0 THEN 'unknown' WHEN regexp_matches(lower(text), 'assert|panicked|traceback|expected|error:|failed|exception|left:|right:') THEN 'real-test-failure' WHEN length(trim(l[1])) < 80 AND len(l) <= 2 THEN 'commit-subject' ELSE 'unknown' END AS kind FROM c")
+def failure_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", audit.failure_kind("text").alias("kind"))
+
+
+def star_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations, customers and suppliers as nodes; CONTAINS edges."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    r, n, c, s = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier"))
+    node = lambda df, kind, k, name: df.select(key(kind, k).alias("id"), F.lit(kind).alias("label"), F.create_map(F.lit("name"), F.col(name)).alias("properties"))
+    nodes = node(r, "region", "r_regionkey", "r_name").unionAll(node(n, "nation", "n_nationkey", "n_name")).unionAll(node(c, "customer", "c_custkey", "c_name")).unionAll(node(s, "supplier", "s_suppkey", "s_name"))
+    edge = lambda df, a, ac, b, bc, base: df.select((F.col(bc) + base).cast("bigint").alias("edge_id"), key(a, ac).alias("src_id"), key(b, bc).alias("dst_id"), F.lit("CONTAINS").alias("relationship"))
+    edges = edge(n, "region", "n_regionkey", "nation", "n_nationkey", 0).unionAll(edge(c, "nation", "c_nationkey", "customer", "c_custkey", 1_000_000)).unionAll(edge(s, "nation", "s_nationkey", "supplier", "s_suppkey", 900_000_000_000))
+    return nodes, edges
+
+
+_EDGES = "SELECT CAST(n_nationkey AS BIGINT) AS edge_id, 'region:' || n_regionkey AS src_id, 'nation:' || n_nationkey AS dst_id FROM nation UNION ALL SELECT c_custkey + 1000000, 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION ALL SELECT s_suppkey + 900000000000, 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier"
+_BOTH = f"e AS ({_EDGES}), b AS (SELECT edge_id, src_id AS a, dst_id AS z FROM e UNION ALL SELECT edge_id, dst_id, src_id FROM e)"
+_D2 = f"WITH {_BOTH}, p1 AS (SELECT z AS id, 1 AS depth, [edge_id] AS edges FROM b WHERE a = '{{start}}'), p2 AS (SELECT b.z AS id, 2 AS depth, list_append(p1.edges, b.edge_id) AS edges FROM p1 JOIN b ON b.a = p1.id AND NOT list_contains(p1.edges, b.edge_id)), p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2) "
+
+
+@query(_D2.format(start="region:1") + "SELECT id, depth, edges FROM p ORDER BY depth, id, edges LIMIT 50")
+def graph_neighbors_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = star_graph(spark, sf_dir)
+    return graph.neighbors(edges, spark.createDataFrame([("region:1",)], "id string"), 2).select("id", "depth", "edges")
+
+
+@query(f"WITH {_BOTH} SELECT z AS id, edge_id FROM b WHERE a = 'nation:3'")
+def graph_neighbors_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = star_graph(spark, sf_dir)
+    return graph.paths(edges, spark.createDataFrame([("nation:3",)], "id string"), 1).select("id", F.get("edges", 0).alias("edge_id"))
+
+
+@query(f"WITH {_BOTH}, q AS (SELECT DISTINCT a AS start FROM b WHERE starts_with(a, 'region:')), p1 AS (SELECT start, z AS id, [edge_id] AS edges, 1 AS depth FROM q JOIN b ON a = start), p2 AS (SELECT start, b.z AS id, 2 AS depth FROM p1 JOIN b ON b.a = p1.id AND NOT list_contains(p1.edges, b.edge_id)) SELECT start, id, min(depth) AS depth FROM (SELECT start, id, depth FROM p1 UNION ALL SELECT start, id, depth FROM p2) GROUP BY start, id")
+def graph_neighbor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = star_graph(spark, sf_dir)
+    return graph.neighbor_nodes(edges, nodes.filter("label = 'region'").select("id"), 2)
+
+
+@query(f"WITH e AS ({_EDGES}) SELECT 'incoming' AS direction, src_id AS id FROM e WHERE dst_id = 'nation:3' UNION ALL SELECT 'outgoing', dst_id FROM e WHERE src_id = 'nation:3'")
+def graph_context_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = star_graph(spark, sf_dir)
+    return graph.context(edges, spark.createDataFrame([("nation:3",)], "id string")).select("direction", "id")
+
+
+@query(f"WITH {_BOTH}, c AS (SELECT 'region:1' AS start, 0 AS rank UNION ALL SELECT 'nation:3', 1), p1 AS (SELECT start, rank, z AS id, [edge_id] AS edges, 1 AS depth FROM c JOIN b ON a = start), p2 AS (SELECT start, rank, b.z AS id, 2 AS depth FROM p1 JOIN b ON b.a = p1.id AND NOT list_contains(p1.edges, b.edge_id)), f AS (SELECT id, min(rank * 10 + depth) AS k FROM (SELECT id, rank, depth FROM p1 UNION ALL SELECT id, rank, depth FROM p2) GROUP BY id), s AS (SELECT id, k, 'components' AS section, row_number() OVER (ORDER BY k, id) AS n FROM f) SELECT section, id, CAST(k // 10 AS INTEGER) AS rank, CAST(k % 10 AS INTEGER) AS depth FROM s WHERE n <= 50")
+def graph_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = star_graph(spark, sf_dir)
+    asked = spark.createDataFrame([("region:1", 0), ("nation:3", 1)], "id string, rank int")
+    return graph.impact(nodes, edges, asked).select("section", "id", "rank", "depth")
+
+
+@query("SELECT 'nation:' || n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'even' END AS parity, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM nation")
+def graph_upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").withColumn("id", F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string"))).withColumn("label", F.lit("nation"))
+    old = n.select("id", "label", F.create_map(F.lit("name"), "n_name", F.lit("version"), F.lit("old")).alias("properties"))
+    new = n.filter("n_nationkey % 2 = 0").select("id", "label", F.create_map(F.lit("parity"), F.lit("even"), F.lit("version"), F.lit("new")).alias("properties"))
+    p = lambda k: F.element_at("properties", k).alias(k)
+    return graph.upsert_nodes(old, new).select("id", p("name"), p("parity"), p("version"))
+
+
+@query("SELECT 'nation:' || n_nationkey AS src_id, 'supplier:' || s_suppkey AS dst_id FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0")
+def graph_upsert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = star_graph(spark, sf_dir)
+    good = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
+    ends = nodes.filter("label = 'nation'").select("id").unionAll(good)
+    own = edges.filter(F.col("dst_id").startswith("supplier:"))
+    return graph.upsert_edges(own.limit(0), own, ends).select("src_id", "dst_id")
+
+
+@query(f"WITH e AS ({_EDGES}) SELECT count(*) AS edges_left, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) - 1 + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS nodes_left FROM e WHERE src_id <> 'nation:3' AND dst_id <> 'nation:3'")
+def graph_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph.delete_node(*star_graph(spark, sf_dir), spark.createDataFrame([("nation:3",)], "id string"))
+    return edges.agg(F.count("*").alias("edges_left")).crossJoin(nodes.agg(F.count("*").alias("nodes_left")))  # one row each
+
+
+@query("SELECT c_mktsegment AS value, count(*) AS count FROM customer GROUP BY 1 HAVING count(*) > 1")
+def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("label"), "c_mktsegment")
+    return graph.uniqueness_violations(nodes, "customer", "c_mktsegment")
+
+
+_STATE = "SELECT source || '/' || doc_id AS path, 'sha256:' || sha256(text) AS h, doc_id FROM documents WHERE doc_id % 10 <> 3"
+_NOW = "SELECT source || '/' || doc_id AS path, 'sha256:' || sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h, doc_id FROM documents WHERE doc_id % 11 <> 5"
+
+
+def sync_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The state of a sync before (a tenth of the files is missing) and the files now (some edited, some gone)."""
+    d = table(spark, sf_dir, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))).withColumn("node_id", F.col("doc_id").cast("string"))
+    state = d.filter("doc_id % 10 != 3").select("path", tx.content_hash("text").alias("content_hash"), "node_id")
+    now = d.filter("doc_id % 11 != 5").select("path", tx.content_hash(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"), "node_id")
+    return state, now
+
+
+_DIFF = f"WITH s AS ({_STATE}), n AS ({_NOW}) SELECT coalesce(s.path, n.path) AS path, CASE WHEN s.path IS NULL THEN 'created' WHEN n.path IS NULL THEN 'deleted' WHEN s.h = n.h THEN 'unchanged' ELSE 'updated' END AS status, s.doc_id AS old, n.doc_id AS new FROM s FULL JOIN n ON s.path = n.path"
+
+
+@query(f"SELECT path, status FROM ({_DIFF})")
+def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.diff(*sync_tables(spark, sf_dir)).select("path", "status")
+
+
+@query(f"SELECT path FROM ({_DIFF}) WHERE status = 'deleted'")
+def sync_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.pruned(*sync_tables(spark, sf_dir)).select("path")
+
+
+@query(f"SELECT count(*) AS files_seen, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'deleted') AS deleted FROM ({_DIFF})")
+def sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.stats(sync.diff(*sync_tables(spark, sf_dir))).select("files_seen", "unchanged", "created", "updated", "deleted")
+
+
+@query(f"SELECT CAST(old AS VARCHAR) AS id, path AS source_path, 'offline_prune' AS reason, DATE '2024-05-01' AS deleted_date FROM ({_DIFF}) WHERE status = 'deleted'")
+def sync_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = sync.pruned(*sync_tables(spark, sf_dir))
+    return sync.tombstones(gone, "2024-05-01T10:00:00Z", "offline_prune").select("id", "source_path", "reason", "deleted_date")
+
+
+@query("WITH m AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END AS o, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END AS n, doc_id % 13 <> 0 AS readable FROM documents) SELECT doc_id, CASE WHEN NOT readable THEN 'delete_only' WHEN o = n THEN 'renamed_same_id' WHEN o IS NOT NULL AND n IS NOT NULL THEN 'renamed_new_id' WHEN n IS NOT NULL THEN 'create_only' WHEN o IS NOT NULL THEN 'delete_only' ELSE 'noop' END AS action FROM m")
+def rename_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    moves = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 5 != 0, i).alias("old_id"), F.when(i % 4 == 0, None).when(i % 3 == 0, i + 1).otherwise(i).alias("new_id"), (i % 13 != 0).alias("readable"))
+    return sync.renames(moves).select("doc_id", "action")
+
+
+@query(f"WITH d AS (SELECT path, old AS id FROM ({_DIFF}) WHERE status = 'deleted'), c AS (SELECT path, new - 1 AS id FROM ({_DIFF}) WHERE status = 'created') SELECT CAST(coalesce(d.id, c.id) AS VARCHAR) AS node_id, d.path AS src, c.path AS dest, CASE WHEN d.path IS NOT NULL AND c.path IS NOT NULL THEN 'renamed_same_id' WHEN c.path IS NOT NULL THEN 'create_only' ELSE 'delete_only' END AS action FROM d FULL JOIN c ON d.id = c.id")
+def resolve_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sync.diff(*sync_tables(spark, sf_dir))
+    created = found.filter("status = 'created'").select("path", (F.col("new_id").cast("long") - 1).cast("string").alias("node_id"))
+    return sync.resolve_renames(found.filter("status = 'deleted'").select("path", F.col("old_id").alias("node_id")), created).select("node_id", "src", "dest", "action")
+
+
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes: the frontmatter is made from their columns, the body is their text."""
+    i = F.col("doc_id")
+    kinds = F.element_at(F.array(*map(F.lit, ("Capability", "Receipt", "Guard", "Other"))), (i % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("spec", "adr", "episode-release-note"))), (i % 3 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ("accepted", "proposed", "superseded", "pending"))), (F.floor(i / 3) % 4 + 1).cast("int"))
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (i % 200).cast("int")).cast("string")
+    fm = F.concat(F.lit("---\nid: n."), i.cast("string"), F.lit("\ntype: "), kind, F.lit("\nstatus: "), status, F.lit("\nnode-kind: "), kinds, F.lit("\ntitle: \"T "), i.cast("string"), F.lit("\"\ndate: "), date, F.lit("\nlast-validated: "), F.when(i % 5 == 0, "").otherwise(date), F.lit("\nowners: ["), F.when(i % 2 == 0, "a, b").otherwise(""), F.lit("]\n---\n"))
+    links = F.when(i % 7 == 0, F.lit("see [[decisions/x|X]] and [[y]]\n")).otherwise("")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("n/"), i.cast("string"), F.lit(".md")).alias("path"), F.concat(fm, links, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def note_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.notes(note_files(spark, sf_dir))
+
+
+_NOTES = "SELECT doc_id AS i, 'n.' || doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'spec' WHEN 1 THEN 'adr' ELSE 'episode-release-note' END AS type, CASE (doc_id // 3) % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'proposed' WHEN 2 THEN 'superseded' ELSE 'pending' END AS status, CASE doc_id % 4 WHEN 0 THEN 'Capability' WHEN 1 THEN 'Receipt' WHEN 2 THEN 'Guard' ELSE 'Other' END AS node_kind, CAST(DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) AS DATE) AS filed, CASE WHEN doc_id % 5 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) AS DATE) END AS last_validated, doc_id % 2 = 0 AS owned, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS n_links FROM documents"
+
+
+@query(f"SELECT id, type, status, node_kind, CASE WHEN owned THEN 'a,b' ELSE '' END AS owners, last_validated, CAST(n_links AS INTEGER) AS n_links, CAST(n_links // 2 AS INTEGER) AS n_decision_links FROM ({_NOTES})")
+def frontmatter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return note_table(spark, sf_dir).select("id", "type", "status", "node_kind", F.array_join("owners", ",").alias("owners"), "last_validated", "n_links", "n_decision_links")
+
+
+@query(f"SELECT 'episodes' AS target, id, NULL AS label FROM ({_NOTES}) WHERE type LIKE 'episode-%' UNION ALL SELECT 'graph', id, 'Kb' || node_kind FROM ({_NOTES}) WHERE type IN ('spec', 'adr') AND node_kind <> 'Other'")
+def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.derived_records(note_table(spark, sf_dir), "Kb").select("target", "id", F.element_at("payload", "label").alias("label"))
+
+
+@query(f"SELECT id, last_validated FROM ({_NOTES}) WHERE type = 'spec' AND status = 'accepted' AND (last_validated IS NULL OR last_validated < DATE '2024-07-01' - 90)")
+def view_stale_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.stale(note_table(spark, sf_dir), "2024-07-01").select("id", "last_validated")
+
+
+@query(f"SELECT id, status, CAST(n_links // 2 AS INTEGER) AS n_decision_links FROM ({_NOTES}) WHERE type = 'spec' AND status <> 'superseded'")
+def view_decision_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.decision_links(note_table(spark, sf_dir)).select("id", "status", "n_decision_links")
+
+
+@query(f"SELECT id FROM ({_NOTES}) WHERE type = 'spec' AND status = 'accepted' AND n_links = 0")
+def view_linkless_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.linkless(note_table(spark, sf_dir))
+
+
+@query(f"SELECT id, status, last_validated FROM ({_NOTES}) WHERE type = 'spec' AND node_kind = 'Receipt' AND NOT owned")
+def view_unowned_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.unowned(note_table(spark, sf_dir), "Receipt").select("id", "status", "last_validated")
+
+
+@query(f"SELECT node_kind, count(*) AS n FROM ({_NOTES}) WHERE type = 'spec' AND status = 'accepted' AND NOT owned GROUP BY node_kind")
+def view_unowned_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.unowned_by_kind(note_table(spark, sf_dir))
+
+
+@query(f"SELECT id, filed FROM ({_NOTES}) WHERE type = 'adr' AND status = 'proposed' AND filed < DATE '2024-05-01' - 14")
+def view_stale_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.decisions_by_status(note_table(spark, sf_dir), "proposed", "2024-05-01").select("id", "filed")
+
+
+@query(f"SELECT id, filed FROM ({_NOTES}) WHERE type = 'adr' AND status = 'pending'")
+def view_pending_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.decisions_by_status(note_table(spark, sf_dir), "pending").select("id", "filed")
+
+
+@query(f"SELECT id, node_kind, status, last_validated FROM ({_NOTES}) WHERE type = 'spec'")
+def view_spec_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.spec_index(note_table(spark, sf_dir))
+
+
+@query(f"SELECT node_kind, count(*) AS n, min(id) AS first FROM ({_NOTES}) WHERE type = 'spec' GROUP BY node_kind")
+def view_specs_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.specs_by_kind(note_table(spark, sf_dir)).select("node_kind", "n", F.element_at("ids", 1).alias("first"))
+
+
+def memory_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as memory sections; system turns revoke the section of their conversation's first turn."""
+    c = table(spark, sf_dir, "conversations")
+    key = lambda t: F.concat(F.lit("memory.s"), F.col("conv_id").cast("string"), F.lit("."), t)
+    body = F.when((F.col("role") == "system") & (F.col("conv_id") % 2 == 0), F.concat(F.lit("- title: Revocation for x\n~~"), key(F.lit("1")), F.lit("~~"))).otherwise(F.col("text"))
+    return c.select(key(F.col("turn").cast("string")).alias("id"), F.concat(F.lit("s"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("path"), F.col("turn").alias("position"), body.alias("body"))
+
+
+_MEM = "WITH m AS (SELECT 'memory.s' || conv_id || '.' || turn AS id, 's' || lpad(CAST(conv_id AS VARCHAR), 9, '0') AS path, turn AS position, text, role = 'system' AND conv_id % 2 = 0 AS revokes, conv_id FROM conversations), r AS (SELECT DISTINCT 'memory.s' || conv_id || '.1' AS id FROM m WHERE revokes) SELECT id, path, position FROM m WHERE NOT revokes AND id NOT IN (SELECT id FROM r) AND contains(lower(text), '{n}') ORDER BY path, position LIMIT 10"
+
+
+@query(_MEM.format(n="the"))
+def memory_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.query(memory_sections(spark, sf_dir), "The").select("id", "path", "position")
+
+
+@query("SELECT DISTINCT 'memory.s' || conv_id || '.1' AS id FROM conversations WHERE role = 'system' AND conv_id % 2 = 0")
+def memory_revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.revoked_ids(memory_sections(spark, sf_dir))
+
+
+@query("SELECT coalesce(source, 'all') AS source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source)")
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").rollup("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+    return d.select(F.coalesce("source", F.lit("all")).alias("source"), "files", "chars")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT source) AS files, count(*) >= 20 AS docs_ok, count(DISTINCT source) >= 90 AS code_ok FROM documents")
+def corpus_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("rows"), F.countDistinct("source").alias("files")).withColumns({"docs_ok": F.col("rows") >= 20, "code_ok": F.col("files") >= 90})
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) = 7")
+def property_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").filter(vector.contains_properties("props", {"k": 7})).select("event_id")
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS INTEGER) AS n_links FROM pages")
+def outlink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.size(tx.all_matches("html", 'href="([^"]*)"')).alias("n_links"))
+
+
+@query("WITH c AS (SELECT doc_id FROM labels WHERE quality = 1), t AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id, 'both' AS part FROM (SELECT doc_id FROM c INTERSECT SELECT doc_id FROM t) UNION ALL SELECT doc_id, 'clean' FROM (SELECT doc_id FROM c EXCEPT SELECT doc_id FROM t)")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    good, bad = labels.filter("quality = 1").select("doc_id"), labels.filter("toxic = 1").select("doc_id")
+    return good.intersect(bad).withColumn("part", F.lit("both")).unionAll(good.exceptAll(bad).withColumn("part", F.lit("clean")))
+
+
+@query("SELECT doc_id, i AS line_number FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) WHERE regexp_matches(line, 'password|token') AND NOT regexp_matches(line, 'token =')")
+def flagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.flagged_lines(table(spark, sf_dir, "documents"), "password|token", "token =", "doc_id").select("doc_id", F.col("line_number").cast("long").alias("line_number"))
+
+
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def fixture_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a fixture's text: an equi-join on its first words, then the exact test."""
+    head = lambda c: F.regexp_extract(c, "^\\S+ \\S+ \\S+", 0)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"), head("text").alias("h"))
+    words = F.split("text", " ")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.regexp_extract(F.array_join(F.slice(words, i, 3), " "), "(?:^|\\S*\\n)(\\S+ \\S+ \\S+)$", 1))
+    docs = table(spark, sf_dir, "documents")
+    near = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(items, "h").select("doc_id", "item_id", "t").distinct()
+    return near.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("t"))).select("item_id", "doc_id")
+
+
+@query("SELECT vec_id, CAST(dense_rank() OVER (ORDER BY label, vec_id) - 1 AS BIGINT) AS internal_id FROM embeddings")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.stable_ids(table(spark, sf_dir, "embeddings").select("vec_id", F.struct("label", "vec_id").alias("s")), "vec_id", "s")

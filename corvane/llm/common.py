@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,39 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: whole texts are long rows.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, default, own in (("maxRecordsPerBatch", ("10000",), BATCH_ROWS), ("maxBytesPerBatch", ("67108864b", "64MB", "67108864"), BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) in default:
+            spark.conf.set(key, str(own))
+
+
+def trim() -> None:
+    """Gives a Python worker's free memory back to the machine: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, with small batches, and memory given back at the end of each task."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that are read, under names of our own, so that no other column can clash; text as UTF-8 bytes."""
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))

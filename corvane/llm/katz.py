@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, hash_words, id_and_text, mix, rows_of
+from corvane.llm.common import Scratch, hash_words, id_and_text, map_arrow, mix, rows_of
 from corvane.llm.packed import planes, unplanes
 
-SEGMENT = 2_500_000
-BUCKET_BYTES = 12_000_000
+SEGMENT = 1_500_000
+BUCKET_BYTES = 6_000_000
 MOST_BUCKETS = 65_536
 TOP = 5
 _LOW = np.uint64((1 << 48) - 1)
@@ -277,9 +277,9 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = id_and_text(docs, id_col, text_col)
     volume = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(min(MOST_BUCKETS, max(64, volume // BUCKET_BYTES)))
-    segments = scratch.keep(texts.mapInArrow(_segments(mod, rest), _SEGMENT_SQL), "segments")
-    sent = segments.select("seg", "ids", "held", "sizes", "words", "tokens").mapInArrow(_send(buckets), _MESSAGE_SQL)
-    tables = scratch.keep(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "seg").mapInArrow(_sum, _TOTAL_SQL), "tables")
+    segments = scratch.keep(texts.transform(map_arrow, _segments(mod, rest), _SEGMENT_SQL), "segments")
+    sent = segments.select("seg", "ids", "held", "sizes", "words", "tokens").transform(map_arrow, _send(buckets), _MESSAGE_SQL)
+    tables = scratch.keep(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "seg").transform(map_arrow, _sum, _TOTAL_SQL), "tables")
 
     n_docs, n = segments.agg(F.sum("train_docs"), F.sum("train_tokens")).first()
     n_docs, n = n_docs or 0, n or 0
@@ -295,7 +295,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = ["ids", "held", "sizes", "words", "tokens"]
     asks = tables.select("seg", "kind", "bucket", F.col("b").alias("counts"), *(null("binary").alias(c) for c in held))
     own = segments.select("seg", F.lit(-1).alias("kind"), F.lit(-1).alias("bucket"), null("binary").alias("counts"), *held)
-    scored = scratch.keep(own.union(asks).repartition("seg").sortWithinPartitions("seg", "kind", "bucket").mapInArrow(_score(buckets, model), _SCORED_SQL), "scored")
+    scored = scratch.keep(own.union(asks).repartition("seg").sortWithinPartitions("seg", "kind", "bucket").transform(map_arrow, _score(buckets, model), _SCORED_SQL), "scored")
     scratch.drop(segments, tables)
 
     sums = scored.filter(F.col("kind") == CONTEXT).groupBy("word").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, id_and_text, mix, rows_of
+from corvane.llm.common import Scratch, id_and_text, map_arrow, mix, rows_of
 
 ROWS, DIM, WINDOW = 16_384, 32, 2
 SLICES, SALTS = 64, 16
@@ -115,8 +115,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Unit vectors of the rows; at most ROWS x DIM numbers come to the driver."""
     kind = "slice int, salt int, sums binary"
-    once = texts.select("_text").mapInArrow(_contexts, kind).repartition("slice", "salt").mapInArrow(_add, kind)
-    twice = once.withColumn("salt", F.lit(0)).repartition("slice").mapInArrow(_add, kind)
+    once = texts.select("_text").transform(map_arrow, _contexts, kind).repartition("slice", "salt").transform(map_arrow, _add, kind)
+    twice = once.withColumn("salt", F.lit(0)).repartition("slice").transform(map_arrow, _add, kind)
     table = np.zeros((SLICES, ROWS * DIM // SLICES), np.float64)
     for row in twice.toLocalIterator():
         table[row["slice"]] += np.frombuffer(row["sums"], np.int64)
@@ -199,7 +199,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             found = [pool(t, sent.value).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "x"])
 
-    every = scratch.keep(texts.mapInArrow(pooled, "doc_id long, x binary"), "pooled")
+    every = scratch.keep(texts.transform(map_arrow, pooled, "doc_id long, x binary"), "pooled")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))
     marked = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null").filter(~held).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -212,5 +212,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.value.score(x), pa.float64())], names=["doc_id", "score"])
 
-    out = every.mapInArrow(scored, "doc_id long, score double")
+    out = every.transform(map_arrow, scored, "doc_id long, score double")
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import Rows, hash_words, id_and_text, rows_of, window_hashes, words_of
+from corvane.llm.common import Rows, hash_words, id_and_text, map_arrow, rows_of, small_batches, trim, window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = ("all rights reserved", "terms of use", "privacy policy", "cookie policy", "use cookies", "lorem ipsum", "enable javascript", "javascript is disabled")
@@ -121,12 +121,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     yield out.take()
         yield out.take()
 
-    got = id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", clean_text binary" * with_text)
+    got = id_and_text(docs, id_col, text_col).transform(map_arrow, run, SCHEMA + ", clean_text binary" * with_text)
     return got.withColumn("clean_text", got["clean_text"].cast("string")) if with_text else got
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", limits: Limits = Limits()) -> DataFrame:
     """The columns of docs for the documents that are kept, with their failing lines taken out of the text; length_col, where docs have it, follows the text."""
+    small_batches(docs.sparkSession)
     judged = docs.withColumn("_verdict", _verdict(limits)(F.col(text_col).cast("binary"))).filter("_verdict is not null")
     names = docs.columns
     length = {length_col: F.length("_verdict").cast(docs.schema[length_col].dataType)} if length_col in names else {}
@@ -138,9 +139,11 @@ def _verdict(limits: Limits):
     def clean(text: pa.Array) -> pa.Array:
         """The cleaned text of a document that is kept, else null."""
         found = (judge(t, limits) for t in text.to_pylist())
-        return pa.array([x[-1].decode("utf-8", "replace") if x[-2] else None for x in found], pa.string())
+        out = pa.array([x[-1].decode("utf-8", "replace") if x[-2] else None for x in found], pa.string())
+        trim()
+        return out
 
-    return clean
+    return clean.asNondeterministic()  # else the filter would run it once more
 
 
 ORACLE_SQL = r"""

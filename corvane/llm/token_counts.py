@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import Rows, id_and_text, rows_of
+from corvane.llm.common import Rows, id_and_text, map_arrow, rows_of
 
 #: Words whose counts a Python worker remembers.
-WORD_CACHE = 600_000
+WORD_CACHE = 500_000
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 _counters: dict[str, Counter] = {}
@@ -101,4 +101,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 yield out.take()
         yield out.take()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return id_and_text(docs, id_col, text_col).transform(map_arrow, run, "doc_id long, n_words long, n_tokens long")

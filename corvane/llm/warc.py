@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Rows, Scratch, rows_of
+from corvane.llm.common import Rows, Scratch, map_arrow, rows_of
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
@@ -71,7 +71,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     yield out.take()
             yield out.take()
 
-    texts = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    texts = joined.transform(map_arrow, run, "value binary").select(F.col("value").cast("string").alias("value"))
     texts.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
 
 
@@ -124,7 +124,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """The records that the chain from the start of each file reaches."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = scratch.keep(files.mapInArrow(_scan, CANDIDATE), "candidates")
+    found = scratch.keep(files.transform(map_arrow, _scan, CANDIDATE), "candidates")
     jump = found.select("file", "begin", "next").distinct()
     reached = found.filter("begin = 0").select("file", "begin").distinct()
     n, spent = reached.count(), []

@@ -87,7 +87,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
 
 def _block_top_k(spark: SparkSession, vectors: DataFrame, block: list, k: int, id_col: str, embedding: str, group: str | None) -> DataFrame:
     keys = np.array([q for q, _ in block], np.int64)
-    matrix = np.array([e for _, e in block], np.float64).reshape(len(block), -1)
+    matrix = np.array([e for _, e in block], np.float64).reshape(len(block), -1 if block else 0)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     sent = spark.sparkContext.broadcast((keys, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)))
     names = ["query_id", "id", "similarity", "group"]

@@ -111,7 +111,7 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRIOR = f"""
 WITH u AS ({_PATHS}), p AS (SELECT page_id, path, lower(path) AS low, string_split(lower(path), '/') AS parts, '{_ASK}' AS q FROM u),
 b AS (SELECT *, parts[len(parts)] AS base, regexp_replace(parts[len(parts)], '(.)\\.[^.]+$', '\\1') AS root FROM (SELECT page_id, path, low, q, string_split(low, '/') AS parts0, list_filter(string_split(low, '/'), lambda x: x <> '') AS parts FROM p))
-SELECT page_id, path, round(
+SELECT page_id, path, CAST(round(
   CASE WHEN contains('/' || low, '/eval/fixtures/') OR contains('/' || low, '/.cursor/') OR contains('/' || low, '/__pycache__/') OR contains('/' || low, '/.venv/') THEN -0.40 ELSE 0.0 END
   + CASE WHEN ends_with(path, '.yml') AND contains('/' || low, '/fixtures/') THEN -0.30 ELSE 0.0 END
   + CASE WHEN ends_with(path, '/__init__.py') THEN -0.35 ELSE 0.0 END
@@ -128,7 +128,7 @@ SELECT page_id, path, round(
   + CASE WHEN starts_with(path, 'decisions/') THEN 0.25 ELSE 0.0 END
   + CASE WHEN starts_with(path, 'vault/spec/') THEN 0.30 ELSE 0.0 END
   + CASE WHEN contains('/' || low, '/tools/') THEN 0.15 ELSE 0.0 END
-  + CASE WHEN contains('/' || low, '/tests/') OR starts_with(path, 'tests/') THEN 0.20 ELSE 0.0 END, 4) AS prior
+  + CASE WHEN contains('/' || low, '/tests/') OR starts_with(path, 'tests/') THEN 0.20 ELSE 0.0 END, 4) AS DOUBLE) AS prior
 FROM b
 """
 
@@ -253,7 +253,7 @@ def mistakes_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mistakes(spark, sf_dir).select("session", "idx", "pre_event_idx", "kind")
 
 
-@query(f"SELECT coalesce(kind, 'all') AS kind, count(*) AS mistakes, CAST(sum(CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS documented, round(sum(CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END) / count(*), 6) AS rate, 'ok' AS status FROM ({_MIST}) GROUP BY ROLLUP (kind)")
+@query(f"SELECT coalesce(kind, 'all') AS kind, count(*) AS mistakes, CAST(sum(CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS documented, round(sum(CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END) / count(*), 6) AS rate, CASE WHEN (SELECT count(DISTINCT user_id) FROM events) >= 20 THEN 'ok' ELSE 'blocked-input' END AS status FROM ({_MIST}) GROUP BY ROLLUP (kind)")
 def repeated_mistake_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "events").agg(F.countDistinct("user_id")).first()[0]
     return sessions.repeated_mistake_rate(_mistakes(spark, sf_dir), F.col("idx") % 3 == 0, n)

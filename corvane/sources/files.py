@@ -98,7 +98,7 @@ def _events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def note_files(spark: SparkSession, root: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     return raw.select(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + escaped(root.rstrip("/")) + "/", "").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
@@ -107,7 +107,7 @@ def fixtures(spark: SparkSession, root: str) -> DataFrame:
     import yaml
 
     rows = []
-    for r in spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.yml").text(root).select(F.col("_metadata.file_path").alias("p"), "value").toLocalIterator():
+    for r in spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.yml").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value").toLocalIterator():
         if "/_example" in r["p"] or r["p"].endswith("/example.yml"):
             continue
         try:

@@ -1,0 +1,471 @@
+"""The training-data operators against brute force, round trips, the tokenizers' own results and held-out accuracy."""
+
+import json
+import math
+import random
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corvane.llm import decontamination, jaccard_join, katz, line_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, warc
+from corvane.llm.queries import PIECES, WORD_BPE, oracle_sql, queries
+
+from ..conftest import SMALL
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Nulls in any column, empty texts, repeated rows, ties.
+ODD = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d e f g h i j k l.", "en", "s", 1), (3, "x y", "en", None, 3), (3, "x y", "en", None, 3), (4, " \t\n\n ", "en", "s", 5), (5, "a b c d e f g h i j k l.", "en", "s", 1)]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([r if len(r) == 5 else (*r, "en", "s", len(r[1] or "")) for r in rows], DOCS)
+
+
+def texts(n, seed, words=40, vocabulary=300):
+    r = random.Random(seed)
+    return [(i, "\n".join(" ".join(f"w{r.randrange(vocabulary)}" for _ in range(r.randint(1, 12))) + "." for _ in range(r.randint(1, words // 6)))) for i in range(n)]
+
+
+def clashing(df):
+    """The frame with columns that have the names of results and of the operators' own columns."""
+    return df.withColumns({c: F.lit("x") for c in ("score", "component_id", "kept", "n_words", "_text", "_id", "sequence_id", "piece", "seg", "bucket", "n", "rank", "doc")})
+
+
+OPERATORS = {
+    "decontamination": lambda d, s: decontamination.contamination(d, s.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")),
+    "packing": lambda d, s: packing.best_fit_packing(d, packing.public_tokenizer(WORD_BPE)),
+    "lines": lambda d, s: line_dedup.repeated_runs(d, min_words=5),
+    "warc": lambda d, s: warc.round_trip(d, "doc_id", "source", "text"),
+    "secrets": lambda d, s: secrets.candidates(d),
+    "quality": lambda d, s: quality_classifier.quality_scores(d, s.createDataFrame([(5, 1), (3, 0), (None, 1), (1, None)], "doc_id long, quality int")),
+    "jaccard": lambda d, s: jaccard_join.jaccard_components(d),
+    "tokens": lambda d, s: token_counts.token_counts(d, packing.public_tokenizer(PIECES)),
+    "rules": lambda d, s: quality_rules.quality_rules(d),
+    "katz": lambda d, s: katz.katz_scores(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_edge_cases(spark, name):
+    op = OPERATORS[name]
+    assert op(docs(spark, ODD).limit(0), spark).count() == 0
+    odd = clashing(docs(spark, ODD))
+    got = op(odd, spark).collect()
+    again = op(docs(spark, ODD), spark).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    if name not in ("decontamination", "lines", "secrets"):
+        key = "page_id" if name == "warc" else "doc_id"
+        assert Counter(r[key] for r in got) == Counter(r[0] for r in ODD)
+
+
+def test_whole_stage_results_of_odd_rows(spark):
+    rules = {(r.doc_id, r.base_failed, r.kept) for r in quality_rules.quality_rules(docs(spark, ODD)).collect()}
+    assert rules == {(1, True, False), (2, True, False), (3, True, False), (4, True, False), (None, False, True), (5, False, True)}
+    lines = {(r.doc_id, r.line_start, r.line_end) for r in line_dedup.repeated_runs(docs(spark, ODD), min_words=5).collect()}
+    assert lines == {(5, 0, 1)}  # a null id is smaller than all ids
+    sets = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(spark, ODD)).collect()}
+    assert sets == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (0, 4), None: (8, 5), 5: (8, 5)}
+
+
+def test_very_long_text(spark):
+    long = docs(spark, [(1, "word " * 200_000), (2, "x" * 300_000), (3, "a b c.")])
+    for name in ("packing", "lines", "jaccard", "tokens", "rules", "katz", "decontamination"):
+        OPERATORS[name](long, spark).collect()
+
+
+# 1 Decontamination
+
+
+def plain_tiles(item, text, least):
+    """Greedy string tiling by trying all pairs of places."""
+    free_i, free_t, covered = [True] * len(item), [True] * len(text), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and free_i[i + n] and free_t[j + n] and item[i + n] == text[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return covered
+        free_i[i : i + n] = [False] * n
+        free_t[j : j + n] = [False] * n
+        covered += n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=14), st.lists(st.integers(0, 4), max_size=22), st.integers(1, 3))
+def test_tiling_equals_plain_tiling(item, text, least):
+    tiles = decontamination.tile(np.array(item), np.array(text, dtype=np.int64), least)
+    used_i, used_t = set(), set()
+    for i, j, n in tiles:
+        assert n >= least and item[i : i + n] == text[j : j + n]
+        assert not used_i & set(range(i, i + n)) and not used_t & set(range(j, j + n))
+        used_i |= set(range(i, i + n))
+        used_t |= set(range(j, j + n))
+    longest = max((n for _, _, n in tiles), default=0)
+    first = plain_tiles(item, text, least)
+    assert (first == 0) == (longest == 0)
+    rest_i = [x if k not in used_i else -1 for k, x in enumerate(item)]
+    rest_t = [x if k not in used_t else -2 for k, x in enumerate(text)]
+    assert plain_tiles(rest_i, rest_t, least) == 0  # nothing is left to tile
+
+
+def test_reordered_passages_are_found(spark):
+    item = " ".join(f"b{i}" for i in range(40))
+    w = item.split()
+    cases = [(1, "start " + item + " end"), (2, " ".join(w[20:] + ["gap"] + w[:20])), (3, " ".join(w[:15]) + " other text"), (4, "unrelated " * 30), (5, item.upper().replace(" ", ",\n")), (6, " ".join(w[i] for i in range(0, 40, 2)))]
+    bench = spark.createDataFrame([(7, item), (8, "b1 b2"), (9, ""), (None, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contamination(docs(spark, cases), bench).collect()}
+    assert {k for k in got if k[1] == 7} == {(1, 7), (2, 7), (5, 7)} and got[2, 7].n_tiles == 2
+    assert {k for k in got if k[1] == 8} == {(1, 8), (2, 8), (3, 8), (5, 8)}
+    blocks = decontamination.contamination(docs(spark, cases), bench, block_words=3)
+    assert {(r.doc_id, r.item_id) for r in blocks.collect()} == set(got)
+    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, cases), bench).collect()} == {4, 6}
+
+
+# 2 Packing
+
+
+def fewest(items, capacity):
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] >= items[i] and bins[k] not in bins[:k]:
+                bins[k] -= items[i]
+                go(i + 1, bins)
+                bins[k] += items[i]
+        go(i + 1, [*bins, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(5, 30).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=8))))
+def test_dominance_keeps_the_optimum(case):
+    capacity, items = case
+    left = dict(Counter(items))
+    fixed = packing.reduce_by_dominance(left, capacity)
+    rest = [w for w, n in left.items() for _ in range(n)]
+    assert sum(n for _, n in fixed) + fewest(rest, capacity) == fewest(items, capacity)
+    got = Counter()
+    for parts, times in packing.solve(dict(Counter(items)), capacity):
+        assert sum(w * k for w, k in parts) <= capacity
+        for w, k in parts:
+            got[w] += k * times
+    assert got == Counter(items)
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizer(WORD_BPE)
+    model = Tokenizer.from_file(path)
+    rows = texts(80, 3, 200) + [(900, "long " * 9000), (901, ""), (902, "it's <|endoftext|> İß Σ 日本 x,. 🎉")]
+    got = packing.best_fit_packing(docs(spark, rows), path, with_ids=True).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+    for i, text in rows:
+        ids = model.encode(text, add_special_tokens=False).ids + [1]
+        own = sorted(by_doc[i], key=lambda r: r.piece)
+        assert b"".join(r.ids for r in own) == struct.pack(f"<{len(ids)}I", *ids)
+        assert [r.start for r in own] == list(range(0, len(ids), 4096)) and all(r.length == 4096 for r in own[:-1])
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert len(by_sequence) <= math.ceil(sum(r.length for r in got) / 4096) + 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aZé'st.,19 \n!<|>ßΣİ日́🎉_\x85\xa0", max_size=20))
+def test_word_ids_equal_text_ids(text):
+    path = packing.public_tokenizer(WORD_BPE)
+    want = packing.WordTokenizer(path).model.encode(text, add_special_tokens=False).ids
+    assert packing.WordTokenizer(path).ids([text.encode()])[0] == struct.pack(f"<{len(want)}I", *want)
+
+
+# 3 Lines
+
+
+def plain_deleted(rows, least):
+    """Lines inside a run that an earlier place repeats, by trying all pairs of places."""
+    seq = [(i, [x for x in t.split("\n") if x.split()]) for i, t in sorted(rows)]
+    places = [(d, k) for d, (_, ls) in enumerate(seq) for k in range(len(ls))]
+    gone = set()
+    for x, (d, k) in enumerate(places):
+        for e, m in places[:x]:
+            n = words = 0
+            while k + n < len(seq[d][1]) and m + n < len(seq[e][1]) and seq[d][1][k + n] == seq[e][1][m + n]:
+                words += len(seq[d][1][k + n].split())
+                n += 1
+            if words >= least:
+                gone |= {(seq[d][0], k + j) for j in range(n)}
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_equals_plain(spark, seed):
+    r = random.Random(seed)
+    pool = ["a b", "c", "d e f", "g h", "x " * 7, "", "  "]
+    rows = [(i, "\n".join(r.choice([*pool, f"u{r.random()}", f"v{r.random()} z"]) for _ in range(r.randint(0, 12)))) for i in range(25)]
+    rows += [(90, rows[3][1]), (91, rows[3][1]), (92, "\n".join(["a b"] * 20))]
+    least = r.choice([3, 5, 6])
+    got = line_dedup.repeated_runs(docs(spark, rows), min_words=least).collect()
+    want = plain_deleted(rows, least)
+    assert {(x.doc_id, k) for x in got for k in range(x.line_start, x.line_end)} == want
+    kept = {x.doc_id: x for x in line_dedup.dedup_lines(docs(spark, rows), min_words=least).collect()}
+    for i, text in rows:
+        lines, k, left = text.split("\n"), 0, []
+        for line in lines:
+            if line.split():
+                left += [] if (i, k) in want else [line]
+                k += 1
+            else:
+                left.append(line)
+        if k and not any(x.split() for x in left):
+            assert i not in kept
+        else:
+            assert kept[i].text == "\n".join(left) and kept[i].n_chars == len(kept[i].text)
+
+
+# 4 WARC
+
+EVIL = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\na\r\n\r\nWARC/1.1\r\nContent-Length: 2\r\n\r\nzz\r\n\r\n"
+
+
+def test_magic_inside_payloads_is_rejected(spark):
+    pages = [(1, "u", EVIL), (2, None, None), (3, "http://a b/é\r\n", ""), (4, "u", EVIL), (7, "z", "q\r\n\r\n"), (8, "z", "\r\n"), (9, "z", "WARC/1.1\r\n"), (None, "z", EVIL)]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string"), archive_records=3).collect()}
+    assert set(got) == {p[0] for p in pages}
+    for i, _, html in pages:
+        payload = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(payload), warc.payload_digest(payload))
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items() if r.record_type == "revisit"} == {3: ("revisit", 2), 4: ("revisit", 1), None: ("revisit", 1)}
+    assert len(list(warc.candidates(warc.record(1, "u", EVIL.encode(), None, "d")))) > 1
+
+
+def test_cut_archive_ends_with_its_last_record():
+    two = warc.record(1, "u", b"a", None, "d") + warc.record(2, "u", b"b", None, "d")
+    assert [c[2] for c in warc.candidates(two[:-3])] == [1]
+
+
+# 5 Secrets
+
+
+def test_secrets_held_out(spark):
+    model = secrets.train(secrets.labelled(spark, secrets.example_findings()))
+    held = secrets.features(secrets.labelled(spark, secrets.example_findings(2_000, 99))).withColumn("score", secrets.as_column(model)).select("label", "score").toPandas()
+    assert ((held.score >= 0.5) == (held.label == 1)).mean() > 0.97
+
+
+def test_secret_places(spark):
+    key = "AKIA" + "Q7" * 8
+    rows = [(1, f'é🎉 aws key = "{key}" then commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff and 4785380592391139'), (2, "no findings here"), (3, key)]
+    got = secrets.secret_findings(docs(spark, rows)).collect()
+    text = dict(rows)
+    for r in got:
+        import hashlib
+
+        assert hashlib.sha256(text[r.doc_id][r.start : r.start + r.length].encode()).hexdigest() == r.secret_sha256
+    assert [(r.doc_id, r.finding, r.is_secret) for r in sorted(got, key=lambda r: (r.doc_id, r.finding))] == [(1, 0, True), (1, 1, False), (1, 2, False), (3, 0, True)]
+
+
+# 6 Quality
+
+
+def test_quality_on_held_out_labels(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality_classifier.quality_scores(d, labels).join(labels, "doc_id").toPandas()
+    assert got.score.between(0, 1).all() and (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
+    held = got[got.held_out]
+    assert (held.predicted == held.quality).mean() > 0.9
+
+
+def test_temperature_of_one_class():
+    assert quality_classifier.Network(np.zeros((3, 2)), np.ones(3)).score(np.zeros((2, 2))).tolist() == [1.0, 1.0]
+    assert quality_classifier.Network(np.zeros((0, 2)), np.zeros(0)).score(np.zeros((1, 2))).tolist() == [0.5]
+
+
+# 7 Jaccard
+
+
+def plain_components(rows, size=5, percent=80):
+    sets, root = {}, {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        k = min(size, len(w))
+        sets[i], root[i] = ({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()), i
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for n, a in enumerate(keys):
+        for b in keys[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_equal_plain(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(8):
+        base = [f"w{r.randrange(400)}" for _ in range(r.randint(6, 90))]
+        for _ in range(14):
+            x = list(base)
+            for _ in range(r.randint(0, 4)):
+                x[r.randrange(len(x))] = f"z{r.random()}"
+            rows.append((len(rows) * 3 + r.randrange(3), " ".join(x)))
+    rows += [(5000, "a b"), (5001, "A  b"), (5002, "a b c d e"), (5003, "")]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(docs(spark, rows)).collect()}
+    want = plain_components(rows)
+    assert got == want
+    small = jaccard_join.jaccard_components(docs(spark, rows), segment=900, heavy=3)  # many segments, and heavy tokens in them
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in small.collect()} == want
+    kept = {x.doc_id for x in jaccard_join.drop_near_copies(docs(spark, rows)).collect()}
+    assert kept == {i for i, (_, c) in want.items() if i == c}
+
+
+# 8 Token counts
+
+
+def test_counts_equal_the_library():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    r = random.Random(1)
+
+    def library(vocabulary, byte_fallback):
+        t = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=byte_fallback))
+        t.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
+        return t
+
+    for _ in range(60):  # few scores, so there are many ties
+        pieces = {"".join(r.choice("abcd▁") for _ in range(r.randint(1, 4))) for _ in range(12)}
+        vocabulary = [("<unk>", 0.0)] + [(p, -float(r.randint(1, 4))) for p in sorted(pieces)]
+        mine, theirs = token_counts.Counter(vocabulary), library(vocabulary, False)
+        for _ in range(20):
+            w = "".join(r.choice("abcdz") for _ in range(r.randint(1, 9)))
+            assert mine.count("▁" + w) == len(theirs.encode(w, add_special_tokens=False).ids)
+    vocabulary = token_counts.vocabulary(packing.public_tokenizer(PIECES))
+    mine, theirs = token_counts.Counter(vocabulary), library(vocabulary, True)
+    for w in ["hello", "日本語テキスト", "🎉🎉a", "<s>", "<0x41>", "ÀÉ", "straße", "x" * 40, *(w for _, t in texts(5, 2) for w in t.split())]:
+        assert mine.count("▁" + w) == len(theirs.encode(w, add_special_tokens=False).ids)
+
+
+# 9 Rules
+
+
+@pytest.mark.parametrize("name", ["op9_quality_rules", "op4_warc_round_trip"])
+def test_queries_match_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    mine = queries()[name](spark, SMALL)
+    found = c.sql(oracle_sql()[name])
+    cols = sorted(found.columns)
+    assert sorted(mine.columns) == cols
+    at = [found.columns.index(k) for k in cols]
+    assert sorted((tuple(r[k] for k in cols) for r in mine.collect()), key=repr) == sorted((tuple(r[k] for k in at) for r in found.fetchall()), key=repr)
+
+
+def test_line_rules(spark):
+    good = "This is a plain line of text that ends well."
+    rows = [(1, "\n".join([good, "HOME | ABOUT | NEWS | CONTACT", "Another sentence stands here and it is kept as well.", "All rights reserved."])), (2, "a$$$ b### c&&& d*** e%%% f$$$ g### h&&& i*** j%%% k$$$ l###"), (3, "WHY!! SO!! LOUD!! EVERY!! WORD!! OF!! THIS!! IS!! SHOUTED!! OUT!! HERE!!")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, rows), with_text=True).collect()}
+    assert got[1].kept and got[1].clean_text == f"{good}\nAnother sentence stands here and it is kept as well." and got[1].lost_words == 10
+    assert not got[2].kept and not got[3].kept and not got[2].base_failed
+    kept = quality_rules.clean_documents(docs(spark, rows)).collect()
+    assert [(r.doc_id, r.text, r.n_chars) for r in kept] == [(1, got[1].clean_text, len(got[1].clean_text))]
+
+
+# 10 Katz
+
+
+def plain_katz(rows):
+    all_ = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in rows]
+    train = [t for i, t in all_ if zlib.crc32(str(i).encode()) % 10]
+    c, b = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([None, *t], t))
+    n = sum(c.values())
+    hist = lambda x: [Counter(min(v, 7) for v in x.values())[r] for r in range(1, 8)]
+    dw, dp = katz.discounts(hist(c)), katz.discounts(hist(b))
+    word = {w: dw[min(k, 6)] * k / n for w, k in c.items()}
+    left = 1 - sum(word.values())
+    total = Counter()
+    for (v, _), k in b.items():
+        total[v] += k
+    pair, after = {p: dp[min(k, 6)] * k / total[p[0]] for p, k in b.items()}, defaultdict(list)
+    for p in b:
+        after[p[0]].append(p)
+    weight = {v: (1 - sum(pair[p] for p in ps)) / (1 - sum(word[p[1]] for p in ps)) for v, ps in after.items()}
+    for v in after:  # exactly normalised
+        seen = {p[1] for p in after[v]}
+        assert math.isclose(sum(pair[p] for p in after[v]) + weight[v] * (left + sum(x for w, x in word.items() if w not in seen)), 1)
+    score = lambda t: sum(math.log10(pair[p] if p in pair else weight.get(p[0], 1) * word.get(p[1], left)) for p in zip([None, *t], t))
+    return {i: (zlib.crc32(str(i).encode()) % 10 == 0, len(t), sum(w in c for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in t), score(t)) for i, t in all_}
+
+
+def test_katz_equals_plain(spark):
+    rows = texts(120, 8, 60, 40) + [(1000, ""), (1001, None), (1002, "never seen words"), (1003, "W1 w2")]
+    want = plain_katz(rows)
+    for r in katz.katz_scores(docs(spark, rows)).collect():
+        w = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
+        assert math.isclose(r.base_score, w[4], rel_tol=1e-9) and math.isclose(r.score, w[5], rel_tol=1e-9)
+
+
+def test_katz_without_training_texts(spark):
+    only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    r = katz.katz_scores(docs(spark, [(only, "a b")])).first()
+    assert (r.held_out, r.train_tokens, r.n_known, r.score) == (True, 0, 0, 0.0)
+
+
+# Pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    schema, rows = d.schema, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in d.collect()}
+        d = stage(spark, d, SMALL)
+        assert [(f.name, f.dataType) for f in d.schema] == [(f.name, f.dataType) for f in schema], name
+        after = {r.doc_id: r.text for r in d.collect()}
+        assert set(after) <= set(before) and len(after) > 0.7 * len(before)
+        d = spark.createDataFrame(d.collect(), schema)
+        if name == "ngram_jaccard_join":
+            assert all(i == c for i, (_, c) in plain_components(list(after.items())).items())
+        rows = d
+    bench = {" ".join(decontamination.words(r.text.encode())) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    assert not any(b in " ".join(decontamination.words(r.text.encode())) for r in rows.collect() for b in bench)
+    assert json.dumps(corpus_pipeline.run(spark, SMALL).columns) == json.dumps(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])

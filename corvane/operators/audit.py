@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +107,37 @@ def verdict(response: Column | str, passes: int = 1) -> Column:
     got = F.from_json(first_json_object(response), "was_documented boolean, confidence double, evidence array<string>, rationale string")
     confidence = F.coalesce(got["confidence"], F.lit(0.0))
     return F.struct(F.coalesce(got["was_documented"], F.lit(False)).alias("was_documented"), confidence.alias("confidence"), F.coalesce(got["evidence"], F.array().cast("array<string>")).alias("evidence"), ((confidence < 0.3) & F.lit(passes >= 2)).alias("needs_manual_review"), (confidence >= 0.5).alias("accepted"))
+
+
+def imports(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """path, line, module, kind (static, dynamic, type_checking) of each import of Python files; files that do not parse give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, *found) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for found in _imports(t or "")]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "line", "module", "kind"])
+
+    return files.select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, "path string, line int, module string, kind string")
+
+
+def _imports(source: str) -> Iterator[tuple[int, str, str]]:
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError):
+        return
+    guarded = {n.lineno for x in ast.walk(tree) if isinstance(x, ast.If) and ast.unparse(x.test) in ("TYPE_CHECKING", "typing.TYPE_CHECKING") for y in x.body for n in ast.walk(y) if hasattr(n, "lineno")}
+    for node in ast.walk(tree):
+        kind = "type_checking" if getattr(node, "lineno", 0) in guarded else "static"
+        if isinstance(node, ast.Import):
+            yield from ((node.lineno, a.name, kind) for a in node.names)
+        elif isinstance(node, ast.ImportFrom) and node.module and not node.level:
+            yield node.lineno, node.module, kind
+        elif isinstance(node, ast.Call) and ast.unparse(node.func) in ("importlib.import_module", "import_module", "__import__") and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
+            yield node.lineno, node.args[0].value, "dynamic"
+
+
+def boundary_violations(found: DataFrame, forbidden: str) -> DataFrame:
+    """Imports of modules that match a pattern."""
+    return found.filter(F.col("module").rlike(forbidden))

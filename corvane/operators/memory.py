@@ -31,3 +31,11 @@ def query(sections: DataFrame, needle: str, limit: int = 10, text: str = "body",
     live = found.join(revoked_ids(sections, text), "id", "left_anti")
     excerpt = F.substring(F.array_join(F.slice(F.split(text, "\n"), 1, 8), "\n"), 1, 500)
     return live.orderBy(*order).limit(limit).select("id", *order, excerpt.alias("excerpt"))
+
+
+def episodes(rows: DataFrame, stamp: str, source: str = "episode", name: str = "name", body: str = "body") -> DataFrame:
+    """path, id, text of episode notes; the stamp keeps names that are written twice apart."""
+    own = F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("untitled"))
+    key = F.concat(F.lit("episode."), own, F.lit(f".{stamp}"))
+    head = F.concat(F.lit("---\nid: "), key, F.lit("\ntype: episode-architecture-summary\nstatus: active\ntitle: \""), F.col(name), F.lit(f'"\nsource_description: "{source}"\n---\n\n# '), F.col(name), F.lit("\n\n"))
+    return rows.select(F.concat(F.lit("episodes/"), own, F.lit(f"-{stamp}.md")).alias("path"), key.alias("id"), F.concat(head, F.trim(body), F.lit("\n")).alias("text"))

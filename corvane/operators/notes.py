@@ -104,3 +104,25 @@ def specs_by_kind(notes_: DataFrame) -> DataFrame:
 
 def recent(files: DataFrame, modified: str = "modified", n: int = 10) -> DataFrame:
     return files.orderBy(F.desc(modified), "path").limit(n)
+
+
+def recently_active(files: DataFrame, folders: tuple[str, ...], today: str, days: int = 14, n: int = 10, modified: str = "modified") -> DataFrame:
+    """The last changed notes of some folders."""
+    inside = F.lit(False)
+    for f in folders:
+        inside = inside | F.col("path").startswith(f)
+    return recent(files.filter(inside & (F.to_date(modified) >= F.date_sub(F.to_date(F.lit(today)), days))), modified, n)
+
+
+def promoted(files: DataFrame, today: str, folder: str = "episodes/", modified: str = "modified") -> DataFrame:
+    """Episodes of the last day."""
+    return files.filter(F.col("path").startswith(folder) & (F.to_date(modified) >= F.date_sub(F.to_date(F.lit(today)), 1))).orderBy(F.desc(modified), "path")
+
+
+def own_open_decisions(notes_: DataFrame, owner: str) -> DataFrame:
+    return decisions_by_status(notes_.filter(F.array_contains("owners", owner)), "proposed")
+
+
+def own_stale(notes_: DataFrame, owner: str, today: str, days: int = 60) -> DataFrame:
+    old = F.col("last_validated").isNull() | (F.col("last_validated") < F.date_sub(F.to_date(F.lit(today)), days))
+    return notes_.filter((F.col("type") == "spec") & F.array_contains("owners", owner) & old).select("id", "last_validated").orderBy(F.asc_nulls_first("last_validated"), "id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as tx
 from corvane.functions.prior import Prior
 from corvane.functions.vectors import hash_embedding
-from corvane.operators import audit, chunking, evals, graph, memory, notes, sessions, sync, vector
+from corvane.operators import ann, audit, chunking, evals, graph, memory, notes, sessions, sync, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -637,3 +637,51 @@ def fixture_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, CAST(dense_rank() OVER (ORDER BY label, vec_id) - 1 AS BIGINT) AS internal_id FROM embeddings")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.stable_ids(table(spark, sf_dir, "embeddings").select("vec_id", F.struct("label", "vec_id").alias("s")), "vec_id", "s")
+
+
+@query()
+def vector_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate search with inverted lists; its recall is tested against exact search."""
+    e = table(spark, sf_dir, "embeddings")
+    centres = ann.centroids(e, 16)
+    return ann.search(ann.build(e, centres), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), centres, 8, 10)
+
+
+@query("WITH m AS (SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: abs(x::DOUBLE)), 'max') / 127.0 AS scale, embedding FROM embeddings) SELECT vec_id, round(scale, 9) AS scale, CAST(list_sum(list_transform(embedding, lambda x: CAST(round(x::DOUBLE / scale) AS BIGINT))) AS BIGINT) AS total FROM m")
+def vector_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "embeddings").select("vec_id", ann.quantize(F.col("embedding")).alias("q"))
+    return q.select("vec_id", F.round("q.scale", 9).alias("scale"), F.aggregate("q.codes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"SELECT id, filed FROM ({_NOTES}) WHERE type = 'adr' AND status = 'proposed' AND owned")
+def view_own_open_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.own_open_decisions(note_table(spark, sf_dir), "a").select("id", "filed")
+
+
+@query(f"SELECT id, last_validated FROM ({_NOTES}) WHERE type = 'spec' AND owned AND (last_validated IS NULL OR last_validated < DATE '2024-07-01' - 60)")
+def view_own_stale_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.own_stale(note_table(spark, sf_dir), "b", "2024-07-01")
+
+
+_PAGES_AT = "SELECT CASE page_id % 3 WHEN 0 THEN 'spec/' WHEN 1 THEN 'episodes/' ELSE 'other/' END || page_id AS path, DATE '2024-01-01' + CAST(page_id % 40 AS INTEGER) AS d FROM pages"
+
+
+def dated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    folder = F.element_at(F.array(*map(F.lit, ("spec/", "episodes/", "other/"))), (i % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select(F.concat(folder, i.cast("string")).alias("path"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 40).cast("int")).alias("modified"))
+
+
+@query(f"SELECT path FROM ({_PAGES_AT}) WHERE (starts_with(path, 'spec/') OR starts_with(path, 'episodes/')) AND d >= DATE '2024-02-09' - 14 ORDER BY d DESC, path LIMIT 10")
+def view_recently_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.recently_active(dated_files(spark, sf_dir), ("spec/", "episodes/"), "2024-02-09").select("path")
+
+
+@query(f"SELECT path FROM ({_PAGES_AT}) WHERE starts_with(path, 'episodes/') AND d >= DATE '2024-02-09' - 1")
+def view_promoted_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.promoted(dated_files(spark, sf_dir), "2024-02-09").select("path")
+
+
+@query("WITH c AS (SELECT text, list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '\\S')) AS l FROM conversations) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN len(l) = 0 THEN 'unknown' WHEN regexp_matches(lower(text), 'assert|panicked|traceback|expected|error:|failed|exception|left:|right:') THEN 'real-test-failure' WHEN length(trim(l[1])) < 80 AND len(l) <= 2 THEN 'commit-subject' ELSE 'unknown' END AS kind FROM c) GROUP BY kind")
+def fixture_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy(audit.failure_kind("text").alias("kind")).agg(F.count("*").alias("n"))

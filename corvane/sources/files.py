@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
@@ -58,6 +59,11 @@ def load_sources(text: str, base: str, packs: set[str]) -> list[Source]:
     return out
 
 
+def default_sources(candidates: list[str], exists: Callable[[str], bool]) -> str | None:
+    """The first `sources.toml` of the folders, in their order: the working folder before the repository."""
+    return next((p for p in (f"{c.rstrip('/')}/sources.toml" for c in candidates) if exists(p)), None)
+
+
 def tree(spark: SparkSession, source: Source) -> DataFrame:
     """path (relative to the root), text (null for binary files), size, modified of the files that a source selects."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source.root)
@@ -74,7 +80,9 @@ def escaped(text: str) -> str:
 def parsed(files: DataFrame) -> DataFrame:
     """Adds language, crate (the directory after `crates/`) and content_hash; files that no chunker takes go."""
     crate = F.coalesce(F.nullif(F.regexp_extract("path", "^crates/([^/]+)/", 1), F.lit("")), F.lit("unknown"))
-    return files.withColumn("language", language("path")).filter("language is not null and text is not null").withColumn("crate", crate).withColumn("content_hash", content_hash("text"))
+    known = files.withColumn("language", language("path")).filter("language is not null and text is not null")
+    own = known.withColumn("text", F.when(F.col("language") == "rust", "").otherwise(F.col("text")))  # a node of the graph, without chunks
+    return own.withColumn("crate", crate).withColumn("content_hash", content_hash("text"))
 
 
 def ingest(files: DataFrame, source_root: str) -> DataFrame:

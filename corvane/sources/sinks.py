@@ -21,6 +21,11 @@ def schema_name(name: str) -> str:
     return name
 
 
+def resolve_schema(flag: str | None, env: str | None, default: str) -> str:
+    """A flag counts before the environment, and that before the default."""
+    return schema_name(flag or env or default)
+
+
 def table_name(name: str) -> str:
     if name not in TABLES:
         raise ValueError(f"not a chunk table: {name!r}")

@@ -485,3 +485,40 @@ def test_sinks(spark):
     old = spark.createDataFrame([("a", "seed-hash: h1\nB"), ("b", "seed-hash: zz\nB\n<!-- human -->\nkeep me")], "slug string, text string")
     got = {r.slug: r for r in sinks.seed_notes(seeds, old).collect()}
     assert [got[k].status for k in "abc"] == ["skipped", "updated", "created"] and got["b"].text.endswith("keep me")
+
+
+# Further operators
+
+
+def test_list_index_recall(spark):
+    from corvane.operators import ann
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    centres = ann.centroids(e, 16)
+    index = ann.build(e, centres)
+    assert index.count() == e.count()
+    assert ann.recall(ann.search(index, asked, centres, 8, 10), vector.batch_top_k(e, asked, 8)) >= 0.9
+    assert ann.recall(ann.search(index, asked, centres, 8, len(centres)), vector.batch_top_k(e, asked, 8)) == 1.0
+    code = e.select(ann.quantize(F.col("embedding")).alias("q"), "embedding").select(ann.dequantize(F.col("q")).alias("d"), "embedding", "q").first()
+    assert max(abs(a - b) for a, b in zip(code.d, code.embedding, strict=True)) <= code.q.scale / 2 + 1e-9
+    with pytest.raises(ValueError, match="no such vector backend"):
+        ann.backend("other")
+
+
+def test_imports(spark):
+    text = "import a.b\nfrom typing import TYPE_CHECKING\nif TYPE_CHECKING:\n    import c_pack\nimport importlib\nx = importlib.import_module('d_pack')\nfrom . import e\n"
+    got = audit.imports(spark.createDataFrame([("p.py", text), ("q.py", "def (")], "path string, text string"))
+    assert {(r.line, r.module, r.kind) for r in got.collect()} == {(1, "a.b", "static"), (2, "typing", "static"), (4, "c_pack", "type_checking"), (5, "importlib", "static"), (6, "d_pack", "dynamic")}
+    assert audit.boundary_violations(got, "_pack$").count() == 2
+
+
+def test_episodes_sources_receipts(spark):
+    from corvane.sources.files import default_sources
+
+    got = memory.episodes(spark.createDataFrame([("A b!", " x "), ("!!", "y")], "name string, body string"), "20240101-000000").collect()
+    assert [r.id for r in got] == ["episode.a-b.20240101-000000", "episode.untitled.20240101-000000"] and got[0].text.endswith("# A b!\n\nx\n")
+    assert default_sources(["/a", "/b"], lambda p: p.startswith("/b")) == "/b/sources.toml" and default_sources([], lambda p: True) is None
+    assert sinks.resolve_schema(None, "e", "d") == "e" and sinks.resolve_schema("f", "e", "d") == "f"
+    s = receipts.HmacSigner(b"k")
+    assert receipts.evaluate([receipts.sign({"status": "ok", "results": []}, s)], s) == {"verifiable_fraction": 1.0, "tamper_rejection_fraction": 1.0}

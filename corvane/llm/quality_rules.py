@@ -128,10 +128,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", limits: Limits = Limits()) -> DataFrame:
     """The columns of docs for the documents that are kept, with their failing lines taken out of the text; length_col, where docs have it, follows the text."""
     small_batches(docs.sparkSession)
-    judged = docs.withColumn("_verdict", _verdict(limits)(F.col(text_col).cast("binary"))).filter("_verdict is not null")
+    judged = docs.withColumn("__corvane_verdict", _verdict(limits)(F.col(text_col).cast("binary"))).filter("__corvane_verdict is not null")
     names = docs.columns
-    length = {length_col: F.length("_verdict").cast(docs.schema[length_col].dataType)} if length_col in names else {}
-    return judged.withColumns(length | {text_col: F.col("_verdict")}).select(*[F.col(f"`{n}`") for n in names])
+    length = {length_col: F.length("__corvane_verdict").cast(docs.schema[length_col].dataType)} if length_col in names else {}
+    return judged.withColumns(length | {text_col: F.col("__corvane_verdict")}).select(*[F.col(f"`{n}`") for n in names])
 
 
 def _verdict(limits: Limits):

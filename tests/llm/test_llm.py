@@ -451,6 +451,24 @@ def test_katz_without_training_texts(spark):
 # Pipeline
 
 
+def test_stages_on_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    stages = {
+        "rules": (quality_rules.clean_documents, [None, 5]),
+        "lines": (lambda d: line_dedup.dedup_lines(d, min_words=5), [None, 1, 2, 3, 3, 4]),
+        "jaccard": (jaccard_join.drop_near_copies, [None, 1, 2, 3, 3, 4, 5]),
+        "decontamination": (lambda d: decontamination.decontaminate(d, bench), [1, 2, 3, 3, 4]),
+    }
+    odd = clashing(docs(spark, ODD)).withColumns({c: F.lit("y") for c in ("_kept", "_verdict", "_n", "_s", "_e", "_h", "_i", "_new", "_gone")})
+    for name, (stage, ids) in stages.items():
+        got = stage(odd)
+        assert got.columns == odd.columns, name
+        rows = got.collect()
+        assert sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i or 0)) == ids, name
+        assert all(r["_n"] == "y" and r["score"] == "x" for r in rows), name
+        assert stage(odd.limit(0)).count() == 0, name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

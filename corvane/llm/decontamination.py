@@ -23,10 +23,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.llm.common import Rows, id_and_text, rows_of, window_hashes
+from corvane.llm.common import Rows, id_and_text, map_arrow, rows_of, small_batches, trim, window_hashes
 
 _WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, coverage double"
@@ -180,11 +182,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield out.take()
             yield out.take()
 
-        found.append(texts.mapInArrow(run, SCHEMA))
+        found.append(texts.transform(map_arrow, run, SCHEMA))
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+    """The documents that hold no item. Each is judged where it is read, so no text is shuffled."""
+    spark, out = docs.sparkSession, docs
+    small_batches(spark)
+    for block in blocks(benchmark, item_id, item_text, min_match, block_words):
+        out = out.filter(~_holds(spark.sparkContext.broadcast(block), threshold)(F.col(text_col).cast("binary")))
+    return out
+
+
+def _holds(sent: Broadcast, threshold: float):
+    @F.arrow_udf(T.BooleanType())
+    def holds(text: pa.Array) -> pa.Array:
+        out = pa.array([any(covered >= threshold * n for _, n, covered, _ in sent.value.holds(t)) for t in text.to_pylist()], pa.bool_())
+        trim()
+        return out
+
+    return holds

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import Rows, Scratch, rows_of
+from corvane.llm.common import Rows, Scratch, map_arrow, rows_of, small_batches
 
 NULL_ID = -(1 << 63)
 _LINE = np.dtype([("a", "<u8"), ("b", "<u8"), ("ahead", "<i4"), ("back", "<i4")])
@@ -84,10 +84,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(docs.sparkSession, "lines")
     run, schema = _documents(min_words)
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    every = scratch.keep(text.select("id", "text", F.unhex(F.md5("text")).alias("h")).filter("text is not null").mapInArrow(run, schema).filter(F.col("n_words") >= min_words), "documents")
+    every = scratch.keep(text.select("id", "text", F.unhex(F.md5("text")).alias("h")).filter("text is not null").transform(map_arrow, run, schema).filter(F.col("n_words") >= min_words), "documents")
     first = scratch.keep(_ranked(every.groupBy("h").agg(F.min("id").alias("first")), ["first", "h"], "doc"), "first")
     mine = every.join(first.withColumnRenamed("first", "id"), ["h", "id"]).dropDuplicates(["doc"]).select("doc", "lines")
-    lines = scratch.keep(mine.mapInArrow(_explode, "doc long, at int, a long, b long, ahead int, back int"), "lines")
+    lines = scratch.keep(mine.transform(map_arrow, _explode, "doc long, at int, a long, b long, ahead int, back int"), "lines")
 
     names = scratch.keep(_ranked(lines.groupBy("a", "b").count().filter("count > 1").drop("count"), ["a", "b"], "rank"), "names")
     active = scratch.keep(lines.join(names, ["a", "b"]).select("doc", "at", "rank", "ahead", "back"), "active")
@@ -117,7 +117,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if flagged is None:
         runs = docs.sparkSession.createDataFrame([], result)
     else:
-        runs = flagged.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("d").alias("d")).mapInArrow(_merged, result)
+        runs = flagged.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("d").alias("d")).transform(map_arrow, _merged, result)
     in_first = runs.join(first, "doc").select("h", F.col("first").alias("id"), "line_start", "line_end")
     copies = every.select("h", "id", "n_lines").distinct().join(first.select("h", "first"), "h")
     whole = copies.filter("id > first").select("h", "id", F.lit(0).alias("line_start"), F.col("n_lines").alias("line_end"))
@@ -166,15 +166,17 @@ def drop_lines(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_words: int = 40) -> DataFrame:
     """docs with the deleted lines taken out of the text; a document that loses every line goes. length_col, where docs have it, follows the text."""
     runs = repeated_runs(docs, id_col, text_col, min_words)
-    spans = runs.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_i"), F.col("text_md5").alias("_h")).agg(F.collect_list("line_start").alias("_s"), F.collect_list("line_end").alias("_e"), F.max("n_lines").alias("_n"), F.sum(F.col("line_end") - F.col("line_start")).alias("_gone"))
-    keyed = docs.withColumns({"_ki": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_kh": F.unhex(F.md5(F.col(text_col).cast("binary")))})
-    joined = keyed.join(spans, (F.col("_ki") == F.col("_i")) & (F.col("_kh") == F.col("_h")), "left").filter("_gone is null or _gone < _n")
-    cut = _cut(F.when(F.col("_gone").isNotNull(), F.col(text_col)), F.col("_s"), F.col("_e"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(cut)
+    spans = runs.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__corvane_i"), F.col("text_md5").alias("__corvane_h")).agg(F.collect_list("line_start").alias("__corvane_s"), F.collect_list("line_end").alias("__corvane_e"), F.max("n_lines").alias("__corvane_n"), F.sum(F.col("line_end") - F.col("line_start")).alias("__corvane_gone"))
+    small_batches(docs.sparkSession)
+    keyed = docs.withColumns({"__corvane_ki": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__corvane_kh": F.unhex(F.md5(F.col(text_col).cast("binary")))})
+    # Merged at every size: a broadcast at small sizes alone would hide the shuffle of the texts that larger ones need.
+    joined = keyed.join(spans.hint("merge"), (F.col("__corvane_ki") == F.col("__corvane_i")) & (F.col("__corvane_kh") == F.col("__corvane_h")), "left").filter("__corvane_gone is null or __corvane_gone < __corvane_n")
+    cut = _cut(F.when(F.col("__corvane_gone").isNotNull(), F.col(text_col)), F.col("__corvane_s"), F.col("__corvane_e"))
+    text = F.when(F.col("__corvane_gone").isNull(), F.col(text_col)).otherwise(cut)
     names = docs.columns
-    out = joined.withColumn("_new", text)
-    length = {length_col: F.when(F.col("_gone").isNull(), F.col(length_col)).otherwise(F.length("_new")).cast(docs.schema[length_col].dataType)} if length_col in names else {}
-    return out.withColumns(length | {text_col: F.col("_new")}).select(*[F.col(f"`{n}`") for n in names])
+    out = joined.withColumn("__corvane_new", text)
+    length = {length_col: F.when(F.col("__corvane_gone").isNull(), F.col(length_col)).otherwise(F.length("__corvane_new")).cast(docs.schema[length_col].dataType)} if length_col in names else {}
+    return out.withColumns(length | {text_col: F.col("__corvane_new")}).select(*[F.col(f"`{n}`") for n in names])
 
 
 @F.arrow_udf(T.StringType())

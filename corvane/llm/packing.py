@@ -12,6 +12,7 @@ packed once each. An empty table gives an empty result. Other columns are not re
 
 from __future__ import annotations
 
+import string
 import struct
 import sys
 import zlib
@@ -26,10 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Rows, Scratch, id_and_text, rows_of
+from corvane.llm.common import Rows, Scratch, id_and_text, map_arrow, rows_of
 
+_PUNCTUATION = string.punctuation.encode()
 #: Words whose ids a Python worker remembers.
-WORD_CACHE = 600_000
+WORD_CACHE = 800_000
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 500_000
 _tokenizers: dict[str, tuple] = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -43,7 +47,7 @@ def public_tokenizer(name: str) -> str:
 
 
 class WordTokenizer:
-    """Ids of a text, word by word: the tokenizer lower-cases and splits at white space, so a word's ids do not depend on its neighbours. Likewise a full stop or comma after an ASCII letter is a token of its own."""
+    """Ids of a text, word by word: the tokenizer lower-cases and splits at white space, so a word's ids do not depend on its neighbours. Likewise the punctuation after a last ASCII letter is a run of its own."""
 
     def __init__(self, path: str):
         import os
@@ -52,51 +56,58 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path), {}, {}
+            model = Tokenizer.from_file(path)
+            _tokenizers[path] = model, np.array([(model.id_to_token(i) or "").endswith("</w>") for i in range(model.get_vocab_size())]), {}, {}
         self.path = path
-        self.model, self.young, self.old = _tokenizers[path]
+        self.model, self.ends, self.young, self.old = _tokenizers[path]
 
     def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for w, e in zip(part, self.model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                yield w, array("I", e.ids).tobytes()
+        """Ids of each word. Words of letters alone are one run each, so many are encoded as one text and parted at the ids that end a run."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        for letters in (True, False):
+            own = [k for k, t in enumerate(texts) if t.isalpha() == letters]
+            for at in range(0, len(own), 2_000):
+                part = own[at : at + 2_000]
+                if letters:
+                    ids = np.array(self.model.encode(" ".join(texts[k] for k in part), add_special_tokens=False).ids, "<u4")
+                    last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                    if len(last) == len(part):
+                        packed = ids.tobytes()
+                        yield from ((words[k], packed[4 * i : 4 * j]) for k, i, j in zip(part, [0, *last], last, strict=False))
+                        continue
+                for k, e in zip(part, self.model.encode_batch([texts[k] for k in part], add_special_tokens=False), strict=True):
+                    yield words[k], array("I", e.ids).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Brings all these words into young. When it is full it becomes old, so words that are in use stay known."""
         if len(self.young) + len(words) > WORD_CACHE // 2:
             self.old, self.young = self.young, {}
-            _tokenizers[self.path] = self.model, self.young, self.old
+            _tokenizers[self.path] = self.model, self.ends, self.young, self.old
         young, old = self.young, self.old
-        new, ends = [], []
-        for w in words:
-            if w in young:
-                continue
-            if w in old:
-                young[w] = old[w]
-            elif w[-1:] in (b".", b",") and w[-2:-1].isalpha():
-                ends.append(w)
+        missing = words.difference(young)
+        ends: dict[bytes, bytes] = {}
+        for w in missing:
+            stem = w.rstrip(_PUNCTUATION)
+            if len(stem) < len(w) and stem[-1:].isalpha() and b"<|" not in w:
+                ends[w] = stem
+        wanted = missing.difference(ends)
+        wanted.update(ends.values(), {w[len(stem) :] for w, stem in ends.items()})
+        new = []
+        for w in wanted.difference(young):
+            if (known := old.get(w)) is not None:
+                young[w] = known
             else:
                 new.append(w)
-        stems = {w[:-1] for w in ends} | {b".", b","} if ends else set()
-        for w in stems - words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
         young.update(self.encode(new))
-        for w in ends:
-            young[w] = young[w[:-1]] + young[w[-1:]]
+        for w, stem in ends.items():
+            young[w] = young[stem] + young[w[len(stem) :]]
 
-    def ids(self, text: bytes) -> bytes:
-        """Packed ids in the machine's order, which is little-endian here."""
-        words = (text if b"<|" in text else text.lower()).split()  # a special token is only found as it is written
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.young.__getitem__, words))
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of each text in the machine's order, which is little-endian here."""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # a special token is only found as it is written
+        self.learn(set().union(*split))
+        get = self.young.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 def reduce_by_dominance(count: dict[int, int], capacity: int) -> list[Pattern]:
@@ -228,6 +239,21 @@ def places(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
     return {"first": np.searchsorted(table[:, 0], np.arange(capacity + 2)), "rank": table[:, 1], "copies": table[:, 2], "base": table[:, 3], "offset": table[:, 4]}
 
 
+def _encoded(batch: pa.RecordBatch, model: WordTokenizer) -> Iterator[tuple[int | None, bytes]]:
+    """Ids of the batch's texts, some texts at a time."""
+    keys: list[int | None] = []
+    texts: list[bytes] = []
+    held = 0
+    for i, text in rows_of(batch):
+        keys.append(i)
+        texts.append(text or b"")
+        held += len(texts[-1])
+        if held >= GROUP_BYTES:
+            yield from zip(keys, model.ids(texts), strict=True)
+            keys, texts, held = [], [], 0
+    yield from zip(keys, model.ids(texts), strict=True)
+
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
@@ -239,8 +265,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, ranks, out = WordTokenizer(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1), Rows(schema)
         for batch in batches:
-            for i, text in rows_of(batch):
-                ids = model.ids(text) + end if text else end
+            for i, ids in _encoded(batch, model):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4
@@ -250,7 +276,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
                     yield out.take()
         yield out.take()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECE + ", ids binary" * with_ids)
+    return id_and_text(docs, id_col, text_col).transform(map_arrow, run, PIECE + ", ids binary" * with_ids)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -277,5 +303,5 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
             more = [pa.array(at["base"][lo] + turn // copies, pa.int64()), pa.array(at["offset"][lo] + turn % copies * length, pa.int64())]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *more], names=[*names, "sequence_id", "offset"])
 
-    placed = ranked.select(*names, (F.col("before") + F.col("local")).alias("rank")).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long")
+    placed = ranked.select(*names, (F.col("before") + F.col("local")).alias("rank")).transform(map_arrow, place, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long")
     return placed

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import all_matches, col, contains_any, has_extension
+from corvane.functions.text import all_matches, col, contains_any, first_json_object, has_extension
 
 # What a failure message, a fix and a risky path look like.
 CONVENTIONAL = "^(?:feat|fix|chore|docs|refactor|test|perf|build|ci|style|revert)(?:\\([^)]*\\))?!?:"
@@ -102,8 +102,6 @@ def flagged_lines(files: DataFrame, wanted: str, excused: str, path: str = "path
 
 def verdict(response: Column | str, passes: int = 1) -> Column:
     """documented, confidence and needs_manual_review from a judge's JSON answer, with defaults for what it lacks."""
-    from corvane.functions.text import first_json_object
-
     got = F.from_json(first_json_object(response), "was_documented boolean, confidence double, evidence array<string>, rationale string")
     confidence = F.coalesce(got["confidence"], F.lit(0.0))
     return F.struct(F.coalesce(got["was_documented"], F.lit(False)).alias("was_documented"), confidence.alias("confidence"), F.coalesce(got["evidence"], F.array().cast("array<string>")).alias("evidence"), ((confidence < 0.3) & F.lit(passes >= 2)).alias("needs_manual_review"), (confidence >= 0.5).alias("accepted"))

@@ -42,6 +42,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage. drop() removes those no longer read; what a returned frame still reads goes when the driver ends."""
 
@@ -64,7 +67,13 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str = "t", compression: str = "zstd") -> DataFrame:
         path = self.path(label)
-        df.write.option("compression", compression).parquet(path)
+        conf = self.spark.conf
+        before = conf.get(SHUFFLE_CLEANUP, None)
+        conf.set(SHUFFLE_CLEANUP, "true")  # what the write shuffled is of no use once the table is there
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._corvane_path = path  # type: ignore[attr-defined]

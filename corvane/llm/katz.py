@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import Scratch, hash_words, id_and_text, map_arrow, mix, rows_of
 from corvane.llm.packed import planes, unplanes
 
-SEGMENT = 1_500_000
+SEGMENT = 1_000_000
 BUCKET_BYTES = 6_000_000
 MOST_BUCKETS = 65_536
 TOP = 5
@@ -88,8 +88,8 @@ class Segment:
     def __init__(self, ids: bytes, held: bytes, sizes: bytes, words: bytes, tokens: bytes):
         self.ids = pa.ipc.open_stream(ids).read_all().column(0)
         self.held, self.sizes = np.frombuffer(held, bool), np.frombuffer(sizes, np.int64)
-        self.words, self.token = np.frombuffer(words, np.uint64), unplanes(tokens, "<u4").astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.words, self.token = np.frombuffer(words, np.uint64), unplanes(tokens, "<u4").astype(np.int32)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.context = np.empty_like(self.token)
         self.context[1:] = self.token[:-1]
         self.context[np.concatenate([[0], np.cumsum(self.sizes)[:-1]])] = -1
@@ -97,7 +97,7 @@ class Segment:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The hashes of the different pairs, for each the place of one token, and for each token its pair."""
-        wide = (self.context + 1) * len(self.words) + self.token
+        wide = (self.context.astype(np.int64) + 1) * len(self.words) + self.token
         _, at, of = np.unique(wide, return_index=True, return_inverse=True)
         before = np.where(self.context[at] < 0, START, self.words[self.context[at]])
         with np.errstate(over="ignore"):
@@ -233,7 +233,7 @@ def _score(buckets: int, model: Model):
         # Backoff events: a known context, but not this pair.
         back = ~seen & (times > 0)
         event = back[of]
-        which, k = np.unique(s.doc[event] * (len(s.words) + 1) + s.context[event] + 1, return_counts=True)
+        which, k = np.unique(s.doc[event].astype(np.int64) * (len(s.words) + 1) + s.context[event] + 1, return_counts=True)
         where = which % (len(s.words) + 1) - 1
         own = owner & seen & np.where(context < 0, True, asked[context])
         ctx, inv = np.unique(context[own], return_inverse=True)

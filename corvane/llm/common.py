@@ -93,7 +93,7 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 def small_batches(spark: SparkSession) -> None:
     for key, default, own in (("maxRecordsPerBatch", ("10000",), BATCH_ROWS), ("maxBytesPerBatch", ("67108864b", "64MB", "67108864"), BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        if spark.conf.get(key, None) in default:
+        if spark.conf.get(key) in default:
             spark.conf.set(key, str(own))
 
 

@@ -75,8 +75,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     texts.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
 
 
-_CANDIDATE = pa.schema([("file", pa.string()), ("begin", pa.int64()), ("next", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-CANDIDATE = "file string, begin long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_CANDIDATE = pa.schema([("file", pa.int64()), ("begin", pa.int64()), ("next", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+CANDIDATE = "file long, begin long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -113,9 +113,9 @@ def candidates(content: bytes) -> Iterator[tuple]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = Rows(_CANDIDATE)
     for batch in batches:
-        for path, content in rows_of(batch):
+        for file, content in rows_of(batch):
             for found in candidates(content):
-                out.add(path, *found)
+                out.add(file, *found)
             if out.full:
                 yield out.take()
     yield out.take()
@@ -123,7 +123,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """The records that the chain from the start of each file reaches."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")  # a number stands for the path in the joins below
     found = scratch.keep(files.transform(map_arrow, _scan, CANDIDATE), "candidates")
     jump = found.select("file", "begin", "next").distinct()
     reached = found.filter("begin = 0").select("file", "begin").distinct()

@@ -101,9 +101,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # The first and last `size` lines name the interval that a window of this size class belongs to.
         own = windows.filter((F.col("d") >= size) & (F.col("d") < 2 * size))
         named = scratch.keep(_named(own, level, size), "named")
-        interval = named.groupBy("d", "rank", "last").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        # Written, so that both sides of the join below are shuffled for it and Spark may split the rows of a hot interval.
+        interval = scratch.keep(named.groupBy("d", "rank", "last").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "intervals")
         later = scratch.keep(named.join(interval, ["d", "rank", "last"]).filter(F.struct("doc", "at") > F.col("first")).select("doc", "at", "d"), "later")
-        scratch.drop(named)
+        scratch.drop(named, interval)
         flagged = later if flagged is None else flagged.union(later)
         if 2 * size > longest:
             break

@@ -292,7 +292,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = id_and_text(docs, id_col, text_col)
     volume = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(min(MOST_BUCKETS, max(64, volume // BUCKET_BYTES)))
-    least = next(n for n in range(2, 200) if 100 * (n - 1) >= percent * n)  # smaller sets only link with equal ones
+    least = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))  # smaller sets only link with equal ones: one of n links at best with one of n + 1 that holds it
     sent = texts.transform(map_arrow, _send(buckets, size, least, segment, max(2, heavy)), _SENT_SQL)
     counted = scratch.keep(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").transform(map_arrow, _count, _SENT_SQL), "counted")
     members = counted.filter(F.col("kind") == MEMBER).select("doc_id", "n", "sig", (F.shiftleft("seg", IDX_BITS).bitwiseOR(F.col("idx"))).alias("at"))

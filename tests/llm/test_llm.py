@@ -355,6 +355,25 @@ def test_components_equal_plain(spark, seed):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+@pytest.mark.parametrize(("size", "percent"), [(5, 80), (5, 50), (3, 75), (5, 90)])
+def test_components_of_texts_with_words_added_equal_plain(spark, size, percent):
+    r = random.Random(percent)
+    rows = [(0, "a b c d e f g h"), (1, "a b c d e f g h i"), (2, "z0 z1 z2 z3 z4 z5 z6 z7"), (3, "y z0 z1 z2 z3 z4 z5 z6 z7")]
+    for n in range(4, 26):  # sets of every small size, each with texts that have words more before, behind and within
+        base = [f"b{n}_{k}" for k in range(n)]
+        for _ in range(4):
+            x = list(base)
+            for _ in range(r.randint(0, 3)):
+                x.insert(r.choice([0, len(x), r.randrange(len(x))]), f"z{r.random()}")
+            rows.append((len(rows), " ".join(x)))
+    want = plain_components(rows, size, percent)
+    if (size, percent) == (5, 80):
+        assert want[1] == (5, 0) and want[3] == (5, 2)
+    for more in ({}, {"segment": 60, "heavy": 3}):
+        got = jaccard_join.jaccard_components(docs(spark, rows), size=size, percent=percent, **more)
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
+
+
 # 8 Token counts
 
 

@@ -62,12 +62,10 @@ def features(found: DataFrame) -> DataFrame:
     s, n = F.col("secret"), F.length("secret")
     kinds = F.translate(s, string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_-", "U" * 26 + "L" * 26 + "D" * 10 + "SSSS")
     share = lambda pattern: F.regexp_count(s, F.lit(pattern)) / n
-    # Long runs are bounded for the entropy alone: it is a mean over the first 256 characters.
-    head = F.substring(s, 1, 256)
-    chars = F.array_distinct(F.split(head, ""))
-    h = F.length(head).cast("double")
-    times = lambda c: (F.length(head) - F.length(F.replace(head, c))) / h
-    entropy = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda a, c: a - times(c) * F.log2(times(c)))
+    # How often each possible character stands in the whole candidate: there are 66, however long it is.
+    counts = F.filter(F.transform(F.array(*map(F.lit, string.ascii_letters + string.digits + "+/_-")), lambda c: n - F.length(F.replace(s, c))), lambda k: k > 0)
+    found = found.withColumn("_counts", counts)
+    entropy = F.aggregate("_counts", F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
     near = F.lower(F.concat_ws(" ", "before", "after"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     values = {
@@ -79,7 +77,7 @@ def features(found: DataFrame) -> DataFrame:
         "symbols": share("[+/_\\-]"),
         "hex": share("[0-9a-f]"),
         "vowels": share("[aeiouAEIOU]"),
-        "distinct": F.size(chars) / h,
+        "distinct": F.size("_counts") / n,
         "entropy": entropy,
         "covered": (n - F.length(F.regexp_replace(F.lower(s), "|".join(sorted(WORDS, key=lambda w: (-len(w), w))), ""))) / n,
         "test_path": flag(F.lower("path").rlike(TEST_PATHS)),
@@ -89,7 +87,7 @@ def features(found: DataFrame) -> DataFrame:
         "quoted": flag(F.col("before").rlike("[\"']$")),
         "known_prefix": flag(s.rlike("^(?:AKIA|ASIA|ghp_|gho_|ghs_|xox[abprs]-|sk_live_|AIza|eyJ)")),
     }
-    return found.withColumns({k: v.cast("double") for k, v in values.items()})
+    return found.withColumns({k: v.cast("double") for k, v in values.items()}).drop("_counts")
 
 
 def example_findings(n: int = 6_000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:

@@ -306,6 +306,16 @@ def test_secrets_without_digits(spark):
     assert ((held.score >= 0.5) == (held.label == 1)).mean() > 0.97
 
 
+def test_features_of_whole_candidates(spark):
+    r = random.Random(4)
+    keys = ["a" * 256 + "".join(r.choice("bcDE12+/_-") for _ in range(300)), "0" * 300 + "ab", "Aa0+/_-Aa0+/_-"]
+    got = secrets.features(secrets.labelled(spark, [(k, "", "", "", 0) for k in keys])).collect()
+    for row in got:
+        n = len(row.secret)
+        times = Counter(row.secret).values()
+        assert math.isclose(row.entropy, -sum(k / n * math.log2(k / n) for k in times)) and math.isclose(row.distinct, len(times) / n)
+
+
 # 6 Quality
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 CHARS = "A-Za-z0-9+/_\\-"
 #: Possessive, so a long run is read once.
 CANDIDATE = f"(?<![{CHARS}])[{CHARS}]{{12,}}+"
-#: Code points of the text that count as neighbouring words.
+#: Code points of the text on each side that count as neighbouring words, other candidates among them.
 NEAR = 48
 SECRET_WORDS = "passw|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential|aws"
 PLAIN_WORDS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|version|build|order|invoice|card|phone|isbn|ticket|example|sample|dummy|placeholder|fake"
@@ -39,16 +39,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), path.alias("path")).filter(F.col("t").rlike(CANDIDATE))
     cut = own.select("doc_id", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE, -1).alias("between"))
+    some = lambda c, start: F.slice(c, start, F.size("found"))
+    # What follows: runs have 12 characters and one between them at least, so four of them reach NEAR.
+    later = {f"{k}{i}": some(c, start) for i, start in enumerate(range(2, 6)) for k, c in (("a", "between"), ("f", "found"))}
     each = cut.select(
         "doc_id",
         "path",
         F.posexplode(
             F.aggregate(
-                F.arrays_zip(F.slice("between", 1, F.size("found")).alias("b"), F.col("found").alias("f"), F.slice("between", 2, F.size("found")).alias("a")),
-                F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,secret:string,before:string,after:string>>").alias("got")),
+                F.arrays_zip(some("between", 1).alias("b"), F.col("found").alias("f"), *(c.alias(k) for k, c in later.items())),
+                F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("last"), F.array().cast("array<struct<start:bigint,secret:string,before:string,after:string>>").alias("got")),
                 lambda s, x: F.struct(
                     (s["at"] + F.length(x["b"]) + F.length(x["f"])).alias("at"),
-                    F.concat(s["got"], F.array(F.struct((s["at"] + F.length(x["b"])).alias("start"), x["f"].alias("secret"), F.right(x["b"], F.lit(NEAR)).alias("before"), F.left(x["a"], F.lit(NEAR)).alias("after")))).alias("got"),
+                    F.right(F.concat(s["last"], x["b"], x["f"]), F.lit(NEAR)).alias("last"),
+                    F.concat(s["got"], F.array(F.struct((s["at"] + F.length(x["b"])).alias("start"), x["f"].alias("secret"), F.right(F.concat(s["last"], x["b"]), F.lit(NEAR)).alias("before"), F.left(F.concat_ws("", *(x[k] for k in later)), F.lit(NEAR)).alias("after")))).alias("got"),
                 ),
                 lambda s: s["got"],
             )
@@ -109,6 +113,7 @@ def example_findings(n: int = 6_000, seed: int = 11) -> list[tuple[str, str, str
     for _ in range(n):
         kind = r.random()
         after = r.choice(['"', "", "'", ".", " "]) + prose()
+        beside = r.choice([assign() + some(mixed, 20), r.choice(plain) + some(hexa, 40)]) + r.choice(['" ', "\n", " "]) if r.random() < 0.25 else ""  # another candidate
         if kind < 0.5:
             path = r.choice(paths) if r.random() < 0.9 else r.choice(tests)
             shape = r.random()
@@ -166,6 +171,7 @@ def example_findings(n: int = 6_000, seed: int = 11) -> list[tuple[str, str, str
                 before = prose() + assign()
             label = 0
         if len(key) >= 12:
+            before, after = (beside + before, after) if r.random() < 0.5 else (before, after + beside)
             out.append((key, before[-NEAR:], after[:NEAR], path, label))
     return out
 

@@ -316,6 +316,17 @@ def test_features_of_whole_candidates(spark):
         assert math.isclose(row.entropy, -sum(k / n * math.log2(k / n) for k in times)) and math.isclose(row.distinct, len(times) / n)
 
 
+def test_neighbours_hold_other_candidates(spark):
+    r = random.Random(6)
+    rows = [(1, 'OAUTH2_CLIENT_SECRET="0f3a9c5d7e1b2a4c6e8f"'), (2, "auth0_client_secret: 0f3a9c5d7e1b2a4c6e8f")]
+    rows += [(i, "".join(r.choice(["é", " ", "\n", "🎉=", "ab "]) + "".join(r.choice("aB3_") for _ in range(r.choice([3, 12, 13, 60]))) for _ in range(r.randint(1, 12))) + r.choice(["", "."])) for i in range(3, 40)]
+    text, got = dict(rows), secrets.candidates(docs(spark, rows)).collect()
+    for x in got:
+        end = x.start + len(x.secret)
+        assert (x.secret, x.before, x.after) == (text[x.doc_id][x.start : end], text[x.doc_id][max(0, x.start - 48) : x.start], text[x.doc_id][end : end + 48])
+    assert [f.secret_near for f in secrets.features(spark.createDataFrame([x for x in got if x.doc_id < 3 and x.secret[0] == "0"])).collect()] == [1.0, 1.0]
+
+
 # 6 Quality
 
 

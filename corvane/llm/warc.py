@@ -9,8 +9,8 @@ twice as far each round; candidates that it does not reach, such as record heads
 
 Results for edge cases: a null payload is an empty one. A null page_id is larger than all others, so it is a response
 only among its like. Rows that repeat a page_id with an equal payload have the same record type. A null url is written as
-`urn:x-corvane:none`. An empty table gives no record. Other columns are not read. A file that is cut off ends with its last
-whole record.
+`urn:x-corvane:none`, a long one whole. An empty table gives no record. Other columns are not read. A file that is cut off ends
+with its last whole record; any other file whose chain stops before its end is an error.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from corvane.llm.common import Rows, Scratch, map_arrow, rows_of
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
-_MOST_HEAD = 65_536
 
 
 def payload_digest(payload: bytes) -> str:
@@ -86,17 +85,34 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def candidates(content: bytes) -> Iterator[tuple]:
     """begin, next and the record's own fields, for every place where a whole record might stand."""
+    return (found for found in places(content) if found[1] is not None)
+
+
+def places(content: bytes) -> Iterator[tuple]:
+    """The candidates, and without a next one the places where a chain may end: the end of the file, and where a record is cut off by it."""
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
-    for m in _HEAD.finditer(content):
-        end = content.find(b"\r\n\r\n", m.start(), m.start() + _MOST_HEAD)
+    stop = lambda at: (at, *[None] * 6)
+    yield stop(len(content))
+    yield from (stop(len(content) - k) for k in range(1, 10) if any(content.endswith(x[:k]) for x in (b"WARC/1.0\r\n", b"WARC/1.1\r\n")))
+    heads = [m.start() for m in _HEAD.finditer(content)]
+    end = content.find(b"\r\n\r\n")
+    for start, following in zip(heads, [*heads, len(content)][1:], strict=True):
+        if 0 <= end < start:
+            end = content.find(b"\r\n\r\n", start)  # a head is as long as its URL
+        if following < (end if end >= 0 else len(content)):  # no line of a head begins another, so each byte is in one head at most
+            continue
         if end < 0:
+            yield stop(start)
             continue
-        fields = _fields(content[m.start() : end])
+        fields = _fields(content[start:end])
         length = fields.get("content-length", "")
         if not (length.isascii() and length.isdigit()):
             continue
         begin, after = end + 4, end + 4 + int(length)
+        if after + 4 > len(content):
+            yield stop(start)
+            continue
         if content[after : after + 4] != b"\r\n\r\n":
             continue
         block = content[begin:after]
@@ -105,16 +121,16 @@ def candidates(content: bytes) -> Iterator[tuple]:
         page, refers = (int(x) if x and x.lstrip("-").isdigit() else None for x in (fields.get("x-page-id"), fields.get("x-refers-to-page-id")))
         if kind == "revisit":
             size = _fields(http).get("content-length", "")
-            yield m.start(), after + 4, page, int(size) if size.isascii() and size.isdigit() else None, fields.get("warc-payload-digest", "").removeprefix("sha1:"), kind, refers
+            yield start, after + 4, page, int(size) if size.isascii() and size.isdigit() else None, fields.get("warc-payload-digest", "").removeprefix("sha1:"), kind, refers
         else:
-            yield m.start(), after + 4, page, len(payload), payload_digest(payload), kind, None
+            yield start, after + 4, page, len(payload), payload_digest(payload), kind, None
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = Rows(_CANDIDATE)
     for batch in batches:
         for file, content in rows_of(batch):
-            for found in candidates(content):
+            for found in places(content):
                 out.add(file, *found)
             if out.full:
                 yield out.take()
@@ -122,10 +138,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """The records that the chain from the start of each file reaches."""
+    """The records that the chain from the start of each file reaches; an error where one ends before its file does."""
     files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")  # a number stands for the path in the joins below
     found = scratch.keep(files.transform(map_arrow, _scan, CANDIDATE), "candidates")
-    jump = found.select("file", "begin", "next").distinct()
+    jump = found.filter("next is not null").select("file", "begin", "next").distinct()
     reached = found.filter("begin = 0").select("file", "begin").distinct()
     n, spent = reached.count(), []
     while n:
@@ -139,7 +155,11 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame
         further = scratch.keep(jump.join(twice, ["file", "next"]).select("file", "begin", F.col("end").alias("next")), "jump")
         scratch.drop(*spent)
         reached, jump, n, spent = wider, further, now, [wider, further]
-    return found.join(reached, ["file", "begin"], "left_semi")
+    whole = found.filter("next is null").join(reached, ["file", "begin"], "left_semi").select("file")
+    broken = found.select("file").distinct().join(whole, "file", "left_anti").count()
+    if broken:
+        raise ValueError(f"{broken} archives in {path} hold something that is no record before their end")
+    return found.filter("next is not null").join(reached, ["file", "begin"], "left_semi")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_records: int = 2_000) -> DataFrame:

@@ -272,6 +272,25 @@ def test_cut_archive_ends_with_its_last_record():
     assert [c[2] for c in warc.candidates(two[:-3])] == [1]
 
 
+def test_pages_with_long_urls_stay(spark):
+    pages = [(0, "u", "a"), (1, "http://a/" + "x" * 70_000, "b"), (2, "http://a/" + "日" * 8_000, "c"), (3, "u", "WARC/1.1\r\n" * 20_000), (4, "u", "d"), (5, "http://a/" + "y" * 300_000, "a")]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {(r.page_id, r.payload_bytes) for r in got} == {(i, len(html)) for i, _, html in pages} and len(got) == len(pages)
+
+
+def test_archives_that_break_off_are_an_error(spark, tmp_path):
+    two = warc.record(1, "u", b"a", None, "d") + warc.record(2, "u", b"b", None, "d")
+    for k, (content, ids) in enumerate([(two, [1, 2]), (two[:-3], [1]), (two[: len(two) // 2 + 5], [1]), (two[: len(two) // 2 + 60], [1]), (b"", []), (two[: len(two) // 2] + b"junk\r\n\r\n" + two, None), (b"junk", None)]):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.warc").write_bytes(content)
+        read = lambda k=k: warc.read_archives(spark, str(tmp_path / str(k)), warc.Scratch(spark, "warc")).collect()
+        if ids is None:
+            with pytest.raises(ValueError, match="1 archives"):
+                read()
+        else:
+            assert sorted(r.page_id for r in read()) == ids
+
+
 # 5 Secrets
 
 

@@ -2,16 +2,18 @@
 
 Words are runs of letters, digits and underscores of the lower-cased text. A test item and a document are compared when
 they share a seed, a run of `min_match` words. Running Karp-Rabin then tiles the pair: beginning with long search lengths,
-it finds the longest match of unmarked words, marks it on both sides, and goes on, halving the search length down to
-`min_match`. Tiles may stand in any order, so reordered passages count. A document holds an item when the tiles cover at
-least `threshold` of the item's words. An item of fewer than `min_match` words is one seed of its own length.
+it finds all matches of unmarked words, marks the longest on both sides, and goes on with the next longest, what a tile has left
+of a match waiting at its new length; then it halves the search length, down to `min_match`. So each tile is the longest free
+match there is, as in plain greedy tiling. Tiles may stand in any order, so reordered passages count. A document holds an item
+when the tiles cover at least `threshold` of the item's words. An item of fewer than `min_match` words is one seed of its own length.
 
 The benchmark is the stated query set: its seeds go to the tasks in blocks of at most `block_words` words, one pass over
 the documents for each block, so what is broadcast has a fixed bound however long the benchmark is.
 
-Results for edge cases: null and empty texts, and items without words, hold nothing. Equal items are reported each under
-its own item_id; an item id that repeats with equal text is reported once. Null ids stay null. Repeated document rows give
-repeated result rows. Empty tables give an empty result. Other columns are not read.
+Results for edge cases: null and empty texts, and items without words, hold nothing. Texts of any length are read whole. Equal
+items are reported each under its own item_id; an item id that repeats with equal text is reported once. Null ids stay null.
+Repeated document rows give repeated result rows. Empty tables give an empty result. Other columns are not read, whatever
+their names; decontaminate() passes them on, keeps documents whose text is null or empty, and keeps or drops repeated rows alike.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,29 +44,35 @@ def words(text: bytes | None) -> list[str]:
 
 
 def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in text, length) of two word-id arrays; negative ids match nothing."""
+    """Tiles (place in item, place in text, length) of two word-id arrays, in the order in which they are marked; negative ids match nothing.
+
+    Each is the longest match of free words there is, of several the first in the item, then in the text.
+    """
     free_item, free_text = item >= 0, text >= 0
     tiles: list[tuple[int, int, int]] = []
     s = max(min_match, min(len(item), 64))
     while True:
         found = _scan(item, text, free_item, free_text, s)
-        if found and found[0][2] > 2 * s:
-            s = found[0][2]
-            continue
-        for i, j, n in found:
-            if free_item[i : i + n].all() and free_text[j : j + n].all():
-                free_item[i : i + n] = False
-                free_text[j : j + n] = False
-                tiles.append((i, j, n))
-        if found and any(free_item[i : i + n].any() and free_text[j : j + n].any() for i, j, n in found) and _scan(item, text, free_item, free_text, s):
-            continue  # what overlapped a tile may still hold a match of this length
+        heapify(found)
+        while found:
+            n, i, j = heappop(found)
+            free = free_item[i : i - n] & free_text[j : j - n]
+            if free.all():
+                free_item[i : i - n] = False
+                free_text[j : j - n] = False
+                tiles.append((i, j, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # what a tile has left of the match waits for its turn
+                if hi - lo >= s:
+                    heappush(found, (lo - hi, i + lo, j + lo))
         if s == min_match:
             return tiles
         s = max(min_match, s // 2)
 
 
 def _scan(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, s: int) -> list[tuple[int, int, int]]:
-    """Maximal matches of s unmarked words or more, the longest first, then by place."""
+    """All maximal matches of s unmarked words or more: less their length, place in item, place in text."""
     if len(item) < s or len(text) < s:
         return []
     runs_item, runs_text = _free_runs(free_item, s), _free_runs(free_text, s)
@@ -84,8 +93,8 @@ def _scan(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text:
                 n += 1
             if n >= s:
                 ends[i - j] = j + n
-                found.append((i, j, n))
-    return sorted(found, key=lambda x: (-x[2], x[0], x[1]))
+                found.append((-n, i, j))
+    return found
 
 
 def _free_runs(free: np.ndarray, s: int) -> np.ndarray:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import all_matches, col, contains_any, first_json_object, has_extension
+from corvane.functions.text import col, contains_any, first_json_object, has_extension
 
 # What a failure message, a fix and a risky path look like.
 CONVENTIONAL = "^(?:feat|fix|chore|docs|refactor|test|perf|build|ci|style|revert)(?:\\([^)]*\\))?!?:"
@@ -80,18 +81,48 @@ def is_conventional(message: Column | str) -> Column:
     return col(message).rlike(CONVENTIONAL)
 
 
+def added_lines(diff: Column | str) -> Column:
+    """The lines that a diff adds, without their mark and indent."""
+    return F.transform(F.filter(F.split(col(diff), "\n"), lambda x: x.startswith("+")), lambda x: F.ltrim(F.substr(x, F.lit(2))))
+
+
+def _named_call(line: Column, *words: str) -> Column:
+    """The name of `words... test_name(` that a line begins with, else null."""
+    head = F.split(F.rtrim(F.substring_index(line, "(", 1)), " ")
+    name = F.element_at(head, -1)
+    return F.when(line.contains("(") & (F.slice(head, 1, len(words)) == F.array(*map(F.lit, words))) & (F.size(head) == len(words) + 1) & name.rlike("^test_\\w+$"), name)
+
+
+def _titled_call(line: Column) -> Column:
+    """The title of `it("title"` or `test('title'` that a line begins with, else null."""
+    call = F.rtrim(F.substring_index(line, "(", 1))
+    argument = F.ltrim(F.substr(line, F.instr(line, F.lit("(")) + 1))
+    parts = F.split(argument, "['\"]", -1)
+    return F.when(line.contains("(") & call.isin("it", "test") & (F.size(parts) > 2) & (F.get(parts, F.lit(0)) == ""), F.nullif(F.get(parts, F.lit(1)), F.lit("")))
+
+
+def _id_field(line: Column) -> Column:
+    """The value of the JSON member "id" that a line begins with, else null."""
+    parts = F.split(line, '"', -1)
+    part = lambda i: F.get(parts, F.lit(i))
+    return F.when((F.size(parts) > 4) & (part(0) == "") & (part(1) == "id") & (F.trim(part(2)) == ":"), F.nullif(part(3), F.lit("")))
+
+
 def test_signatures(diff: Column | str, path: Column | str) -> Column:
-    """Names of tests that a diff adds, by the kind of file."""
-    d, p = col(diff), col(path)
-    named = lambda pattern, sep: F.transform(all_matches(d, pattern), lambda n: F.concat(p, F.lit(sep), n))
-    scenario = F.slice(named('(?m)^\\+\\s*"id"\\s*:\\s*"([^"]+)"', "#"), 1, 1)
-    return (
-        F.when(p.endswith(".py"), named("(?m)^\\+\\s*def (test_[A-Za-z0-9_]+)\\s*\\(", "::"))
-        .when(p.endswith(".test.ts") | p.endswith(".test.js"), named("(?m)^\\+\\s*(?:it|test)\\s*\\(\\s*['\"]([^'\"]+)['\"]", ":"))
-        .when(p.endswith(".rs"), named("(?m)^\\+\\s*(?:async\\s+)?fn (test_[A-Za-z0-9_]+)\\s*\\(", "::"))
-        .when(p.endswith(".json"), F.when(F.size(scenario) > 0, scenario).otherwise(F.array(p)))
-        .otherwise(F.array().cast("array<string>"))
-    )
+    """Names of tests that a diff adds: what is declared in its added lines, by the kind of file. A scenario file is one test, named by its first id if it has one."""
+    p, added = col(path), added_lines(diff)
+    found = lambda sep, name: F.transform(F.filter(F.transform(added, name), lambda n: n.isNotNull()), lambda n: F.concat(p, F.lit(sep), n))
+    kinds = {
+        (".py",): found("::", lambda x: _named_call(x, "def")),
+        (".test.ts", ".test.js"): found(":", _titled_call),
+        (".rs",): found("::", lambda x: F.coalesce(_named_call(x, "fn"), _named_call(x, "async", "fn"))),
+        (".json",): F.slice(F.concat(found("#", _id_field), F.array(p)), 1, 1),
+    }
+    out = None
+    for endings, names in kinds.items():
+        here = reduce(Column.__or__, (p.endswith(e) for e in endings))
+        out = F.when(here, names) if out is None else out.when(here, names)
+    return out.otherwise(F.array().cast("array<string>"))
 
 
 def flagged_lines(files: DataFrame, wanted: str, excused: str, path: str = "path", text: str = "text") -> DataFrame:

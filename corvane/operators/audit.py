@@ -11,15 +11,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import col, contains_any, first_json_object, has_extension
+from corvane.functions.text import col, contains_any, first_json_object, has_extension, lines
 
-# What a failure message, a fix and a risky path look like.
-CONVENTIONAL = "^(?:feat|fix|chore|docs|refactor|test|perf|build|ci|style|revert)(?:\\([^)]*\\))?!?:"
-FAILURE_TOKENS = ("assert", "panicked", "traceback", "expected", "error:", "failed", "exception", "left:", "right:")
+# Words that begin a conventional commit subject.
+CONVENTIONAL_TYPES = ("feat", "fix", "chore", "docs", "refactor", "test", "perf", "style", "build", "ci", "revert")
+# What stands in the output of a failed test, in any case.
+FAILURE_TOKENS = ("FAILED", "FAIL ", "FAIL!", "FAIL\t", "FAIL\n", "expected:", "got:", "assertion", "Traceback", "Error:", "error:", "panicked", "AssertionError", "InvalidSignature", "Reason:", "Got verdict", "Expected verdict", " > ", "::")
+# Paths of fixes and of conformance tests, and words of risky paths.
 FIX_PREFIXES = ("crates/", "spec/", "docs/standards/", "docs/conformance/", "docs/sdk/", "docs/protocol/", "docs/release/", "docs/mcp/")
+CONFORMANCE_PREFIXES = ("tests/conformance/", "integrations/mcp-adapter/tests/")
+CONFORMANCE_PARTS = ("/conformance/", "/conformance_")
+SCENARIO_PREFIX = "tests/conformance/native/scenarios/"
+ADAPTER_TESTS = "integrations/mcp-adapter/tests/"
 RISK_WORDS = ("capability", "receipt", "guard", "policy", "attenuation", "revocation")
 RISK_PREFIXES = ("crates/core/", "crates/trust/")
-ACKNOWLEDGED = "kb-gate: ack"
+#: What a description says, in any case, where impacts were seen to.
+ACKNOWLEDGED = "gate: ack"
 
 
 @dataclass(frozen=True)
@@ -38,47 +45,72 @@ class ImpactRules:
         return F.when(p.startswith(self.spec_prefix), "CANONICAL_DOC").when(contains_any(F.lower(p), *self.guard_words), "GUARDS").when(engine, "IMPLEMENTS")
 
 
-def gate(changes: DataFrame, rules: ImpactRules = ImpactRules(), advisory: bool = True) -> DataFrame:
+def gate(changes: DataFrame, rules: ImpactRules = ImpactRules(), advisory: bool = True, acknowledged: str = ACKNOWLEDGED) -> DataFrame:
     """One row per change set (change, path, body): impacts, whether acknowledged, status."""
     seen = changes.withColumn("_r", rules.relationship("path"))
-    n = seen.groupBy("change").agg(F.count_if(F.col("_r").isNotNull()).alias("impacts"), F.max(F.lower(F.coalesce("body", F.lit(""))).contains(ACKNOWLEDGED)).alias("acknowledged"))
+    n = seen.groupBy("change").agg(F.count_if(F.col("_r").isNotNull()).alias("impacts"), F.max(F.lower(F.coalesce("body", F.lit(""))).contains(acknowledged.lower())).alias("acknowledged"))
     status = F.when(F.col("acknowledged") & (F.col("impacts") > 0), "acknowledged").when(F.col("impacts") > 0, "warn" if advisory else "fail").otherwise("pass")
     return n.withColumn("status", status)
 
 
-def expected_impact(path: Column | str) -> Column:
-    """A stand-in label for a path where no follow-up is known."""
+def _starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (text.startswith(p) for p in prefixes), F.lit(False))
+
+
+def expected_impact(path: Column | str, words: tuple[str, ...] = ()) -> Column:
+    """A stand-in label for a path where no follow-up is known. words: names of a repository's own risky parts."""
     low = F.lower(col(path))
-    out = contains_any(low, *RISK_WORDS)
-    for p in RISK_PREFIXES:
-        out = out | low.startswith(p)
-    return out
+    return contains_any(low, *RISK_WORDS, *words) | _starts_with_any(low, RISK_PREFIXES)
+
 
+def backtest(changes: DataFrame, rules: ImpactRules = ImpactRules(), words: tuple[str, ...] = ()) -> DataFrame:
+    """change, predicted, expected and outcome (tp, fp, tn, fn) of each change set (change, path, body and, where it is known, expected); its counts by confusion()."""
+    label = F.col("expected") if "expected" in changes.columns else F.lit(None).cast("boolean")
+    expected = changes.groupBy("change").agg(F.coalesce(F.max(label), F.max(expected_impact("path", words))).alias("expected"))
+    found = gate(changes, rules).select("change", "status", (F.col("impacts") > 0).alias("predicted")).join(expected, "change")
+    outcome = F.when(F.col("predicted"), F.when(F.col("expected"), "tp").otherwise("fp")).otherwise(F.when(F.col("expected"), "fn").otherwise("tn"))
+    return found.withColumn("outcome", outcome)
 
-def is_test_file(path: Column | str) -> Column:
-    p = F.lower(col(path))
-    base = F.element_at(F.split(p, "/"), -1)
-    return p.startswith("tests/") | p.contains("/tests/") | base.startswith("test_") | base.rlike("[._]test\\.[a-z]+$")
+
+def is_test_file(path: Column | str, prefixes: tuple[str, ...] = ()) -> Column:
+    """Whether a file is a conformance test: it lies in a conformance folder, one of `prefixes` among them, and is a test by its name or place."""
+    p = col(path)
+    base = F.substring_index(p, "/", -1)
+    inside = _starts_with_any(p, CONFORMANCE_PREFIXES + prefixes) | contains_any(p, *CONFORMANCE_PARTS)
+    longer = lambda tail: base.endswith(tail) & (F.length(base) > len(tail))
+    named = (base.startswith("test_") & base.endswith(".py") & (F.length(base) > 8)) | longer(".test.ts") | longer(".test.js") | (base.startswith("conformance") & base.endswith(".rs"))
+    placed = (p.startswith(SCENARIO_PREFIX) & p.endswith(".json")) | (p.startswith("crates/") & p.contains("/tests/") & p.endswith(".rs")) | p.startswith(ADAPTER_TESTS)
+    return inside & (named | placed)
 
 
 def is_canonical_fix(path: Column | str) -> Column:
     p = col(path)
-    known = F.lit(False)
-    for x in FIX_PREFIXES:
-        known = known | p.startswith(x)
-    return known & ~p.startswith("tests/") & ~has_extension(p, ".lock", ".toml")
+    return _starts_with_any(p, FIX_PREFIXES) & ~p.startswith("tests/") & ~has_extension(p, ".lock", ".toml")
 
 
 def failure_kind(message: Column | str, tokens: tuple[str, ...] = FAILURE_TOKENS) -> Column:
-    """real-test-failure, commit-subject or unknown."""
-    full = F.filter(F.split(F.coalesce(col(message), F.lit("")), "\\r\\n|\\r|\\n"), lambda x: x.rlike("(?U)\\S"))
-    first = F.trim(F.coalesce(F.get(full, 0), F.lit("")))
+    """real-test-failure, commit-subject or unknown: a token of test output anywhere, else a short message, else what a person must judge."""
+    full = F.filter(F.coalesce(lines(message), F.array().cast("array<string>")), lambda x: x.rlike("(?U)\\S"))
+    first = F.regexp_replace(F.coalesce(F.get(full, 0), F.lit("")), "(?U)^\\s+|\\s+$", "")
     short = (F.length(first) < 80) & (F.size(full) <= 2)
-    return F.when(first == "", "unknown").when(contains_any(F.lower(col(message)), *tokens), "real-test-failure").when(short, "commit-subject").otherwise("unknown")
+    return F.when(first == "", "unknown").when(contains_any(F.lower(col(message)), *(t.lower() for t in tokens)), "real-test-failure").when(short, "commit-subject").otherwise("unknown")
 
 
 def is_conventional(message: Column | str) -> Column:
-    return col(message).rlike(CONVENTIONAL)
+    """Whether a message begins like `type: text` or `type(scope): text`, the type in any case."""
+    m = col(message)
+    kind = F.regexp_extract(F.lower(m), "^[a-z]*", 0)
+    after = F.substr(m, F.length(kind) + 1)
+    scope_end = F.instr(after, F.lit(")"))
+    rest = F.when(after.startswith("("), F.when(scope_end > 0, F.substr(after, scope_end + 1)).otherwise("")).otherwise(after)
+    return kind.isin(*CONVENTIONAL_TYPES) & rest.startswith(":") & F.substr(rest, F.lit(2)).rlike("^\\s+\\S")
+
+
+def confidence_histogram(fixtures: DataFrame, review: str = "review") -> DataFrame:
+    """confidence and n: how many fixtures have each, from a `confidence=word` note; high, medium and low in this order."""
+    found = F.nullif(F.regexp_extract(review, "confidence=(\\w+)", 1), F.lit(""))
+    known = F.array(*map(F.lit, ("high", "medium", "low")))
+    return fixtures.groupBy(found.alias("confidence")).agg(F.count("*").alias("n")).filter(F.array_contains(known, F.col("confidence"))).orderBy(F.array_position(known, F.col("confidence")))
 
 
 def added_lines(diff: Column | str) -> Column:

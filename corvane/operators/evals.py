@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.shared import settled
+
 # Least mean precision and reciprocal rank of each grade.
 GRADES = (("A", 0.99, 0.97), ("B", 0.90, 0.85), ("C", 0.75, 0.70))
 
@@ -68,21 +70,23 @@ def time_score(seconds: Column, calls: Column, budget_seconds: Column, budget_ca
 
 
 def p95(rows: DataFrame, value: str, by: str | None = None) -> DataFrame:
-    """The value at place round((n - 1) * 0.95) of the sorted ones, rounded half to even, and the mean.
+    """The value at place round((n - 1) * 0.95) of the sorted ones, rounded half to even, and the mean; of each group where `by` is given. Null values do not count.
 
-    Ungrouped, places are counted in range partitions, so no task sorts all rows.
+    Equal values are counted together, then placed in range partitions of group and value, so no task sorts a whole group. The counts are
+    written first, as what is summed and what is searched must be the same partitions.
     """
-    if by:
-        w = Window.partitionBy(by)
-        ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w)).withColumn("_m", F.avg(value).over(w))
-        return ranked.filter(F.col("_i") == F.least(F.col("_n") - 1, F.bround((F.col("_n") - 1) * 0.95).cast("long"))).select(by, F.col("_n").alias("n"), F.round(value, 6).alias("p95"), F.round("_m", 6).alias("mean"))
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")).repartitionByRange(value).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id())
-    before = counts.groupBy("_p").agg(F.sum("_c").alias("_s"), F.sum(F.col("_c") * F.col(value)).alias("_v"))
-    total = before.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_s").over(Window.partitionBy()).alias("_n"), F.sum("_v").over(Window.partitionBy()).alias("_t"))  # a row for each partition
+    group = F.col(by) if by else F.lit(0)
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    counts = settled(counts.repartitionByRange("_g", "_x").sortWithinPartitions("_g", "_x").withColumn("_p", F.spark_partition_id()))
+    part = counts.groupBy("_g", "_p").agg(F.sum("_c").alias("_s"), F.sum(F.col("_c") * F.col("_x")).alias("_v"))
+    of = Window.partitionBy("_g")  # a row for each partition that holds some of the group
+    before = F.coalesce(F.sum("_s").over(of.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = part.select(F.col("_g").alias("_h"), F.col("_p").alias("_q"), before.alias("_b"), F.sum("_s").over(of).alias("_n"), F.sum("_v").over(of).alias("_t"))
     place = F.least(F.col("_n") - 1, F.bround((F.col("_n") - 1) * 0.95).cast("long"))
-    own = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.join(F.broadcast(total), "_p").withColumn("_e", F.col("_b") + F.sum("_c").over(own))
-    return run.filter((F.col("_e") > place) & (F.col("_e") - F.col("_c") <= place)).select(F.col("_n").alias("n"), F.round(value, 6).alias("p95"), F.round(F.col("_t") / F.col("_n"), 6).alias("mean"))
+    own = Window.partitionBy("_g", "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.join(total, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_q"))).withColumn("_e", F.col("_b") + F.sum("_c").over(own))
+    found = run.filter((F.col("_e") > place) & (F.col("_e") - F.col("_c") <= place))
+    return found.select(*([F.col("_g").alias(by)] if by else []), F.col("_n").alias("n"), F.round("_x", 6).alias("p95"), F.round(F.col("_t") / F.col("_n"), 6).alias("mean"))
 
 
 def gate_status(n_real: Column, n_malformed: Column, n_input: Column, least: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.shared import settled
+
 MAX_DEPTH = 8
 
 
@@ -47,31 +49,76 @@ def existence_violations(nodes: DataFrame, label: str, key: Column | str) -> Dat
     return nodes.filter((F.col("label") == label) & key.isNull()).select("id")
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    out = edges.select("edge_id", F.col("src_id").alias("at"), F.col("dst_id").alias("to"), "relationship")
+    return out.union(edges.filter("src_id != dst_id").select("edge_id", "dst_id", "src_id", "relationship"))
+
+
+def _starts(start: DataFrame) -> DataFrame:
+    return start.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("types"), F.array().cast("array<bigint>").alias("edges")).distinct()
+
+
+def _longer(front: DataFrame, both: DataFrame) -> DataFrame:
+    """The paths with one more edge, none twice: an equi-join of the frontier with the edges."""
+    step = front.join(both, front["id"] == both["at"]).filter(~F.array_contains("edges", F.col("edge_id")))
+    return step.select("start", F.col("to").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("types", F.array("relationship")).alias("types"), F.concat("edges", F.array(F.col("edge_id").cast("bigint"))).alias("edges"))
+
+
 def paths(edges: DataFrame, start: DataFrame, depth: int = 1) -> DataFrame:
     """Paths of 1 to depth edges, in either direction, from each start id, no edge twice: start, id, depth, types, edges.
 
-    edges: edge_id, src_id, dst_id, relationship. Each round is one equi-join of the frontier with the edges.
+    edges: edge_id, src_id, dst_id, relationship. All paths are listed; for the nodes alone see neighbor_nodes().
     """
-    depth = max(1, min(MAX_DEPTH, depth))
-    out = edges.select("edge_id", F.col("src_id").alias("at"), F.col("dst_id").alias("to"), "relationship")
-    both = out.union(edges.filter("src_id != dst_id").select("edge_id", "dst_id", "src_id", "relationship"))
-    front = start.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("types"), F.array().cast("array<bigint>").alias("edges")).distinct()
-    found = None
-    for _ in range(depth):
-        step = front.join(both, front["id"] == both["at"]).filter(~F.array_contains("edges", F.col("edge_id")))
-        front = step.select("start", F.col("to").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("types", F.array("relationship")).alias("types"), F.concat("edges", F.array(F.col("edge_id").cast("bigint"))).alias("edges"))
+    both, front, found = _both_ways(edges), _starts(start), None
+    for _ in range(max(1, min(MAX_DEPTH, depth))):
+        front = _longer(front, both)
         found = front if found is None else found.unionAll(front)
     return found
 
 
 def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, limit: int = 50) -> DataFrame:
-    """The first `limit` paths by depth, then id, then edges, so the answer is always the same."""
-    return paths(edges, start, depth).orderBy("depth", "id", "edges").limit(limit)
+    """The first `limit` paths by depth, then id, then edges, so the answer is always the same. Paths are only made longer while those there are do not fill the limit, so at most `limit` of them are."""
+    both, front, found, n = _both_ways(edges), _starts(start), None, 0
+    for d in range(1, max(1, min(MAX_DEPTH, depth)) + 1):
+        front = _longer(front, both)
+        if d < depth:
+            front = settled(front)
+            n += front.count()
+        found = front if found is None else found.unionAll(front)
+        if n >= limit:
+            break
+    return found.orderBy("depth", "id", "edges").limit(limit)
 
 
 def neighbor_nodes(edges: DataFrame, start: DataFrame, depth: int = 1) -> DataFrame:
-    """Each reached node once, with its least depth."""
-    return paths(edges, start, depth).groupBy("start", "id").agg(F.min("depth").alias("depth"))
+    """Each node that a path of at most depth edges, none twice, reaches, once, with the least depth: start, id, depth.
+
+    A search by frontier, so work grows with the edges, not with the paths. A node keeps at most two ways to it that leave the start by different
+    edges: one gives its depth, and two are what the shortest way back to the start needs, which must end with another edge than it began with.
+    """
+    depth = max(1, min(MAX_DEPTH, depth))
+    both = _both_ways(edges)
+    ids = start.select(F.col("id").alias("start")).distinct()
+    step = ids.join(both, ids["start"] == both["at"]).select("start", F.col("to").alias("id"), F.col("edge_id").alias("first"))
+    back = step.filter("id = start").select("start", "id", F.lit(1).alias("depth"))
+    front = seen = _two_ways(step.filter("id != start")).withColumn("depth", F.lit(1))
+    for d in range(2, depth + 1):
+        if d > 2:
+            front, seen = settled(front), settled(seen)
+        step = front.select("start", F.col("id").alias("from"), "first").join(both, F.col("from") == F.col("at")).filter("not (to = start and edge_id = first)").select("start", F.col("to").alias("id"), "first")
+        back = back.union(step.filter("id = start").select("start", "id", F.lit(d).alias("depth")))
+        known = seen.groupBy("start", "id").agg(F.count("*").alias("n"), F.min("first").alias("k"))
+        new = _two_ways(step.filter("id != start").distinct().join(known, ["start", "id"], "left").filter("n is null or (n = 1 and first != k)"), F.coalesce("n", F.lit(0)))
+        front = new.withColumn("depth", F.lit(d))
+        seen = seen.unionAll(front)
+    return seen.select("start", "id", "depth").unionAll(back).groupBy("start", "id").agg(F.min("depth").alias("depth"))
+
+
+def _two_ways(step: DataFrame, known: Column | None = None) -> DataFrame:
+    """start, id, first: two of the first edges to each node, or one where one is known."""
+    known = F.lit(0) if known is None else known
+    ends = step.groupBy("start", "id").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.max(known).alias("n"))
+    return ends.select("start", "id", F.explode(F.when((F.col("n") == 0) & (F.col("a") != F.col("b")), F.array("a", "b")).otherwise(F.array("a"))).alias("first"))
 
 
 def context(edges: DataFrame, entity: DataFrame, undirected: bool = False) -> DataFrame:
@@ -90,7 +137,7 @@ def impact_candidates(target: str) -> list[str]:
 
 def impact(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """What lies near the candidates (id, rank), each node once by the first candidate that reaches it, as test, doc or component."""
-    near = paths(edges, candidates.select("id"), depth).join(candidates.select(F.col("id").alias("start"), "rank"), "start")
+    near = neighbor_nodes(edges, candidates.select("id"), depth).join(candidates.select(F.col("id").alias("start"), "rank"), "start")
     first = near.groupBy("id").agg(F.min(F.struct("rank", "depth")).alias("_f")).select("id", "_f.rank", "_f.depth")
     named = first.join(nodes.select("id", "label"), "id", "left")
     label, key = F.lower(F.coalesce("label", F.lit(""))), F.lower("id")

@@ -23,13 +23,37 @@ def body(text: Column | str) -> Column:
 
 
 def frontmatter(text: Column | str) -> Column:
-    """`key: value` lines as a map; the first line of a key counts. Quotes around a value go."""
-    found = F.filter(F.split(F.coalesce(frontmatter_block(text), F.lit("")), "\\n"), lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_.-]*\\s*:"))
-    key = lambda x: F.trim(F.regexp_extract(x, "^([^:]+):", 1))
-    value = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)), "^([\"'])(.*)\\1$", "$2")
-    entries = F.transform(found, lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
-    first = F.aggregate(entries, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, e: F.when(F.exists(acc, lambda a: a["k"] == e["k"]), acc).otherwise(F.concat(acc, F.array(e))))
-    return F.map_from_entries(first)
+    """The frontmatter as a map of texts; the first line of a key counts. Quotes around a value and comments behind it go.
+
+    A list in block form, `- item` lines under a key, becomes `[item, item]`, and a nested map, indented `key: value` lines, becomes
+    `{key: value, key: value}`, as if they had been written in one line. Folded and literal texts become one line.
+    """
+    kinds = "struct<k:string,v:string,items:array<string>,pairs:array<string>,more:array<string>>"
+    none = F.array().cast("array<string>")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), "(?<=[^\"'\\s])\\s+#.*$", ""), "^([\"'])(.*)\\1$", "$2")
+    lines = F.filter(F.split(F.coalesce(frontmatter_block(text), F.lit("")), "\n"), lambda x: x.rlike("\\S") & ~x.rlike("^\\s*#"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        changed = lambda **new: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(*(new.get(f, last[f]).alias(f) for f in ("k", "v", "items", "pairs", "more")))))
+        begins = x.rlike("^[A-Za-z_][A-Za-z0-9_.-]*\\s*:(?:\\s|$|[^\\s/])")
+        new = F.struct(F.trim(F.regexp_extract(x, "^([^:]+):", 1)).alias("k"), bare(F.regexp_extract(x, "^[^:]+:(.*)$", 1)).alias("v"), none.alias("items"), none.alias("pairs"), none.alias("more"))
+        item = x.rlike("^\\s*-(?:\\s|$)") & last["v"].isin("", "|", ">", "|-", ">-")
+        pair = x.rlike("^\\s+[^\\s:-][^:]*:(?:\\s|$)") & (last["v"] == "")
+        return (
+            F.when(begins, F.when(F.exists(acc, lambda a: a["k"] == new["k"]), acc).otherwise(F.concat(acc, F.array(new))))
+            .when(F.size(acc) == 0, acc)
+            .when(item, changed(items=F.concat(last["items"], F.array(bare(F.regexp_replace(x, "^\\s*-", ""))))))
+            .when(pair, changed(pairs=F.concat(last["pairs"], F.array(F.concat(F.trim(F.regexp_extract(x, "^([^:]+):", 1)), F.lit(": "), bare(F.regexp_extract(x, "^[^:]+:(.*)$", 1)))))))
+            .when(x.rlike("^\\s"), changed(more=F.concat(last["more"], F.array(F.trim(x)))))
+            .otherwise(acc)
+        )
+
+    found = F.aggregate(lines, F.array().cast(f"array<{kinds}>"), step)
+    joined = lambda a, c, z: F.concat(F.lit(a), F.array_join(c, ", "), F.lit(z))
+    folded = lambda e: F.array_join(F.concat(F.when(e["v"].isin("|", ">", "|-", ">-", ""), none).otherwise(F.array(e["v"])), e["more"]), " ")
+    value = lambda e: F.when(F.size(e["items"]) > 0, joined("[", e["items"], "]")).when(F.size(e["pairs"]) > 0, joined("{", e["pairs"], "}")).otherwise(folded(e))
+    return F.map_from_entries(F.transform(found, lambda e: F.struct(e["k"].alias("k"), value(e).alias("v"))))
 
 
 def list_value(value: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +57,23 @@ def last_sessions(sessions: DataFrame, name: str = "session", keep: int = 50) ->
 
 
 def pre_context(events: DataFrame, payload: Column, chars: int = 4_000) -> DataFrame:
-    """For each event the last `chars` characters of the session's events before it, as a JSON list.
-
-    Only the events that can reach into those characters are gathered: each is at least two characters long with its comma.
-    """
-    w = Window.partitionBy("session").orderBy("ts", "idx").rowsBetween(-(chars // 2), -1)
-    whole = F.concat(F.lit("["), F.array_join(F.collect_list(payload).over(w), ","), F.lit("]"))
-    return events.select("session", "idx", F.right(whole, F.lit(chars)).alias("context"))
+    """For each event the last `chars` characters of the session's events before it, as a JSON list. One ordered pass, which remembers `chars` characters; null payloads count as none."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    rows = events.select("session", "idx", "ts", payload.cast("string").alias("_p")).repartition("session").sortWithinPartitions("session", "ts", "idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, text = object(), ""
+        for b in batches:
+            out = []
+            for session, added in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if session != now:
+                    now, text = session, "["
+                out.append((text + "]")[-chars:])
+                if added is not None:
+                    text = (text + added if text == "[" else f"{text},{added}")[-chars - 1 :]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["session", "idx", "context"])
+
+    return rows.mapInArrow(run, f"session {kinds['session']}, idx {kinds['idx']}, context string")
 
 
 def tail(events: DataFrame, n: int = 20) -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.prior import Prior
+from corvane.functions.shared import settled
 from corvane.functions.vectors import cosine
 
-#: Queries that are sent to the tasks at once; more go in blocks.
-QUERY_BLOCK = 1_024
+#: Bytes of query vectors that are sent to the tasks at once, and queries that a batch is multiplied by at once.
+QUERY_BYTES = 64 << 20
+QUERY_ROWS = 1_024
 
 
 def scored(vectors: DataFrame, query: list[float], embedding: str = "embedding", score: str = "similarity") -> DataFrame:
@@ -26,17 +30,35 @@ def with_filters(vectors: DataFrame, tenant: str | int | None = None, properties
     return out.filter(contains_properties(properties_col, properties)) if properties else out
 
 
-def contains_properties(column: str, wanted: dict[str, object], at: str = "$") -> Column:
-    """Containment of nested objects in a JSON string column."""
-    test = F.lit(True)
-    for key, value in wanted.items():
-        here = f"{at}.{key}"
-        if isinstance(value, dict):
-            test = test & contains_properties(column, value, here)
-        else:
-            text = str(value).lower() if isinstance(value, bool) else str(value)
-            test = test & (F.get_json_object(F.col(column), here) == F.lit(text))
-    return test
+def contains_properties(column: str, wanted: dict[str, object]) -> Column:
+    """Whether a JSON string column contains the wanted value: objects hold at least the wanted keys, arrays at least the wanted items, and scalars, null among them, are equal in type and value. False where the text is null or no JSON."""
+    return F.coalesce(_contains(F.try_parse_json(F.col(column)), wanted), F.lit(False))
+
+
+def _contains(found: Column, wanted: object) -> Column:
+    """Containment in a variant; null or false where it is none."""
+    kind = F.schema_of_variant(found)
+    if isinstance(wanted, dict):
+        return reduce(Column.__and__, (_contains(F.try_variant_get(found, f"$[{_quoted(k)}]", "variant"), v) for k, v in wanted.items()), kind.startswith("OBJECT"))
+    if isinstance(wanted, (list, tuple)):
+        items = F.try_variant_get(found, "$", "array<variant>")
+        among = lambda v: F.exists(items, lambda x: F.coalesce(_contains(x, v), F.lit(False)))
+        return reduce(Column.__and__, map(among, wanted), kind.startswith("ARRAY"))
+    if wanted is None:
+        return F.is_variant_null(found)
+    if isinstance(wanted, bool):
+        return F.try_variant_get(found, "$", "boolean").eqNullSafe(F.lit(wanted)) & (kind == "BOOLEAN")
+    if isinstance(wanted, (int, float)):
+        return F.try_variant_get(found, "$", "double").eqNullSafe(F.lit(float(wanted))) & (kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE"))
+    return F.try_variant_get(found, "$", "string").eqNullSafe(F.lit(str(wanted))) & (kind == "STRING")
+
+
+def _quoted(key: str) -> str:
+    """A key of any characters, but not with both kinds of quotes, as a step of a path."""
+    mark = '"' if "'" in key else "'"
+    if mark in key:
+        raise ValueError(f"not a property name: {key!r}")
+    return f"{mark}{key}{mark}"
 
 
 def allowed(vectors: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -63,67 +85,115 @@ def distinct_top_k(rows: DataFrame, k: int, key: str, tie: str, score: str = "si
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id", query_embedding: str = "embedding", group: str | None = None) -> DataFrame:
     """query_id, id, similarity, rank of the k nearest vectors of every query, and with group the best of each group only.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; a task multiplies its Arrow batches by the block and hands on
-    its own k best of each query, so the shuffle carries k rows for each query and task.
+    Queries are sent to the tasks until they fill QUERY_BYTES, one scan of the vectors for each such block. A task multiplies its Arrow batches
+    by QUERY_ROWS queries at a time and hands on the k best vectors, or groups, of each query: a vector or group among the k best of all has
+    fewer than k better ones in any task. So the shuffle carries k rows for each query and task.
     """
-    spark, parts = vectors.sparkSession, []
-    block: list = []
-    for row in queries.select(F.col(query_id).cast("long"), query_embedding).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            parts.append(_block_top_k(spark, vectors, block, k, id_col, embedding, group))
-            block = []
-    if block or not parts:
-        parts.append(_block_top_k(spark, vectors, block, k, id_col, embedding, group))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    if group:
-        every = every.groupBy("query_id", "group").agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("id"))).alias("b")).select("query_id", "b.id", "b.similarity", F.col("group").alias(group))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), group or "id")
-    out = every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out if group else out.drop("group")
-
-
-def _block_top_k(spark: SparkSession, vectors: DataFrame, block: list, k: int, id_col: str, embedding: str, group: str | None) -> DataFrame:
-    keys = np.array([q for q, _ in block], np.int64)
-    matrix = np.array([e for _, e in block], np.float64).reshape(len(block), -1 if block else 0)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    sent = spark.sparkContext.broadcast((keys, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)))
-    names = ["query_id", "id", "similarity", "group"]
+    own = vectors.filter(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("e"), _tag(group).alias("tag"))
+    every = reduce(DataFrame.unionAll, (own.mapInArrow(nearest(spark_block, k, group is not None), NEAREST) for spark_block in query_blocks(vectors.sparkSession, queries, query_id, query_embedding)))
+    if not group:
+        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        return every.drop("tag").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = every.groupBy("query_id", "tag").agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("id"))).alias("b")).select("query_id", "b.id", "b.similarity", "tag")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "tag")
+    ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "id", "similarity", F.when(F.col("tag") != "", F.substr("tag", F.lit(2))).alias(group), "rank")
+
+
+def _tag(group: str | None) -> Column:
+    """A group as text that sorts like it, without nulls."""
+    return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")) if group else F.lit("")
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def query_blocks(spark: SparkSession, queries: DataFrame, query_id: str, embedding: str) -> Iterator[Broadcast]:
+    """Ids and unit vectors of the queries, read through an iterator, in blocks of at most QUERY_BYTES; one empty block if there are none."""
+    keys: list[int] = []
+    rows: list[np.ndarray] = []
+    held = sent = 0
+    for row in queries.select(F.col(query_id).cast("long"), embedding).toLocalIterator():
+        keys.append(row[0])
+        rows.append(np.array(row[1], np.float64))
+        held += rows[-1].nbytes
+        if held >= QUERY_BYTES:
+            yield spark.sparkContext.broadcast((np.array(keys, np.int64), unit_rows(np.stack(rows))))
+            keys, rows, held, sent = [], [], 0, sent + 1
+    if rows or not sent:
+        yield spark.sparkContext.broadcast((np.array(keys, np.int64), unit_rows(np.stack(rows)) if rows else np.zeros((0, 1))))
+
+
+NEAREST = "query_id long, id long, similarity double, tag string"
+
+
+class Best:
+    """The k best of each query so far, as arrays of query, id, similarity and tag; with by_tag the best of each tag counts alone."""
+
+    def __init__(self, k: int, by_tag: bool):
+        self.k, self.by_tag = k, by_tag
+        self.rows: tuple[np.ndarray, ...] | None = None
+
+    def add(self, query: np.ndarray, id_: np.ndarray, similarity: np.ndarray, tag: np.ndarray) -> None:
+        new = (query, id_, similarity, tag)
+        self.rows = new if self.rows is None else tuple(np.concatenate(x) for x in zip(self.rows, new, strict=True))
+        if self.by_tag:
+            self._take(np.lexsort((self.rows[1], -self.rows[2], self.rows[3], self.rows[0])), (0, 3), 1)
+        self._take(np.lexsort((self.rows[3 if self.by_tag else 1], -self.rows[2], self.rows[0])), (0,), self.k)
+
+    def _take(self, order: np.ndarray, keys: tuple[int, ...], n: int) -> None:
+        """The first n rows of each key in the order."""
+        rows = tuple(x[order] for x in self.rows)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in keys], axis=0)
+        at = np.arange(len(order))
+        place = at - np.maximum.accumulate(np.where(new, at, 0))
+        self.rows = tuple(x[place < n] for x in rows)
+
+
+def nearest(sent: Broadcast, k: int, by_tag: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's k best of each query of the block, from batches of id, embedding and tag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, m = sent.value
-        best: list = [None] * len(q)
+        keys, matrix = sent.value
+        found = [Best(k, by_tag) for _ in range(0, len(keys), QUERY_ROWS)]
         for b in batches:
-            if not b.num_rows or not len(q):
+            if not b.num_rows:
                 continue
-            ids, tags = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
-            v = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            s = np.round(m @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T, 6) + 0.0
-            for i in range(len(q)):
-                if group is None and len(ids) > k:
-                    cut = np.partition(s[i], len(ids) - k)[len(ids) - k]
-                    own = np.flatnonzero(s[i] >= cut)
+            ids, tags = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(str)
+            v = unit_rows(b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1))
+            if by_tag:
+                order = np.lexsort((ids, tags))
+                ids, tags, v = ids[order], tags[order], v[order]
+                edge = np.append(np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1]])), len(ids))
+            for n, best in enumerate(found):
+                part = slice(n * QUERY_ROWS, (n + 1) * QUERY_ROWS)
+                s = np.round(matrix[part] @ v.T, 6) + 0.0
+                if by_tag:
+                    tops = np.maximum.reduceat(s, edge[:-1], axis=1)
+                    q, g = np.nonzero(tops >= _cut(tops, k))
+                    size = edge[g + 1] - edge[g]  # the first vector of each chosen group that has the group's best similarity
+                    pair = np.repeat(np.arange(len(q)), size)
+                    c = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + edge[g][pair]
+                    hit = s[q[pair], c] == tops[q[pair], g[pair]]
+                    _, first = np.unique(pair[hit], return_index=True)
+                    c = c[hit][first]
                 else:
-                    own = np.arange(len(ids))
-                found = (ids[own], s[i][own], tags[own])
-                if best[i] is not None:
-                    found = tuple(np.concatenate(x) for x in zip(best[i], found, strict=True))
-                order = np.lexsort((found[0], -found[1]))
-                if group is None:
-                    order = order[:k]
-                else:  # the best of each group stays
-                    _, first = np.unique(found[2][order].astype(str), return_index=True)
-                    order = order[np.sort(first)]
-                best[i] = tuple(x[order] for x in found)
-        for i, found in enumerate(best):
-            if found is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), q[i])), pa.array(found[0], pa.int64()), pa.array(found[1], pa.float64()), pa.array([None if t is None else str(t) for t in found[2]], pa.string())], names=names)
-
-    tag = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    return vectors.filter(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("e"), tag.alias("g")).mapInArrow(run, "query_id long, id long, similarity double, group string")
+                    q, c = np.nonzero(s >= _cut(s, k))
+                best.add(keys[part][q], ids[c], s[q, c], tags[c])
+        for best in found:
+            if best.rows is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(best.rows, (pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)], names=["query_id", "id", "similarity", "tag"])
+
+    return run
+
+
+def _cut(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row."""
+    n = s.shape[1]
+    return np.partition(s, n - k, axis=1)[:, n - k : n - k + 1] if n > k else np.full((len(s), 1), -np.inf)
 
 
 def over_fetch(limit: int) -> int:
@@ -176,8 +246,8 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: str, order: str | None =
 
 
 def stable_ids(rows: DataFrame, key: str, seen: str, name: str = "internal_id") -> DataFrame:
-    """Numbers keys by first appearance, without one sorting task: ranks within range partitions plus the counts before."""
-    first = rows.groupBy(key).agg(F.min(seen).alias("_f")).repartitionByRange("_f", key).sortWithinPartitions("_f", key).withColumn("_m", F.monotonically_increasing_id())
+    """Numbers keys by first appearance, without one sorting task: ranks within range partitions plus the counts before. The ranked keys are written first, as both sides of the join must see the same partitions."""
+    first = settled(rows.groupBy(key).agg(F.min(seen).alias("_f")).repartitionByRange("_f", key).sortWithinPartitions("_f", key).withColumn("_m", F.monotonically_increasing_id()).drop("_f"))
     part = first.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = part.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each partition

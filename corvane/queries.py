@@ -362,7 +362,7 @@ def fixture_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", evals.schema_errors({"role": F.nullif("role", F.lit("system"))}, {"text too short": F.length("text") > 200}).alias("errors"))
 
 
-@query("WITH c AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '\\S')) AS l FROM conversations) SELECT conv_id, turn, CASE WHEN len(l) = 0 THEN 'unknown' WHEN regexp_matches(lower(text), 'assert|panicked|traceback|expected|error:|failed|exception|left:|right:') THEN 'real-test-failure' WHEN length(trim(l[1])) < 80 AND len(l) <= 2 THEN 'commit-subject' ELSE 'unknown' END AS kind FROM c")
+@query("WITH c AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '\\S')) AS l FROM conversations) SELECT conv_id, turn, CASE WHEN len(l) = 0 THEN 'unknown' WHEN regexp_matches(lower(text), 'failed|fail[ !\\t\\n]|expected:|got:|assertion|traceback|error:|panicked|invalidsignature|reason:|got verdict|expected verdict| > |::') THEN 'real-test-failure' WHEN length(trim(l[1])) < 80 AND len(l) <= 2 THEN 'commit-subject' ELSE 'unknown' END AS kind FROM c")
 def failure_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", audit.failure_kind("text").alias("kind"))
 
@@ -682,6 +682,6 @@ def view_promoted_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.promoted(dated_files(spark, sf_dir), "2024-02-09").select("path")
 
 
-@query("WITH c AS (SELECT text, list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '\\S')) AS l FROM conversations) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN len(l) = 0 THEN 'unknown' WHEN regexp_matches(lower(text), 'assert|panicked|traceback|expected|error:|failed|exception|left:|right:') THEN 'real-test-failure' WHEN length(trim(l[1])) < 80 AND len(l) <= 2 THEN 'commit-subject' ELSE 'unknown' END AS kind FROM c) GROUP BY kind")
+@query("WITH c AS (SELECT text, list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '\\S')) AS l FROM conversations) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN len(l) = 0 THEN 'unknown' WHEN regexp_matches(lower(text), 'failed|fail[ !\\t\\n]|expected:|got:|assertion|traceback|error:|panicked|invalidsignature|reason:|got verdict|expected verdict| > |::') THEN 'real-test-failure' WHEN length(trim(l[1])) < 80 AND len(l) <= 2 THEN 'commit-subject' ELSE 'unknown' END AS kind FROM c) GROUP BY kind")
 def fixture_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(audit.failure_kind("text").alias("kind")).agg(F.count("*").alias("n"))

@@ -65,12 +65,15 @@ def default_sources(candidates: list[str], exists: Callable[[str], bool]) -> str
 
 
 def tree(spark: SparkSession, source: Source) -> DataFrame:
-    """path (relative to the root), text (null for binary files), size, modified of the files that a source selects."""
+    """path (relative to the root), text (null for binary files), size, modified of the files that a source selects.
+
+    What is selected is said of the files' metadata alone, so that files of skipped folders are left out of the scan before any content is read.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source.root)
     bare = "^.*?" + escaped(source.root.split("://")[-1].rstrip("/")) + "/"
-    files = raw.withColumn("path", F.regexp_replace("path", bare, ""))
-    kept = files.filter(~is_skipped("path") & path_selected("path", list(source.glob), list(source.exclude)))
-    return kept.select("path", readable_text("content").alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), bare, "")
+    kept = raw.filter(~is_skipped(path) & path_selected(path, list(source.glob), list(source.exclude)))
+    return kept.select(path.alias("path"), readable_text("content").alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def escaped(text: str) -> str:

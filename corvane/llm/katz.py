@@ -1,27 +1,31 @@
-"""Katz backoff over word bigrams: Good-Turing discounted counts, exactly normalised backoff weights.
+"""Katz backoff over word n-grams: Good-Turing discounted counts, exactly normalised backoff weights, evaluated recursively.
 
     P(w)     = d(c) c / N for a training word, and what the discounts leave over for the one unknown word
-    P(w | v) = d(c(v, w)) c(v, w) / c(v) if the pair is in the training texts, else a(v) P(w); P(w) if v is not
-    a(v)     = (1 - sum of P(w | v) over the words seen after v) / (1 - sum of P(w) over them)
+    P(w | h) = d(c(h, w)) c(h, w) / c(h) if the n-gram is in the training texts, else a(h) P(w | h'); P(w | h') if h is not
+    a(h)     = (1 - sum of P(w | h) over the words seen after h) / (1 - sum of P(w | h') over them)
 
-d(r) is Katz's discount for counts of 1 to 5, with each order's own counts of counts; where these give no discount between
-0 and 1, (r - D) / r with D = n1 / (n1 + 2 n2) is used, and 1 - 1e-6 above 5, so no weight is zero.
+h' is h without its first word; the start of a text is a context of one symbol. d(r) is Katz's discount for counts of 1 to 5,
+with each order's own counts of counts; where these give no discount between 0 and 1, (r - D) / r with D = n1 / (n1 + 2 n2) is
+used, and 1 - 1e-6 above 5, so no weight is zero.
 
-Texts are turned into segments of a few million tokens, each with the words and pairs of its own. A segment sends its words
-and pairs, once each, to buckets of their hashes, with their training counts; these partitioned tables are summed there, and each
-segment gets the totals of what it sent. One segment owns each pair and adds it to the sums of its context; backoff weights
-come from these sums, for the contexts that some scored text backs off from.
+Texts are turned into segments of a few million tokens, each with the words and n-grams of its own. A segment sends its words
+and n-grams, once each, to buckets of their hashes, with their training counts, one order after another; these partitioned tables
+are summed there, and each segment gets the totals of what it sent. One segment owns each n-gram and adds it to the sums of its
+context; backoff weights come from these sums, for the contexts that some scored text backs off from.
 
-Results for edge cases: a null or empty text is its end token alone. A null id is held out. Repeated rows count and score
-once each. An empty table gives an empty result; without training texts every token is the unknown word. Other columns are not read.
+Results for edge cases: a null or empty text is its end token alone. Texts of any length are scored whole. A null id is held out.
+Repeated rows count and score once each. An empty table gives an empty result; without training texts every token is the unknown
+word. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -29,17 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, hash_words, id_and_text, map_arrow, mix, rows_of
-from corvane.llm.packed import planes, unplanes
+from corvane.llm.packed import Buckets, first_segment, next_segment, pack, unpack
 
 SEGMENT = 1_000_000
-BUCKET_BYTES = 6_000_000
-MOST_BUCKETS = 65_536
 TOP = 5
-_LOW = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" "))
-WORD, PAIR = 0, 1
+#: Beside a total: whether the segment owns the n-gram, and whether some text asks for its weight.
+OWNS, ASKED = np.uint64(1 << 63), np.uint64(1 << 62)
+_COUNT = ASKED - np.uint64(1)
 
 _SEGMENT = pa.schema([("seg", pa.int64()), ("ids", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary()), ("train_docs", pa.int64()), ("train_tokens", pa.int64())])
 _SEGMENT_SQL = "seg long, ids binary, held binary, sizes binary, words binary, tokens binary, train_docs long, train_tokens long"
@@ -49,9 +52,9 @@ def is_held_out(doc_id: int | None, mod: int, rest: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod == rest
 
 
-def _segments(mod: int, rest: int):
+def _segments(mod: int, rest: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = TaskContext.get().partitionId() << 16
+        seg = first_segment(TaskContext.get().partitionId())
         ids: list[int | None] = []
         texts: list[np.ndarray] = []
         held = 0
@@ -59,13 +62,17 @@ def _segments(mod: int, rest: int):
         def close() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], np.int64)
             out = np.array([is_held_out(i, mod, rest) for i in ids], bool)
-            words, tokens = np.unique(np.concatenate(texts), return_inverse=True)
+            tokens, words = pd.factorize(np.concatenate(texts))
+            often = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")  # frequent words get small numbers, whose high bytes compress
+            rank = np.empty(len(words), np.uint32)
+            rank[often] = np.arange(len(words), dtype=np.uint32)
+            words, tokens = words[often], rank[tokens]
             key = pa.array(ids, pa.int64())
             with pa.BufferOutputStream() as sink:
                 with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
                     w.write_batch(pa.record_batch([key], names=["id"]))
                 packed = sink.getvalue().to_pybytes()
-            row = [seg, packed, out.tobytes(), sizes.tobytes(), words.tobytes(), planes(tokens.astype(np.uint32)), int((~out).sum()), int(sizes[~out].sum())]
+            row = [seg, packed, out.tobytes(), sizes.tobytes(), words.tobytes(), pack(tokens), int((~out).sum()), int(sizes[~out].sum())]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SEGMENT, strict=True)], schema=_SEGMENT)
 
         for batch in batches:
@@ -73,42 +80,58 @@ def _segments(mod: int, rest: int):
                 ids.append(i)
                 texts.append(np.append(hash_words(text.lower().split()) if text else np.empty(0, np.uint64), END))
                 held += len(texts[-1])
-                if held >= SEGMENT:
+                if held >= segment:
                     yield close()
-                    seg, ids, texts, held = seg + 1, [], [], 0
+                    seg, ids, texts, held = next_segment(seg), [], [], 0
         if ids:
             yield close()
 
     return run
 
 
+class Grams:
+    """The different n-grams of an order: their hashes, the place of one token of each, its context among those of the order before (-1: start), and each token's n-gram (-1: none)."""
+
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, context: np.ndarray, of: np.ndarray):
+        self.hashes, self.at, self.context, self.of = hashes, at, context, of
+
+    def context_hashes(self, before: Grams, which: np.ndarray) -> np.ndarray:
+        return np.where(which < 0, START, before.hashes[which])
+
+
 class Segment:
-    """A segment's texts as arrays: words, and for each token its word, its context (-1: start) and whether it is held out."""
+    """A segment's texts as arrays: words, and for each token its word, its text and whether that trains."""
 
     def __init__(self, ids: bytes, held: bytes, sizes: bytes, words: bytes, tokens: bytes):
         self.ids = pa.ipc.open_stream(ids).read_all().column(0)
         self.held, self.sizes = np.frombuffer(held, bool), np.frombuffer(sizes, np.int64)
-        self.words, self.token = np.frombuffer(words, np.uint64), unplanes(tokens, "<u4").astype(np.int32)
+        self.words, self.token = np.frombuffer(words, np.uint64), unpack(tokens, "<u4")[0].astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self.context = np.empty_like(self.token)
-        self.context[1:] = self.token[:-1]
-        self.context[np.concatenate([[0], np.cumsum(self.sizes)[:-1]])] = -1
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.trains = ~self.held[self.doc]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The hashes of the different pairs, for each the place of one token, and for each token its pair."""
-        wide = (self.context.astype(np.int64) + 1) * len(self.words) + self.token
-        _, at, of = np.unique(wide, return_index=True, return_inverse=True)
-        before = np.where(self.context[at] < 0, START, self.words[self.context[at]])
-        with np.errstate(over="ignore"):
-            return mix(before * _STEP + self.words[self.token[at]]), at, of
-
-
-def in_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order by bucket and hash, and where each bucket begins in it."""
-    bucket = (hashes >> np.uint64(48)) % np.uint64(buckets)
-    order = np.argsort(bucket << np.uint64(48) | hashes & _LOW, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    def before(self, of: np.ndarray) -> np.ndarray:
+        """The value of the token before, -1 at the start of a text."""
+        out = np.empty_like(of)
+        out[1:] = of[:-1]
+        out[self.first] = -1
+        return out
+
+    def grams(self, order: int) -> list[Grams]:
+        """Those of order 1 to `order`."""
+        none = np.empty(0, np.int64)
+        out = [Grams(self.words, none, none, self.token)]
+        for n in range(2, order + 1):
+            context = self.before(out[-1].of)
+            some = np.arange(len(context)) if n == 2 else np.flatnonzero(context >= 0)
+            which, kinds = pd.factorize((context[some] + 1) * len(self.words) + self.token[some])
+            at, of = np.empty(len(kinds), np.int64), np.full(len(context), -1, np.int64)
+            at[which] = some
+            of[some] = which
+            with np.errstate(over="ignore"):
+                hashes = mix(np.where(context[at] < 0, START, out[-1].hashes[context[at]]) * _STEP + self.words[self.token[at]])
+            out.append(Grams(hashes, at, context[at], of))
+        return out
 
 
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("seg", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -120,19 +143,30 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MESSAGE, strict=True)], schema=_MESSAGE)
 
 
-def _send(buckets: int):
+def _send(buckets: Buckets, orders: list[int], top: int):
+    """The n-grams of these orders with their training counts, and a mark on those that held-out texts ask for as contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seg, *parts in rows_of(batch):
                 s = Segment(*parts)
-                asked = np.zeros(len(s.words), np.uint32)
-                asked[s.context[~s.trains & (s.context >= 0)]] = 1 << 31
-                pairs, _, of = s.pairs()
-                for kind, hashes, count in ((WORD, s.words, np.bincount(s.token[s.trains], minlength=len(s.words)).astype(np.uint32) | asked), (PAIR, pairs, np.bincount(of[s.trains], minlength=len(pairs)).astype(np.uint32))):
-                    order, edges = in_buckets(hashes, buckets)
-                    low, n = hashes[order] & _LOW, count[order]
-                    for first in range(0, buckets, 256):
-                        yield _messages([(k, kind, seg, planes(np.diff(low[edges[k] : edges[k + 1]], prepend=np.uint64(0))), planes(n[edges[k] : edges[k + 1]])) for k in range(first, min(buckets, first + 256)) if edges[k + 1] > edges[k]])
+                for kind, g in enumerate(s.grams(orders[-1]), 1):
+                    if kind not in orders:
+                        continue
+                    count = np.bincount(g.of[s.trains & (g.of >= 0)], minlength=len(g.hashes)).astype(np.uint32)
+                    if kind < top:
+                        wanted = s.before(g.of)[~s.trains]
+                        count[wanted[wanted >= 0]] |= np.uint32(1 << 31)
+                    order = np.argsort(g.hashes, kind="stable")
+                    which, edges = buckets.edges(g.hashes[order])
+                    low, n = buckets.short(g.hashes[order]), count[order]
+                    rows = []
+                    for k, lo, hi in zip(which.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        rows.append((k, kind, seg, None, pack(np.diff(low[lo:hi], prepend=buckets.base(k)), n[lo:hi])))
+                        if len(rows) >= 256:
+                            yield _messages(rows)
+                            rows = []
+                    yield _messages(rows)
 
     return run
 
@@ -142,7 +176,7 @@ _TOTAL_SQL = _MESSAGE_SQL + ", histogram array<long>"
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The training counts of a bucket's words or pairs; each segment gets those of what it sent. The last bit of a count: for a word, whether some text asks for its weight; for a pair, whether the segment owns it."""
+    """The training counts of a bucket's n-grams; each segment gets those of what it sent, with the marks OWNS and ASKED."""
     now, parts = None, []
 
     def close() -> Iterator[pa.RecordBatch]:
@@ -153,29 +187,28 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorted_, n = key[order], sent[order]
         new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
         start, group = np.flatnonzero(new), np.cumsum(new) - 1
-        total = np.minimum(np.add.reduceat((n & 0x7FFFFFFF).astype(np.int64), start), 0x7FFFFFFF)
-        if kind == WORD:
-            flag = np.bitwise_or.reduceat(n, start)[group] >> 31
-        else:
-            has = n > 0
-            before = np.cumsum(has) - has
-            flag = (has & (before == before[start][group])).astype(np.uint32)
-        back = np.empty(len(key), np.uint32)
-        back[order] = total[group].astype(np.uint32) | flag.astype(np.uint32) << 31
-        histogram = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[1:].tolist()
+        times = n & np.uint32(0x7FFFFFFF)
+        total = np.add.reduceat(times.astype(np.uint64), start)
+        total = np.where(np.bitwise_or.reduceat(n, start) >> np.uint32(31) == 1, total | ASKED, total)
+        has = times > 0
+        before = np.cumsum(has) - has
+        back = np.empty(len(key), np.uint64)
+        back[order] = np.where(has & (before == before[start][group]), total[group] | OWNS, total[group])
+        histogram = np.bincount(np.minimum(total & _COUNT, np.uint64(TOP + 2)).astype(np.int64), minlength=TOP + 3)[1:].tolist()
         at = 0
         for k, p in enumerate(parts):
-            row = [bucket, kind, p[0], None, planes(back[at : at + len(p[1])]), histogram if k == 0 else None]
+            row = [bucket, kind, p[0], None, pack(back[at : at + len(p[1])]), histogram if k == 0 else None]
             at += len(p[1])
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _TOTAL, strict=True)], schema=_TOTAL)
 
     for batch in batches:
-        for bucket, kind, seg, a, b in rows_of(batch):
+        for bucket, kind, seg, _, b in rows_of(batch):
             if (bucket, kind) != now:
                 if parts:
                     yield from close()
                 now, parts = (bucket, kind), []
-            parts.append((seg, np.cumsum(unplanes(a, "<u8"), dtype=np.uint64), unplanes(b, "<u4")))
+            step, count = unpack(b, "<u8", "<u4")
+            parts.append((seg, np.cumsum(step, dtype=np.uint64), count))
     if parts:
         yield from close()
 
@@ -194,113 +227,183 @@ def discounts(n: list[int]) -> np.ndarray:
 class Model:
     """What the driver knows of the model: totals and discounts."""
 
-    def __init__(self, n: int, docs: int, words: list[int], pairs: list[int], left: float):
-        self.n, self.docs, self.types = n, docs, sum(words)
-        self.word_d, self.pair_d = discounts(words), discounts(pairs)
+    def __init__(self, n: int, docs: int, counts: list[list[int]], left: float):
+        self.n, self.docs, self.types = n, docs, sum(counts[0])
+        self.d = [discounts(c) for c in counts]
         self.left = left
 
     def word(self, c: np.ndarray) -> np.ndarray:
         """P(w) of words with these counts."""
-        return np.where(c > 0, self.word_d[np.minimum(c, TOP + 1)] * c / max(self.n, 1), self.left)
+        return np.where(c > 0, self.d[0][np.minimum(c, TOP + 1)] * c / max(self.n, 1), self.left)
+
+
+#: Kinds of messages after scoring: a segment's texts with their backoff events, sums of contexts, and contexts whose weights a segment asks for.
+TEXTS, CONTEXT, ASK = 0, 1, 2
+_DOC = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_DOC_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys in order, and the sums of the values of each."""
+    which, kinds = pd.factorize(keys)
+    order = np.argsort(kinds, kind="stable")
+    return kinds[order], *(np.bincount(which, v, len(kinds))[order] for v in values)
 
 
-_SCORED = pa.schema([("kind", pa.int32()), ("seg", pa.int64()), ("doc", pa.int64()), ("word", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64())])
-_SCORED_SQL = "kind int, seg long, doc long, word long, x double, y double, doc_id long, held_out boolean, n_tokens long, n_known long"
-DOC, CONTEXT, BACKOFF = 0, 1, 2
+def _by_bucket(buckets: Buckets, kind: int, seg: int, hashes: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """Sorted hashes with their values, a message for each bucket."""
+    which, edges = buckets.edges(hashes)
+    low = buckets.short(hashes)
+    return _messages([(k, kind, seg, None, pack(np.diff(low[lo:hi], prepend=buckets.base(k)), *(v[lo:hi] for v in values))) for k, lo, hi in zip(which.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
 
 
-def _score(buckets: int, model: Model):
-    def finish(seg: int, parts: list, words: dict[int, bytes], pairs: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+def _score(model: Model, buckets: Buckets):
+    def finish(seg: int, parts: list, got: dict[int, dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
         s = Segment(*parts)
-        hashes, at, of = s.pairs()
-
-        def totals(h: np.ndarray, got: dict[int, bytes]) -> np.ndarray:
-            order, _ = in_buckets(h, buckets)
-            out = np.empty(len(h), np.uint32)
-            out[order] = np.concatenate([unplanes(got[k], "<u4") for k in sorted(got)])
-            return out
-
-        word, pair = totals(s.words, words), totals(hashes, pairs)
-        asked, c, owner, r = word >> 31 == 1, (word & 0x7FFFFFFF).astype(np.int64), pair >> 31 == 1, (pair & 0x7FFFFFFF).astype(np.int64)
-        p = model.word(c)
-        context = s.context[at]
-        times = np.where(context < 0, model.docs, c[context])
-        seen = r > 0
-        chance = np.where(seen, model.pair_d[np.minimum(r, TOP + 1)] * r / np.maximum(times, 1), p[s.token[at]])
         n = len(s.sizes)
-        base = np.log10((c + 0.1) / (model.n + 0.1 * (model.types + 1)))
-        sums = [np.bincount(s.doc, w, n) for w in (base[s.token], np.log10(chance)[of], (c > 0)[s.token])]
-        # Backoff events: a known context, but not this pair.
-        back = ~seen & (times > 0)
-        event = back[of]
-        which, k = np.unique(s.doc[event].astype(np.int64) * (len(s.words) + 1) + s.context[event] + 1, return_counts=True)
-        where = which % (len(s.words) + 1) - 1
-        own = owner & seen & np.where(context < 0, True, asked[context])
-        ctx, inv = np.unique(context[own], return_inverse=True)
-        as_word = lambda i: np.where(i < 0, START, s.words[i]).astype(np.uint64).view(np.int64)
-        full = lambda m, x: np.full(m, x)
-        none = lambda m, t: pa.nulls(m, t)
-
-        def batch(m: int, **cols) -> pa.RecordBatch:
-            given = {"seg": full(m, seg)} | cols
-            return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if isinstance(given.get(f.name), np.ndarray) else given.get(f.name, none(m, f.type)) for f in _SCORED], schema=_SCORED)
-
-        yield batch(n, kind=full(n, DOC), doc=np.arange(n), x=sums[0], y=sums[1], doc_id=s.ids.combine_chunks(), held_out=s.held, n_tokens=s.sizes, n_known=sums[2].astype(np.int64))
-        m = len(ctx)
-        if m:
-            yield batch(m, kind=full(m, CONTEXT), word=as_word(ctx), x=np.bincount(inv, chance[own], m), y=np.bincount(inv, p[s.token[at[own]]], m))
-        m = len(which)
-        if m:
-            yield batch(m, kind=full(m, BACKOFF), doc=which // (len(s.words) + 1), word=as_word(where), x=k.astype(np.float64))
+        asked = chance = c = before = None
+        sums: list[tuple[np.ndarray, ...]] = []
+        events: list[tuple[np.ndarray, np.ndarray]] = []
+        for kind, g in enumerate(s.grams(len(model.d)), 1):
+            total = np.empty(len(g.hashes), np.uint64)
+            if len(total):
+                total[np.argsort(g.hashes, kind="stable")] = np.concatenate([unpack(got[kind][k], "<u8")[0] for k in sorted(got[kind])])
+            r = (total & _COUNT).astype(np.int64)
+            if kind == 1:
+                base = np.log10((r + 0.1) / (model.n + 0.1 * (model.types + 1)))[s.token]
+                known, chance = (r > 0)[s.token], model.word(r)
+                here = chance[s.token]
+            else:
+                lower = chance[before.of[g.at]]
+                times = np.where(g.context < 0, model.docs, c[g.context])
+                seen = r > 0
+                chance = np.where(seen, model.d[kind - 1][np.minimum(r, TOP + 1)] * r / np.maximum(times, 1), lower)
+                some = g.of >= 0
+                here[some] = chance[g.of[some]]
+                own = np.flatnonzero((total & OWNS > 0) & seen & np.where(g.context < 0, True, asked[g.context]))
+                left = r[own] * (1 - model.d[kind - 1][np.minimum(r[own], TOP + 1)])
+                ctx, *parts_ = _grouped(g.context[own], r[own], left, lower[own])
+                sums.append((g.context_hashes(before, ctx), *parts_))
+                # Backoff events: a known context, but not this n-gram.
+                event = np.flatnonzero(some)[(~seen & (times > 0))[g.of[some]]]
+                events.append((s.doc[event], g.context_hashes(before, g.context[g.of[event]])))
+            asked, c, before = total & ASKED > 0, r, g
+        hashes, times, left, lower = (np.concatenate(z) for z in zip(*sums, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        yield _by_bucket(buckets, CONTEXT, seg, hashes[order], times[order].astype(np.uint64), left[order], lower[order])
+        doc, hashes = (np.concatenate(z) for z in zip(*events, strict=True))
+        which, kinds = pd.factorize(hashes)
+        order = np.argsort(kinds, kind="stable")
+        yield _by_bucket(buckets, ASK, seg, kinds[order])
+        rank = np.empty(len(kinds), np.int64)
+        rank[order] = np.arange(len(kinds))
+        pairs, times = _grouped(doc.astype(np.int64) * max(1, len(kinds)) + rank[which], np.ones(len(doc)))
+        packed = pack(*(v.astype(np.uint32) for v in (np.diff(pairs // max(1, len(kinds)), prepend=0), pairs % max(1, len(kinds)), times)))
+        texts = pa.record_batch([s.ids.combine_chunks(), pa.array(s.held), pa.array(s.sizes), *(pa.array(np.bincount(s.doc, w, n), t) for w, t in ((known, pa.int64()), (base, pa.float64()), (np.log10(here), pa.float64())))], schema=_DOC)
+        with pa.BufferOutputStream() as sink:
+            with pa.ipc.new_stream(sink, _DOC) as w:
+                w.write_batch(texts)
+            yield _messages([(-1, TEXTS, seg, sink.getvalue().to_pybytes(), packed)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, got = None, None, ({}, {})
+        now, parts, got = None, None, {}
         for b in batches:
             for seg, kind, bucket, counts, *own in rows_of(b):
                 if seg != now:
                     if now is not None:
-                        yield from finish(now, parts, *got)
-                    now, parts, got = seg, None, ({}, {})
+                        yield from finish(now, parts, got)
+                    now, parts, got = seg, None, {}
                 if kind < 0:
                     parts = own
                 else:
-                    got[kind][bucket] = counts
+                    got.setdefault(kind, {})[bucket] = counts
         if now is not None:
-            yield from finish(now, parts, *got)
+            yield from finish(now, parts, got)
 
     return run
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, rest: int = 0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; texts whose id's CRC leaves `rest` train nothing."""
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The logarithms of the backoff weights of a bucket's contexts, to each segment that asks, in the order in which it asks."""
+    now, sums, asks = None, [], []
+
+    def close() -> pa.RecordBatch:
+        if not asks:
+            return _messages([])
+        keys, times, left, lower = _grouped(*(np.concatenate(z) for z in zip(*sums, strict=True)))
+        weight = np.log10(left / times / (1 - lower))
+        return _messages([(now, ASK, seg, None, pack(weight[np.searchsorted(keys, key)])) for seg, key in asks])
+
+    for batch in batches:
+        for bucket, kind, seg, _, b in rows_of(batch):
+            if bucket != now:
+                yield close()
+                now, sums, asks = bucket, [], []
+            step, *own = unpack(b, "<u8", "<u8", "<f8", "<f8") if kind == CONTEXT else unpack(b, "<u8")
+            key = np.cumsum(step, dtype=np.uint64)
+            if kind == CONTEXT:
+                sums.append((key, *own))
+            else:
+                asks.append((seg, key))
+    yield close()
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each segment with the weights of their backoff events added."""
+    now, texts, weights = None, None, []
+
+    def close() -> pa.RecordBatch:
+        table = pa.ipc.open_stream(texts[0]).read_all()
+        step, which, times = unpack(texts[1], "<u4", "<u4", "<u4")
+        score = table.column("score").to_numpy().copy()
+        if len(step):
+            score += np.bincount(np.cumsum(step), np.concatenate(weights)[which] * times, len(score))
+        return table.set_column(5, _DOC.field(5), pa.array(score)).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for _, kind, seg, a, b in rows_of(batch):
+            if seg != now:
+                if texts:
+                    yield close()
+                now, texts, weights = seg, None, []
+            if kind == TEXTS:
+                texts = (a, b)
+            else:
+                weights.append(unpack(b, "<f8")[0])
+    if texts:
+        yield close()
+
+
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, rest: int = 0, order: int = 2, segment: int = SEGMENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; texts whose id's CRC leaves `rest` train nothing. order: words of the longest n-grams, 2 or more."""
     scratch = Scratch(docs.sparkSession, "katz")
     texts = id_and_text(docs, id_col, text_col)
-    volume = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = int(min(MOST_BUCKETS, max(64, volume // BUCKET_BYTES)))
-    segments = scratch.keep(texts.transform(map_arrow, _segments(mod, rest), _SEGMENT_SQL), "segments")
-    sent = segments.select("seg", "ids", "held", "sizes", "words", "tokens").transform(map_arrow, _send(buckets), _MESSAGE_SQL)
-    tables = scratch.keep(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "seg").transform(map_arrow, _sum, _TOTAL_SQL), "tables")
+    buckets = Buckets(texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
+    segments = scratch.keep(texts.transform(map_arrow, _segments(mod, rest, segment), _SEGMENT_SQL), "segments")
+    held = ["ids", "held", "sizes", "words", "tokens"]
+    tables = []
+    for orders in ([1, 2], *([n] for n in range(3, order + 1))):  # a shuffle each, so that its files are gone before the next
+        sent = segments.select("seg", *held).transform(map_arrow, _send(buckets, orders, order), _MESSAGE_SQL)
+        tables.append(scratch.keep(buckets.deal(sent, "kind", "seg").transform(map_arrow, _sum, _TOTAL_SQL), "tables"))
+    every = reduce(DataFrame.unionAll, tables)
 
     n_docs, n = segments.agg(F.sum("train_docs"), F.sum("train_tokens")).first()
     n_docs, n = n_docs or 0, n or 0
-    hist = {k: [0] * (TOP + 2) for k in (WORD, PAIR)}
-    for row in tables.filter("histogram is not null").select("kind", F.posexplode("histogram").alias("r", "n")).groupBy("kind", "r").agg(F.sum("n").alias("n")).collect():
-        hist[row["kind"]][row["r"]] = row["n"]
-    d = discounts(hist[WORD])
-    low = sum(r * hist[WORD][r - 1] * (1 - d[r]) for r in range(1, TOP + 1))
-    rest_tokens = n - sum(r * hist[WORD][r - 1] for r in range(1, TOP + 1))
-    model = Model(n, n_docs, hist[WORD], hist[PAIR], (low + rest_tokens * (1 - d[TOP + 1])) / n if n else 1.0)
+    hist = [[0] * (TOP + 2) for _ in range(order)]
+    for row in every.filter("histogram is not null").select("kind", F.posexplode("histogram").alias("r", "n")).groupBy("kind", "r").agg(F.sum("n").alias("n")).collect():  # TOP + 2 rows for each order
+        hist[row["kind"] - 1][row["r"]] = row["n"]
+    d = discounts(hist[0])
+    low = sum(r * hist[0][r - 1] * (1 - d[r]) for r in range(1, TOP + 1))
+    rest_tokens = n - sum(r * hist[0][r - 1] for r in range(1, TOP + 1))
+    model = Model(n, n_docs, hist, (low + rest_tokens * (1 - d[TOP + 1])) / n if n else 1.0)
 
     null = lambda t: F.lit(None).cast(t)
-    held = ["ids", "held", "sizes", "words", "tokens"]
-    asks = tables.select("seg", "kind", "bucket", F.col("b").alias("counts"), *(null("binary").alias(c) for c in held))
+    asks = every.select("seg", "kind", "bucket", F.col("b").alias("counts"), *(null("binary").alias(c) for c in held))
     own = segments.select("seg", F.lit(-1).alias("kind"), F.lit(-1).alias("bucket"), null("binary").alias("counts"), *held)
-    scored = scratch.keep(own.union(asks).repartition("seg").sortWithinPartitions("seg", "kind", "bucket").transform(map_arrow, _score(buckets, model), _SCORED_SQL), "scored")
-    scratch.drop(segments, tables)
-
-    sums = scored.filter(F.col("kind") == CONTEXT).groupBy("word").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    weight = sums.select("word", F.log10((1 - F.col("x")) / (1 - F.col("y"))).alias("a"))
-    events = scored.filter(F.col("kind") == BACKOFF).select("seg", "doc", "word", F.col("x").alias("k"))
-    backoff = events.join(weight, "word").groupBy("seg", "doc").agg(F.sum(F.col("k") * F.col("a")).alias("more"))
-    out = scored.filter(F.col("kind") == DOC).join(backoff, ["seg", "doc"], "left")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("x").alias("base_score"), (F.col("y") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    scored = scratch.keep(own.union(asks).repartition("seg").sortWithinPartitions("seg", "kind", "bucket").transform(map_arrow, _score(model, buckets), _MESSAGE_SQL), "scored")
+    scratch.drop(segments, *tables)
+    weights = scratch.keep(buckets.deal(scored.filter(F.col("kind") != TEXTS), "kind", "seg").transform(map_arrow, _weigh, _MESSAGE_SQL), "weights")
+    told = scored.filter(F.col("kind") == TEXTS).union(weights).repartition("seg").sortWithinPartitions("seg", "kind", "bucket")
+    found = scratch.keep(told.transform(map_arrow, _finish, _DOC_SQL), "scores")
+    scratch.drop(scored, weights)
+    return found.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -54,7 +54,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_katz_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents"))
+    return katz.katz_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

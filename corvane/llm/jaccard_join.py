@@ -10,10 +10,11 @@ A document is its set of five-word shingles. Equal sets are one class, so links
    one with the fewest rarer tokens is the centre; each set is paired with the centre that it shares most prefix tokens with.
    A pair must pass the size and position bounds, then share a prefix token under two more orders too, and is then verified.
 3. Links make components. Whatever shares a prefix token but lies in different components is paired and verified in the
-   same way, so no link between components is missed, and pairs inside a component are never listed.
+   same way, so no link between components is missed, and pairs inside a component are never listed. Sets that meet in a token of
+   many are dealt by their prefix tokens under the second order before they are paired.
 
 Results for edge cases: a null or empty text has an empty set and is linked with nothing. A document of fewer than `size`
-words is one shingle. A null id is linked like any other; its component_id is the smallest id that is not null there, else
+words is one shingle. Texts of any length are read whole: a longer one makes a larger set. A null id is linked like any other; its component_id is the smallest id that is not null there, else
 null. Repeated rows give repeated result rows. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -30,18 +31,17 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import Rows, Scratch, hash_words, id_and_text, map_arrow, mix, rows_of, window_hashes
 from corvane.llm.components import components
-from corvane.llm.packed import planes, unplanes
+from corvane.llm.packed import Buckets, first_segment, next_segment, planes, unplanes
 
 #: A token of so many sets of a segment is sent as one entry with their number; which sets they are stays with the segment.
 HEAVY = 256
 MARK = 0xFFFFFFFF
-#: Tokens that a task gathers before it sends them, and UTF-8 bytes of text for each bucket.
+#: Tokens that a task gathers before it sends them.
 SEGMENT = 1_000_000  # below 2 ** IDX_BITS
-BUCKET_BYTES = 6_000_000
-MOST_BUCKETS = 65_536
 #: Bits of a set's number in its segment; a segment holds fewer sets than tokens.
 IDX_BITS = 22
-_LOW = np.uint64((1 << 48) - 1)
+#: Sets of different components that meet in a prefix token under the first order; where more do, they are dealt by their prefix tokens under the second, as no task should pair the square of a hot group.
+HOT = 2_048
 _ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -58,51 +58,50 @@ _SENT_SQL = "bucket int, seg long, kind int, doc_id long, n long, sig binary, id
 MEMBER, SIZES, TOKENS, OWN = 0, 1, 2, 3
 
 
-def _send(buckets: int, size: int, least: int, segment: int, heavy: int):
+def _send(buckets: Buckets, size: int, least: int, segment: int, heavy: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = TaskContext.get().partitionId() << 10
+        seg = first_segment(TaskContext.get().partitionId())
         out = Rows(_SENT, 5_000)
         known: dict[bytes, int] = {}
         sizes: list[int] = []
         sets: list[np.ndarray] = []
         where: list[int] = []
-        held = 0
+        held = told = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if sets:
                 token = np.concatenate(sets)
                 idx = np.repeat(np.array(where, np.uint32), [len(s) for s in sets])
-                key = (token >> np.uint64(48)) % np.uint64(buckets) << np.uint64(48) | token & _LOW
-                order = np.argsort(key, kind="stable")
-                key, idx = key[order], idx[order]
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                n = np.diff(np.append(start, len(key)))
+                order = np.argsort(token, kind="stable")
+                token, idx = token[order], idx[order]
+                start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                n = np.diff(np.append(start, len(token)))
                 if (n >= heavy).any():  # these sets come to the segment's own gathering, past the buckets
                     many = np.repeat(n >= heavy, n)
                     for lo in range(0, int(many.sum()), 500_000):
-                        out.add(seg % buckets, seg, OWN, None, None, None, None, planes(key[many][lo : lo + 500_000]), planes(idx[many][lo : lo + 500_000]))
-                    first = np.zeros(len(key), bool)
+                        out.add(buckets.any(seg), seg, OWN, None, None, None, None, planes(buckets.short(token[many][lo : lo + 500_000])), planes(idx[many][lo : lo + 500_000]))
+                    first = np.zeros(len(token), bool)
                     first[start] = True
                     keep = ~many | first
                     weight = np.where(many, np.repeat(n, n), 1).astype(np.uint32)[keep]
-                    key, idx = key[keep], np.where(many, MARK, idx)[keep].astype(np.uint32)
+                    token, idx = token[keep], np.where(many, MARK, idx)[keep].astype(np.uint32)
                 else:
-                    weight = np.ones(len(key), np.uint32)
-                bucket, token = key >> np.uint64(48), key & _LOW
-                edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    lo, hi = edges[k], edges[k + 1]
-                    out.add(k, seg, TOKENS, None, None, None, None, planes(np.diff(token[lo:hi], prepend=np.uint64(0))), planes(idx[lo:hi]) + planes(weight[lo:hi]))
+                    weight = np.ones(len(token), np.uint32)
+                which, edges = buckets.edges(token)
+                token = buckets.short(token)
+                for k, lo, hi in zip(which.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    out.add(k, seg, TOKENS, None, None, None, None, planes(np.diff(token[lo:hi], prepend=buckets.base(k))), planes(idx[lo:hi]) + planes(weight[lo:hi]))
                     if len(out) >= 500:
                         yield out.take()
-                out.add(seg % buckets, seg, SIZES, None, None, None, None, np.array(sizes, np.uint32).tobytes(), None)
+                out.add(buckets.any(seg), seg, SIZES, None, None, None, None, np.array(sizes, np.uint32).tobytes(), None)
             yield out.take()
 
         for batch in batches:
-            for i, text in rows_of(batch):
+            for i, text, *texthash in rows_of(batch):
                 s = shingles(text, size)
+                told += 1
                 if not len(s):
-                    out.add(0 if i is None else i % buckets, seg, MEMBER, i, 0, None, None, None, None)
+                    out.add(buckets.any(seg + told), seg, MEMBER, i, 0, None, None, *(texthash or [None]), None)
                     continue
                 sig = xxhash.xxh3_128_digest(s.tobytes())
                 if sig not in known:
@@ -112,10 +111,10 @@ def _send(buckets: int, size: int, least: int, segment: int, heavy: int):
                     if len(s) >= least:
                         sets.append(s)
                         where.append(known[sig])
-                out.add(sig[0] % buckets, seg, MEMBER, i, len(s), sig, known[sig], None, None)
+                out.add(buckets.any(seg + told), seg, MEMBER, i, len(s), sig, known[sig], *(texthash or [None]), None)
                 if held >= segment:
                     yield from flush()
-                    seg, held = seg + 1, 0
+                    seg, held = next_segment(seg), 0
                     known, sizes, sets, where = {}, [], [], []
             if out.full:
                 yield out.take()
@@ -124,51 +123,55 @@ def _send(buckets: int, size: int, least: int, segment: int, heavy: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(buckets: Buckets):
     """For each bucket: the tokens of two sets or more, with their number of sets, back to each segment."""
-    out = Rows(_SENT, 5_000)
-    now, parts = None, []
-
-    def close() -> None:
-        token = np.concatenate([p[1] for p in parts])
-        idx = np.concatenate([p[2] for p in parts])
-        weight = np.concatenate([p[3] for p in parts])
-        seg = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p[1]) for p in parts])
-        order = np.argsort(token, kind="stable")
-        token, idx, seg = token[order], idx[order], seg[order]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        df = np.repeat(np.add.reduceat(weight[order].astype(np.int64), start), np.diff(np.append(start, len(token)))).astype(np.uint32)
-        shared = df > 1
-        token, idx, seg, df = token[shared] | np.uint64(now) << np.uint64(48), idx[shared], seg[shared], df[shared]
-        order = np.argsort(seg, kind="stable")
-        edges = np.searchsorted(seg[order], np.arange(len(parts) + 1))
-        for k, p in enumerate(parts):
-            own = order[edges[k] : edges[k + 1]]
-            if len(own):
-                out.add(now, p[0], TOKENS, None, None, None, None, planes(token[own]), planes(idx[own]) + planes(df[own]))
-
-    for batch in batches:
-        for row in rows_of(batch):
-            if row[2] != TOKENS:
-                out.add(*row)
-            else:
-                if row[0] != now and parts:
-                    close()
-                    parts = []
-                now = row[0]
-                half = len(row[8]) // 2
-                parts.append((row[1], np.cumsum(unplanes(row[7], "<u8"), dtype=np.uint64), unplanes(row[8][:half], "<u4"), unplanes(row[8][half:], "<u4")))
-        if out.full or sum(map(len, filter(None, out.columns[7]))) > 30_000_000:
-            yield out.take()
-    if parts:
-        close()
-    yield out.take()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(_SENT, 5_000)
+        now, parts = None, []
+
+        def close() -> None:
+            token = np.concatenate([p[1] for p in parts])
+            idx = np.concatenate([p[2] for p in parts])
+            weight = np.concatenate([p[3] for p in parts])
+            seg = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p[1]) for p in parts])
+            order = np.argsort(token, kind="stable")
+            token, idx, seg = token[order], idx[order], seg[order]
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            df = np.repeat(np.add.reduceat(weight[order].astype(np.int64), start), np.diff(np.append(start, len(token))))
+            shared = df > 1
+            token, idx, seg, df = token[shared], idx[shared], seg[shared], np.minimum(df[shared], 0xFFFFFFFF).astype(np.uint32)  # only an order depends on it
+            order = np.argsort(seg, kind="stable")
+            edges = np.searchsorted(seg[order], np.arange(len(parts) + 1))
+            for k, p in enumerate(parts):
+                own = order[edges[k] : edges[k + 1]]
+                if len(own):
+                    out.add(now, p[0], TOKENS, None, None, None, None, planes(token[own]), planes(idx[own]) + planes(df[own]))
+
+        for batch in batches:
+            for row in rows_of(batch):
+                if row[2] != TOKENS:
+                    out.add(*row)
+                else:
+                    if row[0] != now and parts:
+                        close()
+                        parts = []
+                    now = row[0]
+                    half = len(row[8]) // 2
+                    parts.append((row[1], np.cumsum(unplanes(row[7], "<u8"), dtype=np.uint64), unplanes(row[8][:half], "<u4"), unplanes(row[8][half:], "<u4")))
+            if out.full or sum(map(len, filter(None, out.columns[7]))) > 30_000_000:
+                yield out.take()
+        if parts:
+            close()
+        yield out.take()
+
+    return run
 
 
 _SET = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("shared", pa.binary())])
 
 
-def _gather(percent: int):
+def _gather(buckets: Buckets, percent: int):
     """For each segment: the sets that stand for their class and may have a link, with their shared tokens by frequency, then hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +204,7 @@ def _gather(percent: int):
                 out.add(now << IDX_BITS | k, int(n[k]), token[edges[k] : edges[k + 1]].tobytes())
 
         for batch in batches:
-            for seg, kind, idx, a, b in rows_of(batch):
+            for seg, kind, idx, a, b, bucket in rows_of(batch):
                 if seg != now:
                     close()
                     now, parts, homes, sizes, many = seg, [], [], None, []
@@ -214,7 +217,7 @@ def _gather(percent: int):
                 elif kind == OWN:
                     many.append((unplanes(a, "<u8"), unplanes(b, "<u4")))
                 else:
-                    token, half = unplanes(a, "<u8"), len(b) // 2
+                    token, half = unplanes(a, "<u8") + buckets.base(bucket), len(b) // 2
                     parts.append((token, unplanes(b[:half], "<u4"), unplanes(b[half:], "<u4")))
         close()
         yield out.take()
@@ -285,21 +288,33 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "n", "m", "x", "y").transform(map_arrow, _verify(percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, segment: int = SEGMENT, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    texts = id_and_text(docs, id_col, text_col)
-    volume = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = int(min(MOST_BUCKETS, max(64, volume // BUCKET_BYTES)))
+def _second_prefix(percent: int):
+    """token, second, c, n, pos, label for each prefix token under the second order."""
+    names = ["token", "second", "c", "n", "pos", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = [_other_prefix(np.frombuffer(x, np.uint64), n, percent, _ORDERS[0]) for n, x in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            of = pa.array(np.repeat(np.arange(batch.num_rows), [len(p) for p in part]))
+            second = pa.array(np.concatenate([*part, np.empty(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), second, *(batch.column(k).take(of) for k in range(1, 5))], names=names)
+
+    return run
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, size: int, percent: int, segment: int, heavy: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Of docs (_id, _text and more columns): doc_id, n, sig and more of each, then sig and label of each class of equal sets; and the tables that both read."""
+    volume = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = Buckets(volume)
     least = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))  # smaller sets only link with equal ones: one of n links at best with one of n + 1 that holds it
-    sent = texts.transform(map_arrow, _send(buckets, size, least, segment, max(2, heavy)), _SENT_SQL)
-    counted = scratch.keep(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").transform(map_arrow, _count, _SENT_SQL), "counted")
-    members = counted.filter(F.col("kind") == MEMBER).select("doc_id", "n", "sig", (F.shiftleft("seg", IDX_BITS).bitwiseOR(F.col("idx"))).alias("at"))
+    sent = docs.transform(map_arrow, _send(buckets, size, least, segment, max(2, heavy)), _SENT_SQL)
+    counted = scratch.keep(buckets.deal(sent).transform(map_arrow, _count(buckets), _SENT_SQL), "counted")
+    members = counted.filter(F.col("kind") == MEMBER).select("doc_id", "n", "sig", (F.shiftleft("seg", IDX_BITS).bitwiseOR(F.col("idx"))).alias("at"), F.col("a").alias("h"))
     classes = scratch.keep(members.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("at").alias("c")), "classes")
-    homes = classes.select(F.shiftright("c", IDX_BITS).alias("seg"), F.lit(MEMBER).alias("kind"), F.col("c").bitwiseAND(F.lit((1 << IDX_BITS) - 1)).alias("idx"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
-    rest = counted.filter(F.col("kind") != MEMBER).select("seg", "kind", "idx", "a", "b")
-    sets = scratch.keep(rest.union(homes).repartition("seg").sortWithinPartitions("seg").transform(map_arrow, _gather(percent), "c long, n long, shared binary"), "sets", "none")
+    null = lambda t: F.lit(None).cast(t)
+    homes = classes.select(F.shiftright("c", IDX_BITS).alias("seg"), F.lit(MEMBER).alias("kind"), F.col("c").bitwiseAND(F.lit((1 << IDX_BITS) - 1)).alias("idx"), null("binary").alias("a"), null("binary").alias("b"), null("int").alias("bucket"))
+    rest = counted.filter(F.col("kind") != MEMBER).select("seg", "kind", "idx", "a", "b", "bucket")
+    sets = scratch.keep(rest.union(homes).repartition("seg").sortWithinPartitions("seg").transform(map_arrow, _gather(buckets, percent), "c long, n long, shared binary"), "sets", "none")
 
     index = scratch.keep(sets.transform(map_arrow, _index(percent), "token long, c long, n long, pos int"), "index")
     centre = index.groupBy("token").agg(F.min(F.struct("pos", "c", "n")).alias("p"), F.count("*").alias("k")).filter("k > 1").select("token", "p")
@@ -309,28 +324,57 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = components(links, scratch)
 
     own = index.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    split = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    mixed = scratch.keep(own.join(split, "token"), "mixed")
-    other = mixed.select("token", *(F.col(x).alias(f"{x}_") for x in ("c", "n", "pos", "label")))
-    cross = mixed.join(other, (mixed["token"] == other["token"]) & (F.col("c") < F.col("c_")) & (F.col("label") != F.col("label_")) & _may_link(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), percent))
+    split = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).filter("lo < hi").select("token", "k")
+    mixed = scratch.keep(own.join(split, "token").select("token", "c", "n", "pos", "label", "k"), "mixed")
+    few = mixed.filter(F.col("k") <= HOT).select("token", F.lit(0).cast("long").alias("second"), "c", "n", "pos", "label")
+    many = mixed.filter(F.col("k") > HOT).join(sets.select("c", "shared"), "c").select("token", "c", "n", "pos", "label", "shared").transform(map_arrow, _second_prefix(percent), "token long, second long, c long, n long, pos int, label long")
+    met = scratch.keep(few.unionAll(many), "met")
+    other = met.select("token", "second", *(F.col(x).alias(f"{x}_") for x in ("c", "n", "pos", "label")))
+    cross = met.join(other, (met["token"] == other["token"]) & (met["second"] == other["second"]) & (F.col("c") < F.col("c_")) & (F.col("label") != F.col("label_")) & _may_link(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), percent))
     more = scratch.keep(_links(cross.select(F.col("c").alias("a"), F.col("c_").alias("b")).distinct(), sets, percent), "links")
-    scratch.drop(index, mixed, sets)
+    scratch.drop(index, mixed, met, sets)
     label = components(links.union(more), scratch)
     scratch.drop(links, more)
+    named = classes.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")).select("sig", "least", "label")
+    return members, named, [counted, classes, label]
+
 
-    named = classes.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, segment: int = SEGMENT, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    members, named, spent = _grouped(id_and_text(docs, id_col, text_col), scratch, size, percent, segment, heavy)
     group = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = named.join(group, "label").select("sig", "component_id")
     linked = members.filter("sig is not null").join(by_class, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = members.filter("sig is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     found = scratch.keep(linked.union(alone), "found")
-    scratch.drop(counted, classes, label)
+    scratch.drop(*spent)
     return found
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, that with the smallest id, and every document without an id."""
-    kept = jaccard_components(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, size, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__corvane_kept")).distinct()
-    none = docs.filter(F.col(id_col).isNull())
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, by_row: bool = False) -> DataFrame:
+    """docs without near copies, with all their columns; texts of any length are read whole, an empty table gives an empty one.
+
+    One document of each component stays, that with the smallest id, and every document without words. Where by_row is not set, rows of
+    one id are one document, so all of them stay or go, and every row without an id stays. With by_row a document is a row: rows without
+    an id are compared too, and stay only where no row of their component has one; of rows that share id and component one stays, that with
+    the smallest MD5 of its text, and of rows that share id and text any one.
+    """
     # Merged at every size, so that small runs show the shuffle of the texts that large ones need.
-    return docs.join(kept.hint("merge"), F.col(id_col).cast("long") == F.col("__corvane_kept"), "left_semi").unionAll(none)
+    if not by_row:
+        kept = jaccard_components(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, size, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__corvane_kept")).distinct()
+        none = docs.filter(F.col(id_col).isNull())
+        return docs.join(kept.hint("merge"), F.col(id_col).cast("long") == F.col("__corvane_kept"), "left_semi").unionAll(none)
+    scratch = Scratch(docs.sparkSession, "copies")
+    texthash = F.unhex(F.md5(F.col(text_col).cast("binary")))
+    members, named, spent = _grouped(id_and_text(docs, id_col, text_col).withColumn("_h", F.unhex(F.md5("_text"))), scratch, size, percent, SEGMENT, HEAVY)
+    place = members.filter("sig is not null").join(named, "sig").groupBy("label", "doc_id", "h").agg(F.count("*").alias("times"))
+    best = place.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "times")).alias("b"))
+    kept = scratch.keep(best.select(F.col("b.doc_id").alias("__corvane_i"), F.col("b.h").alias("__corvane_h"), F.col("b.times").alias("__corvane_times")).unionAll(members.filter("sig is null").select("doc_id", "h", F.lit(1)).distinct()), "kept")
+    scratch.drop(*spent)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.withColumn("__corvane_kh", texthash).join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__corvane_i")) & F.col("__corvane_kh").eqNullSafe(F.col("__corvane_h")))
+    once = joined.filter("__corvane_times = 1").select(names)
+    if kept.filter("__corvane_times > 1").limit(1).count() == 0:
+        return once
+    return once.unionAll(joined.filter("__corvane_times > 1").dropDuplicates(["__corvane_i", "__corvane_h"]).select(names))

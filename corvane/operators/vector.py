@@ -143,6 +143,15 @@ class Best:
             self._take(np.lexsort((self.rows[1], -self.rows[2], self.rows[3], self.rows[0])), (0, 3), 1)
         self._take(np.lexsort((self.rows[3 if self.by_tag else 1], -self.rows[2], self.rows[0])), (0,), self.k)
 
+    def add_all(self, query: np.ndarray, id_: np.ndarray, similarity: np.ndarray) -> None:
+        """A matrix of similarities, a row for each query and a column for each id, without tags."""
+        q, c = np.nonzero(similarity >= _cut(similarity, self.k))
+        self.add(query[q], id_[c], similarity[q, c], np.zeros(len(q), "U1"))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.rows is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(self.rows, (pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)], names=["query_id", "id", "similarity", "tag"])
+
     def _take(self, order: np.ndarray, keys: tuple[int, ...], n: int) -> None:
         """The first n rows of each key in the order."""
         rows = tuple(x[order] for x in self.rows)
@@ -184,8 +193,7 @@ def nearest(sent: Broadcast, k: int, by_tag: bool) -> Callable[[Iterator[pa.Reco
                     q, c = np.nonzero(s >= _cut(s, k))
                 best.add(keys[part][q], ids[c], s[q, c], tags[c])
         for best in found:
-            if best.rows is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(best.rows, (pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)], names=["query_id", "id", "similarity", "tag"])
+            yield from best.batches()
 
     return run
 

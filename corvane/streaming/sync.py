@@ -1,7 +1,13 @@
-"""Sync as a stream: each trigger compares a snapshot of the files with the state table and hands on records and deletions."""
+"""Sync as a stream: each trigger compares a snapshot of the files with the state table and hands on records, moves and deletions.
+
+What a trigger sees is written before anything is compared, so sinks and state see the same files even where executors are lost.
+State has a folder per version, named by the stream and batch that wrote it: a batch that is run again starts from the version before its
+own, and a stream with a new checkpoint, whose batches count from 0 again, goes on from the newest.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,50 +17,67 @@ from pyspark.sql.streaming import StreamingQuery
 from corvane.operators import sync
 
 Sink = Callable[[DataFrame, int], None]
+STATE = "path string, content_hash string, node_id string"
+#: Versions of the state that are left, the newest among them.
+KEPT = 3
 
 
-def run_batch(snapshot: DataFrame, state_path: str, batch: int, records: list[Sink], deletions: list[Sink], deleted_at: str) -> None:
-    """One sync: changed files go to the record sinks, deleted ones to the deletion sinks, then the state is replaced.
-
-    State has a folder per batch and the newest complete one counts, so a batch that is run again starts from the same state.
-    """
+def run_batch(snapshot: DataFrame, state_path: str, batch: int, records: list[Sink], deletions: list[Sink], deleted_at: str, moves: list[Sink] | None = None, stream: str = "0") -> None:
+    """One sync: changed files go to the record sinks, files that moved under their id to the sinks of moves, deleted ones to the deletion sinks; then the state is replaced."""
     spark = snapshot.sparkSession
-    state = read_state(spark, state_path, before=batch)
-    now = snapshot.persist()
-    try:
-        changed = sync.changed(state, now).join(now, "path", "left")
-        for sink in records:
-            sink(changed, batch)
-        gone = sync.tombstones(sync.pruned(state, now), deleted_at, "offline_prune")
-        for sink in deletions:
-            sink(gone, batch)
-        sync.next_state(state, now).write.mode("overwrite").parquet(f"{state_path}/batch={batch:010d}")
-    finally:
-        now.unpersist()
-
-
-def read_state(spark: SparkSession, state_path: str, before: int) -> DataFrame:
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = root.getFileSystem(conf)
-    done = []
-    if fs.exists(root):
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("batch=") and int(name[6:]) < before and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                done.append(name)
-    if not done:
-        return spark.createDataFrame([], "path string, content_hash string, node_id string")
-    return spark.read.parquet(f"{state_path}/{max(done)}")
-
-
-def start(spark: SparkSession, snapshot: Callable[[], DataFrame], state_path: str, checkpoint: str, records: list[Sink], deletions: list[Sink], seconds: int = 1) -> StreamingQuery:
+    done = versions(spark, state_path)
+    if done and done[-1].endswith(f"-{stream}-{batch}"):
+        done.pop()  # this batch was run before
+    number = int(done[-1].split("-")[1]) + 1 if done else 0
+    state = spark.read.parquet(f"{state_path}/{done[-1]}") if done else spark.createDataFrame([], STATE)
+    seen = f"{state_path}/snapshot-{number:010d}"
+    snapshot.write.mode("overwrite").parquet(seen)
+    now = spark.read.schema(snapshot.schema).parquet(seen)
+    found = sync.changed(state, now)
+    changed = found.join(now, "path", "left")
+    for sink in records:
+        sink(changed, batch)
+    gone = sync.pruned(state, now)
+    moved = sync.resolve_renames(gone, found.filter("status = 'created'").select("path", F.col("new_id").alias("node_id"))).filter("action = 'renamed_same_id'")
+    for sink in moves or []:
+        sink(moved, batch)
+    left = gone.join(moved.select(F.col("src").alias("path")), "path", "left_anti")
+    dead = sync.tombstones(left, deleted_at, "offline_prune")
+    for sink in deletions:
+        sink(dead, batch)
+    sync.next_state(state, now).write.mode("overwrite").parquet(f"{state_path}/version-{number:010d}-{stream}-{batch}")
+    _forget(spark, state_path, [*done[: -KEPT + 1]], number)
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, state_path: str) -> list[str]:
+    """The complete versions of a state, the oldest first."""
+    jvm, root, fs = _folder(spark, state_path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n for n in names if n.startswith("version-") and fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS")))
+
+
+def _forget(spark: SparkSession, state_path: str, old: list[str], number: int) -> None:
+    """Removes versions that no batch will start from, and snapshots before this one."""
+    jvm, root, fs = _folder(spark, state_path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    for name in [*old, *(n for n in names if n.startswith("snapshot-") and int(n.split("-")[1]) < number)]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
+
+
+def start(spark: SparkSession, snapshot: Callable[[], DataFrame], state_path: str, checkpoint: str, records: list[Sink], deletions: list[Sink], seconds: int = 1, moves: list[Sink] | None = None) -> StreamingQuery:
     """A query that syncs every few seconds; modified and deleted files are found by comparing snapshots, which file sources do not do."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def each(_: DataFrame, batch: int) -> None:
         at = spark.sql("select date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ssXXX\")").first()[0]
-        run_batch(snapshot(), state_path, batch, records, deletions, at)
+        run_batch(snapshot(), state_path, batch, records, deletions, at, moves, stream)
 
     return ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 

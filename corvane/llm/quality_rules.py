@@ -3,15 +3,19 @@ removed, and a document that loses too much of its text is rejected.
 
 Rules of a line that has a word (in words, symbols are `[#*$%&|<>]`, letters are A-Z and a-z):
 
-* punctuation: over 30 symbols to 100 words, or over 20 words to 100 that hold `!!` or `??`
+* punctuation: over 30 symbols to 100 words, or over 20 words to 100 that hold `!!` or `??`, or eight words at most and no
+  final mark, one of FINAL, at the end
 * shouting: three words or more, and more capital than small letters
 * navigation: three or more of ` | `, ` > `, ` » ` separators, or eight words at most that begin with a menu word
 * boilerplate: holds one of BOILERPLATE, or equals an earlier line of the document (of three words or more)
 
-A line without words is kept and counts as nothing.
+Menu words and boilerplate are those of English, French, German and Spanish pages; a corpus of other languages brings its own by
+Limits. Capitals count as small letters, those of ÀÉ and the like as well. A line without words is kept and counts as nothing.
 
-Results for edge cases: a null or empty text has no words, so its base fails and it is not kept. A null id stays null.
-Repeated rows give repeated result rows. An empty table gives an empty result. Other columns are not read.
+Results for edge cases: a null or empty text has no words, so its base fails and it is not kept. A text of any length is judged
+whole, and a long line is one line. A null id stays null. Repeated rows give repeated result rows. An empty table gives an empty
+result. Other columns are not read, whatever their names; clean_documents() passes them on, keeps or drops repeated rows alike,
+and drops rows whose text is null or empty.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +34,27 @@ from pyspark.sql import types as T
 from corvane.llm.common import Rows, hash_words, id_and_text, map_arrow, rows_of, small_batches, trim, window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = ("all rights reserved", "terms of use", "privacy policy", "cookie policy", "use cookies", "lorem ipsum", "enable javascript", "javascript is disabled")
-MENU = ("home", "login", "log in", "sign in", "sign up", "register", "search", "menu", "skip to", "click here", "read more", "share this", "next page", "previous page", "back to top")
+# Phrases of boilerplate, and words that begin a menu line, of English, French, German and Spanish pages.
+BOILERPLATE = (
+    *("all rights reserved", "terms of use", "privacy policy", "cookie policy", "use cookies", "lorem ipsum", "enable javascript", "javascript is disabled"),
+    *("tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "activer javascript"),
+    *("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "javascript aktivieren"),
+    *("todos los derechos reservados", "aviso legal", "política de privacidad", "términos de uso", "condiciones de uso", "utiliza cookies", "activar javascript"),
+)
+MENU = (
+    *("home", "login", "log in", "sign in", "sign up", "register", "search", "menu", "skip to", "click here", "read more", "share this", "next page", "previous page", "back to top"),
+    *("accueil", "connexion", "se connecter", "plan du site", "lire la suite", "cliquez ici", "haut de page", "page suivante", "page précédente"),
+    *("startseite", "anmelden", "impressum", "datenschutz", "menü", "weiterlesen", "mehr lesen", "hier klicken", "nach oben", "nächste seite", "vorherige seite", "zum inhalt"),
+    *("inicio", "iniciar sesión", "leer más", "haga clic aquí", "volver arriba", "página siguiente", "página anterior", "ir al contenido"),
+)
+FINAL = (".", "!", "?", "…", ":", ";", '"', "'", "»", "”", "’", ")", "]", "}", "。", "！", "？")
 SEPARATORS = (b" | ", b" > ", " » ".encode())
 _CAPS = re.compile(rb"[A-Z]")
 _SMALL = re.compile(rb"[a-z]")
 _SHOUT = re.compile(rb"!!|\?\?")
-_BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
-_MENU = re.compile(("(?:" + "|".join(map(re.escape, MENU)) + r")(?![a-z])").encode())
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]".encode())
+_FINAL = tuple(x.encode() for x in FINAL)
+_SPACES = b" \t\n\v\f\r"
 
 
 @dataclass(frozen=True)
@@ -47,6 +64,14 @@ class Limits:
     max_repeat: int = 20
     #: Per cent of the words that cleaning may remove.
     max_lost: int = 40
+    boilerplate: tuple[str, ...] = BOILERPLATE
+    menu: tuple[str, ...] = MENU
+
+    @cached_property
+    def patterns(self) -> tuple[re.Pattern, re.Pattern]:
+        """Of boilerplate anywhere, and of a menu word at the start that no letter follows; for lines with small letters a-z."""
+        any_of = lambda words: "|".join("".join(f"(?:{c}|{c.upper()})" if c > "\x7f" else re.escape(c) for c in w) for w in words) or "(?!)"
+        return re.compile(any_of(self.boilerplate).encode()), re.compile(f"(?:{any_of(self.menu)})(?![a-z\x00])".encode().replace(b"\x00", b"\x80-\xff"))
 
 
 def repeat_words(words: list[bytes], n: int = 5) -> int:
@@ -68,15 +93,18 @@ def repeat_words(words: list[bytes], n: int = 5) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def line_fails(line: bytes, n_words: int, seen: bool) -> bool:
+def line_fails(line: bytes, n_words: int, seen: bool, limits: Limits) -> bool:
     if len(_SYMBOL.findall(line)) * 100 > 30 * n_words or (b"!!" in line or b"??" in line) and 100 * sum(1 for w in line.split() if _SHOUT.search(w)) > 20 * n_words:
         return True
+    if n_words <= 8 and not line.rstrip(_SPACES).endswith(_FINAL):
+        return True
     if n_words >= 3 and (seen or len(_CAPS.findall(line)) > len(_SMALL.findall(line))):
         return True
     low = line.lower()
-    if sum(low.count(s) for s in SEPARATORS) >= 3 or n_words <= 8 and _MENU.match(low.lstrip()):
+    boilerplate, menu = limits.patterns
+    if sum(low.count(s) for s in SEPARATORS) >= 3 or n_words <= 8 and menu.match(low.lstrip(_SPACES)):
         return True
-    return bool(_BOILER.search(low))
+    return bool(boilerplate.search(low))
 
 
 def judge(text: bytes | None, limits: Limits) -> tuple:
@@ -94,7 +122,7 @@ def judge(text: bytes | None, limits: Limits) -> tuple:
         old = line in seen
         dup += old
         seen.add(line)
-        if line_fails(line, k, old):
+        if line_fails(line, k, old, limits):
             lost += k
         else:
             left.append(line)
@@ -160,8 +188,9 @@ bad AS (SELECT doc_id, k, seen,
     OR 100 * len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '!!|\?\?'))) > 20 * k
     OR (k >= 3 AND (seen OR len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]'))))
     OR len(regexp_extract_all(low, ' \| ')) + len(regexp_extract_all(low, ' > ')) + len(regexp_extract_all(low, ' » ')) >= 3
-    OR (k <= 8 AND regexp_matches(low, '^[\x20\x09-\x0D]*(?:home|login|log in|sign in|sign up|register|search|menu|skip to|click here|read more|share this|next page|previous page|back to top)(?:[^a-z]|$)'))
-    OR regexp_matches(low, 'all rights reserved|terms of use|privacy policy|cookie policy|use cookies|lorem ipsum|enable javascript|javascript is disabled') AS fails
+    OR (k <= 8 AND NOT regexp_matches(line, '[.!?…:;"''»”’)\]}。！？][\x20\x09-\x0D]*$'))
+    OR (k <= 8 AND regexp_matches(low, '^[\x20\x09-\x0D]*(?:home|login|log in|sign in|sign up|register|search|menu|skip to|click here|read more|share this|next page|previous page|back to top|accueil|connexion|se connecter|plan du site|lire la suite|cliquez ici|haut de page|page suivante|page précédente|startseite|anmelden|impressum|datenschutz|menü|weiterlesen|mehr lesen|hier klicken|nach oben|nächste seite|vorherige seite|zum inhalt|inicio|iniciar sesión|leer más|haga clic aquí|volver arriba|página siguiente|página anterior|ir al contenido)(?:[^a-z\x{80}-\x{10FFFF}]|$)'))
+    OR regexp_matches(low, 'all rights reserved|terms of use|privacy policy|cookie policy|use cookies|lorem ipsum|enable javascript|javascript is disabled|tous droits réservés|mentions légales|politique de confidentialité|conditions d''utilisation|utilise des cookies|activer javascript|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|verwendet cookies|javascript aktivieren|todos los derechos reservados|aviso legal|política de privacidad|términos de uso|condiciones de uso|utiliza cookies|activar javascript') AS fails
   FROM ln2),
 l AS (SELECT doc_id, sum(CASE WHEN seen THEN 1 ELSE 0 END) AS dup, sum(CASE WHEN fails THEN k ELSE 0 END) AS lost FROM bad GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,

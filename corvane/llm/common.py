@@ -13,25 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.shared import checkpoint_dir
+
 #: Rows of output that a Python task gathers before it hands them on.
 FLUSH_ROWS = 20_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder under the warehouse only where none is set."""
-    context = spark.sparkContext
-    found = context._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_corvane_checkpoints"
-    context.setCheckpointDir(path)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def _filesystem(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
@@ -46,7 +35,11 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage. drop() removes those no longer read; what a returned frame still reads goes when the driver ends."""
+    """Tables written to the shared folder to cut lineage. drop() removes those no longer read; what a returned frame still reads goes when the driver ends.
+
+    A table is all there or not at all, and is written again from what it was made of if a task is lost on the way. While one is written,
+    the session lets go of shuffles once they are read, of other threads' queries too: these would compute them again, with the same rows.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -91,6 +84,7 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets them for the session, as frames run after they are returned; a session that has settings of its own keeps them."""
     for key, default, own in (("maxRecordsPerBatch", ("10000",), BATCH_ROWS), ("maxBytesPerBatch", ("67108864b", "64MB", "67108864"), BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         if spark.conf.get(key) in default:

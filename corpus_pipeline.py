@@ -1,7 +1,13 @@
 """A corpus pipeline: quality rules, line dedup, one document of each group of near copies, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; run() writes each stage's frame to the shared folder and reads
-it back as the next one's docs. All stages but the last return the columns of documents.
+it back as the next one's docs. All stages but the last return the columns of documents, and of others that docs may have, whatever
+their names.
+
+Results for edge cases, by stage. Null and empty texts: rejected by quality rules; kept by the later stages, had they been kept, and
+packed as their end token alone. Very long texts are read whole by all. Null ids: kept as null; a row without an id gives way to its
+near copies with one, and counts as smaller than all ids where the first copy of a line is sought. Repeated rows: line dedup folds them,
+near copies leave one. Empty tables give empty results. Ties: the smallest id, then the smallest hash of the text, stays.
 """
 
 from __future__ import annotations

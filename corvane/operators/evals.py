@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.shared import settled
@@ -22,6 +25,32 @@ def ranked_scores(expected: DataFrame, ranked: DataFrame, k: int = 5) -> DataFra
     return want.join(got, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("expected"), 6).alias("precision"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
+def union_recall(expected: DataFrame, hits: list[DataFrame], k: int = 3, fetch: int = 10) -> DataFrame:
+    """query_id, recall: the share of the expected items among the first k of the union of several stores' hits.
+
+    hits: query_id, item, similarity, rank of each store, of which the first `fetch` count; an item that several stores have counts once, by its best similarity.
+    """
+    every = reduce(DataFrame.unionByName, (h.filter(F.col("rank") <= fetch).select("query_id", "item", "similarity") for h in hits))
+    best = every.groupBy("query_id", "item").agg(F.max("similarity").alias("similarity"))
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item"))).filter(F.col("rank") <= k)
+    got = first.join(expected, ["query_id", "item"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
+    want = expected.groupBy("query_id").agg(F.countDistinct("item").alias("expected"))
+    return want.join(got, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("expected"), 6).alias("recall"))
+
+
+def calibration(spark: SparkSession, run: int, scenario: str, augmentations: dict[str, str], raters: dict[str, Callable[[str, str], dict[str, int]]], dimensions: tuple[str, ...]) -> DataFrame:
+    """Ratings of one run: run, scenario, augmentation, rater, dimension, score, rationale. A rater gives a score for each dimension of an augmentation's body; one that fails gives none and says why."""
+    rows: list[tuple] = []
+    for name, body in augmentations.items():
+        for rater, rate in raters.items():
+            try:
+                scores, why = rate(scenario, body), None
+            except Exception as e:  # other raters go on
+                scores, why = {}, f"error: {e}"
+            rows += [(run, scenario, name, rater, d, scores.get(d), why) for d in dimensions]
+    return spark.createDataFrame(rows, "run int, scenario string, augmentation string, rater string, dimension string, score int, rationale string")
+
+
 def grade(precision: Column, mrr: Column) -> Column:
     out = None
     for name, p, m in GRADES:

@@ -11,6 +11,7 @@ from corvane.functions import text as tx
 from corvane.functions.prior import Prior
 from corvane.functions.vectors import hash_embedding
 from corvane.operators import ann, audit, chunking, evals, graph, memory, notes, sessions, sync, vector
+from corvane.plans import tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -685,3 +686,59 @@ def view_promoted_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH c AS (SELECT text, list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '\\S')) AS l FROM conversations) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN len(l) = 0 THEN 'unknown' WHEN regexp_matches(lower(text), 'failed|fail[ !\\t\\n]|expected:|got:|assertion|traceback|error:|panicked|invalidsignature|reason:|got verdict|expected verdict| > |::') THEN 'real-test-failure' WHEN length(trim(l[1])) < 80 AND len(l) <= 2 THEN 'commit-subject' ELSE 'unknown' END AS kind FROM c) GROUP BY kind")
 def fixture_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(audit.failure_kind("text").alias("kind")).agg(F.count("*").alias("n"))
+
+
+_CODES = "WITH m AS (SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 7.0 AS scale, embedding FROM embeddings), e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / scale)) AS embedding FROM m), q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+@query(f"{_CODES}, s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS similarity FROM e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
+def vector_quantized_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest by codes of 4 bits."""
+    e = table(spark, sf_dir, "embeddings")
+    return ann.search_codes(ann.build_codes(e), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 8)
+
+
+@query(f"WITH f AS (SELECT *, 'src/m' || vec_id % 50 || '.py' AS file FROM embeddings), s AS (SELECT q.vec_id AS id, CAST(q.label AS VARCHAR) AS category, e.file, max({_COS}) AS similarity FROM f e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, file) AS rank FROM s), h AS (SELECT id, category, count(*) FILTER (rank <= 5 AND file IN ('src/m' || id % 50 || '.py', 'src/m' || (id + 1) % 50 || '.py')) / 2 AS p, coalesce(1 / min(CASE WHEN rank <= 5 AND file IN ('src/m' || id % 50 || '.py', 'src/m' || (id + 1) % 50 || '.py') THEN rank END), 0) AS m FROM r GROUP BY id, category), g AS (SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, count(*) AS n, avg(round(p, 6)) AS p, avg(round(m, 6)) AS m FROM h GROUP BY ROLLUP (category)) SELECT category, n, round(p, 6) AS mean_precision, round(m, 6) AS mean_mrr, CASE WHEN p >= 0.99 AND m >= 0.97 THEN 'A' WHEN p >= 0.9 AND m >= 0.85 THEN 'B' WHEN p >= 0.75 AND m >= 0.7 THEN 'C' ELSE 'F' END AS grade FROM g")
+def eval_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures to grades in one batch: each fixture expects the file of its vector and the next one."""
+    e = table(spark, sf_dir, "embeddings")
+    file = lambda i: F.concat(F.lit("src/m"), (i % 50).cast("string"), F.lit(".py"))
+    code = e.select(F.col("vec_id").alias("id"), "embedding", file(F.col("vec_id")).alias("file_path"))
+    fixtures = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), "embedding", F.array(file(F.col("vec_id")), file(F.col("vec_id") + 1)).alias("expected"))
+    return evals.grades(tools.retrieval_scores(fixtures, code))
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, q.label AS want, e.vec_id AS item, e.label, {_COS} AS similarity, e.vec_id % 3 = 0 AS doc FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY similarity DESC, item) AS n FROM s), u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item) AS rank FROM r WHERE n <= 10), w AS (SELECT query_id, count(*) FILTER (label = want) AS expected FROM s GROUP BY query_id) SELECT w.query_id, round(coalesce(count(*) FILTER (rank <= 3 AND label = want), 0) / any_value(expected), 6) AS recall FROM w JOIN u ON u.query_id = w.query_id GROUP BY w.query_id")
+def eval_union_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    side = lambda test: vector.batch_top_k(e.filter(test), asked, 10).withColumnRenamed("id", "item")
+    expected = asked.join(e.select(F.col("vec_id").alias("item"), "label"), "label").select("query_id", "item")
+    return evals.union_recall(expected, [side("vec_id % 3 != 0"), side("vec_id % 3 = 0")])
+
+
+_PLACES = "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'tests/conformance/test_' || doc_id || '.py' WHEN 1 THEN 'tests/test_' || doc_id || '.py' WHEN 2 THEN 'sdk/conformance/a' || doc_id || '.test.ts' WHEN 3 THEN 'crates/c/conformance_x/tests/t' || doc_id || '.rs' WHEN 4 THEN 'tests/conformance/native/scenarios/s' || doc_id || '.json' WHEN 5 THEN 'docs/standards/policy' || doc_id || '.md' WHEN 6 THEN 'crates/core/Cargo' || doc_id || '.toml' WHEN 7 THEN 'crates/trust/src/l' || doc_id || '.rs' ELSE 'x/conformance/conformance_' || doc_id || '.rs' END AS path FROM documents"
+
+
+def file_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    ends = (("tests/conformance/test_", ".py"), ("tests/test_", ".py"), ("sdk/conformance/a", ".test.ts"), ("crates/c/conformance_x/tests/t", ".rs"), ("tests/conformance/native/scenarios/s", ".json"), ("docs/standards/policy", ".md"), ("crates/core/Cargo", ".toml"), ("crates/trust/src/l", ".rs"), ("x/conformance/conformance_", ".rs"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*(F.concat(F.lit(a), i, F.lit(z)) for a, z in ends)), (F.col("doc_id") % 9 + 1).cast("int")).alias("path"))
+
+
+@query(f"SELECT doc_id, regexp_matches(path, '^tests/conformance/|/conformance/|/conformance_') AND (regexp_matches(path, '(^|/)(test_[^/]+\\.py|[^/]+\\.test\\.(ts|js)|conformance[^/]*\\.rs)$') OR regexp_matches(path, '^tests/conformance/native/scenarios/.*\\.json$') OR regexp_matches(path, '^crates/.*/tests/.*\\.rs$')) AS is_test, regexp_matches(path, '^(crates|spec|docs/(standards|conformance|sdk|protocol|release|mcp))/') AND NOT regexp_matches(path, '\\.(lock|toml)$') AS is_fix FROM ({_PLACES})")
+def conformance_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_places(spark, sf_dir).select("doc_id", audit.is_test_file("path").alias("is_test"), audit.is_canonical_fix("path").alias("is_fix"))
+
+
+@query(f"WITH p AS (SELECT doc_id % 40 AS change, path FROM ({_PLACES})), c AS (SELECT change, count(*) FILTER (contains(path, 'policy') OR starts_with(path, 'sdk/')) > 0 AS predicted, bool_or(regexp_matches(lower(path), 'capability|receipt|guard|policy|attenuation|revocation|^crates/core/|^crates/trust/')) AS expected FROM p GROUP BY change), n AS (SELECT count(*) FILTER (predicted AND expected) AS tp, count(*) FILTER (predicted AND NOT expected) AS fp, count(*) FILTER (NOT predicted AND NOT expected) AS tn, count(*) FILTER (NOT predicted AND expected) AS fn FROM c) SELECT tp, fp, tn, fn, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END, 6) AS recall, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END >= 0.7 AND CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END >= 0.8 AS meets_floor FROM n")
+def gate_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = file_places(spark, sf_dir).select((F.col("doc_id") % 40).alias("change"), "path", F.lit("").alias("body"))
+    found = audit.backtest(changes, audit.ImpactRules(guard_words=("policy",), engine_prefixes=("sdk/",)))
+    return evals.confusion(found, F.col("predicted"), F.col("expected"))
+
+
+@query("SELECT confidence, count(*) AS n FROM (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'high' WHEN quality = 1 THEN 'medium' WHEN doc_id % 2 = 0 THEN 'low' END AS confidence FROM labels) WHERE confidence IS NOT NULL GROUP BY confidence")
+def confidence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "confidence=high").when(F.col("quality") == 1, "ok, confidence=medium here").when(F.col("doc_id") % 2 == 0, "confidence=low")
+    return audit.confidence_histogram(table(spark, sf_dir, "labels").withColumn("review", word))

@@ -1,22 +1,24 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network in numpy.
 
-Every token (words in lower case, runs of capitals, digits and punctuation as tokens of their own) belongs to one of `ROWS`
-hash rows. A row's vector is the sum of the sparse random index vectors of the tokens within two places of its tokens, over
-the whole corpus; the table has a fixed size. A document is pooled to the mean and the spread of its tokens' vectors, the
-mean over its different tokens, its length and its share of different tokens. The network is trained on the driver from at
-most `sample` labelled documents (those with the smallest hashes of their ids), and its temperature is fitted on a fifth of them,
-left out of the training, so that scores are probabilities.
+The `OWN` most frequent words of the corpus, counted over all texts, have vectors of their own; all rarer ones share `SHARED` hash rows,
+so the table has a fixed size. Tokens are words in lower case, runs of capitals, digits and punctuation. A vector is the sum of
+the sparse random index vectors of the tokens within two places of its token, over the whole corpus. A document is pooled to the mean and
+the spread of its tokens' vectors, the mean over its different tokens, its length and its share of different tokens. The network is trained
+on the driver from at most `sample` labelled documents (those with the smallest hashes of their ids), and its temperature is fitted on a
+fifth of them, left out of the training, so that scores are probabilities.
 
 Labels are only learnt from documents whose id's CRC does not leave `rest`; labels, ids, languages and sources are no inputs.
 
-Results for edge cases: a null or empty text is pooled to zeros and scored like any other. A null id is not held out and
-has no label. Ids with several labels use the larger one; null labels are not used. With no labels, or one class alone, the
-score is the share of ones, or 0.5. Repeated rows give repeated result rows. An empty table gives an empty result.
+Results for edge cases: a null or empty text is pooled to zeros and scored like any other, a text of any length is pooled whole. A null
+id is not held out and has no label. Ids with several labels use the larger one; null labels are not used. With no labels, or one class
+alone, the score is the share of ones, or 0.5. Repeated rows give repeated result rows. An empty table gives an empty result. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,36 +29,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, id_and_text, map_arrow, mix, rows_of
+from corvane.llm.packed import pack, unpack
 
-ROWS, DIM, WINDOW = 16_384, 32, 2
+OWN, SHARED = 49_152, 16_384
+ROWS, DIM, WINDOW = OWN + SHARED, 32, 2
 SLICES, SALTS = 64, 16
-#: Tokens whose rows a Python worker remembers.
+#: Tokens whose rows a Python worker remembers, and different tokens that it counts before it hands them on.
 TOKEN_CACHE = 500_000
+COUNTED = 200_000
 FEATURES = 3 * DIM + 2
 _TOKEN = re.compile(rb"[A-Z]{2,}|[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
-_rows: dict[bytes, int] = {}
 
 
-def _row(token: bytes) -> int:
+def tokens(text: bytes | None) -> list[bytes]:
+    return _TOKEN.findall(text) if text else []
+
+
+def token_hash(token: bytes) -> int:
+    """The hash of a token's word."""
     if len(token) > 1 and token.isalpha() and token.isupper():
         token = b"<caps>"
     elif token.isdigit():
         token = b"<number>"
-    return xxhash.xxh3_64_intdigest(token.lower()) % ROWS
+    return xxhash.xxh3_64_intdigest(token.lower())
+
+
+class Vocabulary:
+    """The rows of tokens: their own for the words with these hashes, a shared one for all others."""
+
+    def __init__(self, often: list[int]):
+        self.own = {h: row for row, h in enumerate(often)}
+        self.known: dict[bytes, int] = {}
+
+    def __getstate__(self) -> dict:
+        return {"own": self.own, "known": {}}
+
+    def row(self, token: bytes) -> int:
+        h = token_hash(token)
+        return self.own.get(h, OWN + h % SHARED)
 
+    def rows(self, text: bytes | None) -> np.ndarray:
+        found, known = tokens(text), self.known
+        try:
+            return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        except KeyError:
+            if len(known) > TOKEN_CACHE:
+                known.clear()
+            for t in set(found):
+                if t not in known:
+                    known[t] = self.row(t)
+            return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of words with their numbers in a task."""
+    seen: Counter[bytes] = Counter()
+
+    def take() -> pa.RecordBatch:
+        hashes, n = np.array([token_hash(t) for t in seen], np.uint64), np.fromiter(seen.values(), np.int64, len(seen))
+        kinds, of = np.unique(hashes, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(of, n, len(kinds)).astype(np.int64))], names=["h", "n"])
+
+    for batch in batches:
+        for (text,) in rows_of(batch):
+            seen.update(tokens(text))
+            if len(seen) > COUNTED:
+                yield take()
+                seen.clear()
+    yield take()
 
-def token_rows(text: bytes | None) -> np.ndarray:
-    """The hash row of each token."""
-    tokens = _TOKEN.findall(text) if text else []
-    try:
-        return np.fromiter(map(_rows.__getitem__, tokens), np.int64, len(tokens))
-    except KeyError:
-        if len(_rows) > TOKEN_CACHE:
-            _rows.clear()
-        for t in set(tokens):
-            if t not in _rows:
-                _rows[t] = _row(t)
-        return np.fromiter(map(_rows.__getitem__, tokens), np.int64, len(tokens))
+
+def vocabulary(texts: DataFrame) -> Vocabulary:
+    """The OWN most frequent words; no more come to the driver."""
+    each = texts.select("_text").transform(map_arrow, _count, "h long, n long")
+    often = each.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(OWN)
+    return Vocabulary([r["h"] & 0xFFFFFFFFFFFFFFFF for r in often.collect()])
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -67,66 +114,80 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return plus.astype(np.int64), minus.astype(np.int64)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(sent):
     """The sums of a task's contexts, in slices of rows."""
-    plus, minus = index_vectors()
-    total = np.zeros(ROWS * DIM, np.int64)
 
-    def add(rows: np.ndarray, of: np.ndarray) -> None:
-        base = rows * DIM
-        total[:] += np.bincount(base + plus[of], minlength=ROWS * DIM) - np.bincount(base + minus[of], minlength=ROWS * DIM)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        plus, minus = index_vectors()
+        total = np.zeros(ROWS * DIM, np.int64)
 
-    part, held = [], 0
-    gap = np.full(WINDOW, -1, np.int64)
+        def add(rows: np.ndarray, of: np.ndarray) -> None:
+            base = rows * DIM
+            total[:] += np.bincount(base + plus[of], minlength=ROWS * DIM)
+            total[:] -= np.bincount(base + minus[of], minlength=ROWS * DIM)
 
-    def close() -> None:
-        flat = np.concatenate(part)
-        for o in range(1, WINDOW + 1):
-            a, b = flat[:-o], flat[o:]
-            good = (a >= 0) & (b >= 0)
-            a, b = a[good], b[good]
-            add(a, b)
-            add(b, a)
+        part, held = [], 0
+        gap = np.full(WINDOW, -1, np.int64)
 
-    for batch in batches:
-        for (text,) in rows_of(batch):
-            part += [token_rows(text), gap]
-            held += len(part[-2])
-            if held >= 1_000_000:
-                close()
-                part, held = [], 0
-    if part:
-        close()
-    salt = TaskContext.get().partitionId() % SALTS
-    width = ROWS * DIM // SLICES
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array([total[k * width : (k + 1) * width].tobytes() for k in range(SLICES)], pa.binary())], names=["slice", "salt", "sums"])
+        def close() -> None:
+            flat = np.concatenate(part)
+            for o in range(1, WINDOW + 1):
+                a, b = flat[:-o], flat[o:]
+                good = (a >= 0) & (b >= 0)
+                a, b = a[good], b[good]
+                add(np.concatenate([a, b]), np.concatenate([b, a]))
+
+        for batch in batches:
+            for (text,) in rows_of(batch):
+                part += [words.rows(text), gap]
+                held += len(part[-2])
+                if held >= 1_000_000:
+                    close()
+                    part, held = [], 0
+        if part:
+            close()
+        salt = TaskContext.get().partitionId() % SALTS
+        yield _slices({(k, salt): x for k, x in enumerate(total.reshape(SLICES, -1))})
+
+    return run
+
+
+def _slices(total: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    keys = sorted(total)
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.int32()), pa.array([pack(total[k]) for k in keys], pa.binary())], names=["slice", "salt", "sums"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for k, salt, sums in rows_of(batch):
-            x = np.frombuffer(sums, np.int64)
+            (x,) = unpack(sums, "<i8")
             total[k, salt] = total[k, salt] + x if (k, salt) in total else x
-    keys = sorted(total)
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["slice", "salt", "sums"])
+    yield _slices(total)
 
 
-def word_vectors(texts: DataFrame) -> np.ndarray:
-    """Unit vectors of the rows; at most ROWS x DIM numbers come to the driver."""
+def context_sums(texts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """For each row the sum of its contexts' index vectors; at most ROWS x DIM numbers come to the driver."""
     kind = "slice int, salt int, sums binary"
-    once = texts.select("_text").transform(map_arrow, _contexts, kind).repartition("slice", "salt").transform(map_arrow, _add, kind)
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+    once = texts.select("_text").transform(map_arrow, _contexts(sent), kind).repartition("slice", "salt").transform(map_arrow, _add, kind)
     twice = once.withColumn("salt", F.lit(0)).repartition("slice").transform(map_arrow, _add, kind)
-    table = np.zeros((SLICES, ROWS * DIM // SLICES), np.float64)
+    table = np.zeros((SLICES, ROWS * DIM // SLICES), np.int64)
     for row in twice.toLocalIterator():
-        table[row["slice"]] += np.frombuffer(row["sums"], np.int64)
-    table = table.reshape(ROWS, DIM)
+        table[row["slice"]] += unpack(row["sums"], "<i8")[0]
+    return table.reshape(ROWS, DIM)
+
+
+def word_vectors(texts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Unit vectors of the rows."""
+    table = context_sums(texts, words).astype(np.float64)
     size = np.linalg.norm(table, axis=1, keepdims=True)
     return (table / np.where(size > 0, size, 1)).astype(np.float32)
 
 
-def pool(text: bytes | None, vectors: np.ndarray) -> np.ndarray:
-    rows = token_rows(text)
+def pool(text: bytes | None, words: Vocabulary, vectors: np.ndarray) -> np.ndarray:
+    rows = words.rows(text)
     out = np.zeros(FEATURES, np.float32)
     if len(rows):
         kinds, n = np.unique(rows, return_counts=True)
@@ -192,11 +253,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     texts = id_and_text(docs, id_col, text_col)
-    sent = spark.sparkContext.broadcast(word_vectors(texts))
+    words = vocabulary(texts)
+    sent = spark.sparkContext.broadcast((words, word_vectors(texts, words)))
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pool(t, sent.value).tobytes() for t in batch.column(1).to_pylist()]
+            found = [pool(t, *sent.value).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "x"])
 
     every = scratch.keep(texts.transform(map_arrow, pooled, "doc_id long, x binary"), "pooled")

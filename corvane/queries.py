@@ -197,9 +197,23 @@ def paragraph_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.paragraph_ranges(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+# Every text of the tables is one paragraph: a chunk if it is short, else windows of lines that begin two lines before the end of the last one, found by recursion.
+_WINDOWS = """
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE regexp_matches(text, '\\S')),
+y AS (SELECT doc_id, i, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c, max(i) OVER (PARTITION BY doc_id) AS m
+  FROM (SELECT doc_id, length(unnest(l)) + 1 AS w, unnest(generate_series(1, len(l))) AS i FROM d WHERE length(text) > 2400)),
+e AS (SELECT a.doc_id, a.i AS first, max(b.i) AS last, any_value(a.m) AS m, max(b.c) - any_value(a.c) + any_value(a.w) - 1 AS n_chars
+  FROM y a JOIN y b ON b.doc_id = a.doc_id AND (b.i = a.i OR (b.i > a.i AND b.c - a.c + a.w <= 2400)) GROUP BY a.doc_id, a.i),
+w AS (SELECT doc_id, 0 AS ordinal, first, last, m, n_chars FROM e WHERE first = 1
+  UNION ALL SELECT e.doc_id, w.ordinal + 1, e.first, e.last, e.m, e.n_chars FROM w JOIN e ON e.doc_id = w.doc_id AND e.first = greatest(w.last + 1 - 2, w.first + 1) WHERE w.last < w.m)
+SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(first AS INTEGER) AS line_start, CAST(last AS INTEGER) AS line_end, CAST(n_chars AS INTEGER) AS n_chars FROM w
+UNION ALL SELECT doc_id, 0, 1, CAST(len(l) AS INTEGER), CAST(length(text) + CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END AS INTEGER) FROM d WHERE length(text) <= 2400
+"""
+
+
+@query(_WINDOWS)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy packing with overlap: not SQL; tested against a plain version."""
+    """Greedy packing with overlap; texts of several paragraphs are tested against a plain version."""
     return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ordinal", "line_start", "line_end", F.length("text").alias("n_chars"))
 
 

@@ -70,13 +70,17 @@ def notes(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
     return fm.select("path", get("id").alias("id"), get("type").alias("type"), get("status").alias("status"), get("node-kind").alias("node_kind"), list_value(get("owners")).alias("owners"), F.try_to_timestamp(get("last-validated")).cast("date").alias("last_validated"), F.col("fm").alias("properties"), F.size(links).alias("n_links"), F.size(F.filter(links, lambda x: x.contains("decisions/"))).alias("n_decision_links"))
 
 
-def derived_records(notes_: DataFrame, label_prefix: str = "") -> DataFrame:
-    """target, id, payload: episodes go to the episode store, typed notes of a known kind to the graph."""
+#: Properties that a graph record does without: its label is beside them, its chunks are rows of their own.
+DROPPED = ("label", "chunks")
+
+
+def derived_records(notes_: DataFrame, label_prefix: str = "", dropped: tuple[str, ...] = DROPPED) -> DataFrame:
+    """target, id, payload: episodes go to the episode store, typed notes of a known kind to the graph, without the dropped properties."""
     labels = {k: label_prefix + k for k in NODE_KINDS}
     p = lambda k, d="": F.coalesce(F.element_at("properties", k), F.lit(d))
     episode = notes_.filter(F.col("type").isin(*EPISODE_TYPES)).select(F.lit("episodes").alias("target"), "id", F.create_map(F.lit("name"), F.coalesce(F.element_at("properties", "episode_name"), p("title")), F.lit("type"), F.col("type"), F.lit("scope"), p("scope", "repo"), F.lit("source_description"), p("source_description")).alias("payload"))
     node = notes_.withColumn("label", label_for("node_kind", labels)).filter(F.col("type").isin(*GRAPH_TYPES) & F.col("label").isNotNull())
-    graph = node.select(F.lit("graph").alias("target"), "id", F.map_concat(F.create_map(F.lit("label"), F.col("label")), F.map_filter("properties", lambda k, _: k != "label")).alias("payload"))
+    graph = node.select(F.lit("graph").alias("target"), "id", F.map_concat(F.create_map(F.lit("label"), F.col("label")), F.map_filter("properties", lambda k, _: ~k.isin(*dropped))).alias("payload"))
     return episode.unionAll(graph)
 
 

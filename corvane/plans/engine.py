@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.prior import Prior
@@ -12,6 +12,15 @@ from corvane.operators import graph, memory, vector
 from corvane.plans.registry import Registry
 
 
+# Columns of the stores.
+EMPTY = {
+    "code": "id long, file_path string, language string, embedding array<float>",
+    "docs": "id long, file_path string, language string, embedding array<float>",
+    "nodes": "id string, label string, properties map<string,string>",
+    "edges": "edge_id long, src_id string, dst_id string, relationship string",
+}
+
+
 def bounded(name: str, value: int, most: int) -> int:
     if not 1 <= value <= most:
         raise ValueError(f"{name} must be from 1 to {most}")
@@ -20,17 +29,23 @@ def bounded(name: str, value: int, most: int) -> int:
 
 @dataclass
 class Engine:
-    """code and docs: id, file_path, language, embedding. embed turns a query text into a vector. All tools return frames."""
+    """code and docs: id, file_path, language, embedding. embed turns a query text into a vector. All tools return frames; a store that is not configured, None, answers with no rows."""
 
-    code: DataFrame
-    docs: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
+    code: DataFrame | None
+    docs: DataFrame | None
+    nodes: DataFrame | None
+    edges: DataFrame | None
     embed: object
     sections: DataFrame | None = None
     prior: Prior = field(default_factory=Prior)
     post_filter: bool = False
 
+    def __post_init__(self) -> None:
+        spark = SparkSession.active()
+        for name, schema in EMPTY.items():
+            if getattr(self, name) is None:
+                setattr(self, name, spark.createDataFrame([], schema))
+
     def search_code(self, query: str, limit: int = 10, **filters: str) -> DataFrame:
         return vector.search(self.code, query, self.embed(query), bounded("limit", limit, 50), prior=self.prior, post_filter=self.post_filter, **filters)
 

@@ -74,6 +74,12 @@ def append_json(rows: DataFrame, path: str, partition: str | None = None) -> Non
     (w.partitionBy(partition) if partition else w).json(path)
 
 
+def append_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Appends nodes in a folder for each label and edges in one for each relationship, so that a batch of one kind is one folder."""
+    for rows, kind, name in ((nodes, "label", "nodes"), (edges, "relationship", "edges")):
+        rows.repartition(kind, F.pmod(F.hash(*[c for c in rows.columns if not rows.schema[c].dataType.simpleString().startswith("map")]), F.lit(32))).write.mode("append").partitionBy(kind).parquet(f"{path}/{name}")
+
+
 def dry_run(rows: DataFrame) -> None:
     rows.write.format("noop").mode("overwrite").save()
 

@@ -141,3 +141,20 @@ def test_searches_of_lists_and_codes(spark):
             assert ann._unpacked([bytes(codes[x.vec_id].codes)], bits, 16)[0].tolist() == list(x.q.codes)
     with pytest.raises(ValueError, match="bits"):
         ann.build_codes(e, bits=1)
+
+
+def test_engine_without_stores(spark):
+    e = Engine(None, None, None, None, lambda q: [0.0, 1.0])
+    assert e.search_code("x").count() == e.search_docs("x").count() == e.neighbors("a").count() == e.context("a").count() == e.impact("a").count() == 0
+    assert e.brief("x").count() == 0 and e.snapshot("s").first()[0] == "s:code=0:0:doc=0:0"
+
+
+def test_graph_folders(spark, tmp_path):
+    from corvane.sources import sinks
+
+    nodes = spark.createDataFrame([(f"n{i}", "AB"[i % 2], {"k": "v"}) for i in range(20)], "id string, label string, properties map<string,string>")
+    edges = spark.createDataFrame([(i, f"n{i}", "n0", "R") for i in range(9)], "edge_id long, src_id string, dst_id string, relationship string")
+    sinks.append_graph(nodes, edges, str(tmp_path))
+    sinks.append_graph(nodes.limit(0), edges, str(tmp_path))
+    assert {p.name for p in (tmp_path / "nodes").glob("label=*")} == {"label=A", "label=B"}
+    assert spark.read.parquet(str(tmp_path / "nodes")).count() == 20 and spark.read.parquet(str(tmp_path / "edges")).count() == 18

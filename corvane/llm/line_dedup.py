@@ -12,7 +12,7 @@ place. Places are ordered by doc_id, then line, so the first copy of each maxima
 Exact copies of a text are folded into the one with the smallest id before any line is looked at: a later copy is one
 repeated run from end to end.
 
-Results for edge cases: null and empty texts have no lines and lose none. Lines without words are no symbols: they neither
+Results for edge cases: null and empty texts have no lines and lose none. Texts and lines of any length are read whole. Lines without words are no symbols: they neither
 end a run nor are deleted with it. A null id counts as smaller than all ids. Repeated rows (same id and text) are one document;
 rows that share an id but differ in text are ordered by a hash of the text. Empty tables give an empty result. Other
 columns are not read by repeated_runs() and are passed on by dedup_lines().

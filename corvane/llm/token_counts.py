@@ -6,7 +6,7 @@ rules are those of the Unigram model of the `tokenizers` library: of paths with
 first stays; a character that is no piece costs the lowest score less 10 and becomes its UTF-8 bytes where the vocabulary has
 pieces for all bytes, else a run of such characters is one unknown piece.
 
-Results for edge cases: a null or empty text has no words and no tokens. A null id stays null. Repeated rows give
+Results for edge cases: a null or empty text has no words and no tokens. Texts and words of any length are counted whole. A null id stays null. Repeated rows give
 repeated result rows. An empty table gives an empty result. Other columns are not read.
 """
 

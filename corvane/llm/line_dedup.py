@@ -184,3 +184,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     rows = zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)
     return pa.array([None if t is None else drop_lines(t.encode(), list(zip(s, e, strict=True))).decode() for t, s, e in rows], pa.string())
+
+
+#: Runs of equal lines on each diagonal of two places; only for small tables, as it lists all pairs of equal lines.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS i FROM d),
+w AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM x),
+y AS (SELECT doc_id, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM w WHERE words > 0),
+n AS (SELECT doc_id, count(*) AS n_lines FROM y GROUP BY doc_id),
+m AS (SELECT a.doc_id, a.p, a.words, b.doc_id AS other, a.p - b.p AS gap FROM y a JOIN y b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.p < a.p))),
+g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, other, gap ORDER BY p) AS island FROM m),
+r AS (SELECT doc_id, min(p) AS s, max(p) AS e FROM g GROUP BY doc_id, other, gap, island HAVING sum(words) >= 40),
+t AS (SELECT DISTINCT doc_id, unnest(generate_series(s, e)) AS p FROM r),
+q AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM t)
+SELECT q.doc_id, CAST(min(p) AS INTEGER) AS line_start, CAST(max(p) + 1 AS INTEGER) AS line_end, CAST(any_value(n_lines) AS INTEGER) AS n_lines
+FROM q JOIN n ON n.doc_id = q.doc_id GROUP BY q.doc_id, island
+"""

@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_round_trip": warc.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_warc_round_trip": warc.ORACLE_SQL, "op7_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}

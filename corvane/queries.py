@@ -756,3 +756,30 @@ def gate_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def confidence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "confidence=high").when(F.col("quality") == 1, "ok, confidence=medium here").when(F.col("doc_id") % 2 == 0, "confidence=low")
     return audit.confidence_histogram(table(spark, sf_dir, "labels").withColumn("review", word))
+
+
+_UNITS = """
+WITH u(lang, ordinal, name, numbered, kind, line_start, line_end) AS (VALUES
+  ('markdown', 0, '<preamble>', false, 'preamble', 1, 1), ('markdown', 1, 'A ', true, 'h1', 2, 6), ('markdown', 2, 'B', false, 'h2', 7, 8),
+  ('python', 0, '<module>', false, 'module', 1, 2), ('python', 1, 'f', true, 'function', 3, 7), ('python', 2, 'C', true, 'class', 8, 9),
+  ('typescript', 0, '<module>', false, 'module', 1, 1), ('typescript', 1, 'K', true, 'class', 2, 3), ('typescript', 2, 'g', true, 'function', 4, 5), ('typescript', 3, 'v', true, 'binding', 6, 6), ('typescript', 4, 'T', true, 'type', 7, 7),
+  ('config', 0, 'chunk#1', false, 'section', 1, 1), ('config', 1, 'build', true, 'section', 2, 3), ('config', 2, 'alpine', true, 'section', 4, 4), ('config', 3, 'chunk#4', false, 'section', 5, 5), ('config', 4, 'chunk#5', false, 'section', 6, 7))
+SELECT page_id, CAST(ordinal AS INTEGER) AS ordinal, name || CASE WHEN numbered THEN CAST(page_id AS VARCHAR) ELSE '' END AS name, kind, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end
+FROM pages JOIN u ON u.lang = CASE page_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' ELSE 'config' END
+"""
+
+
+@query(_UNITS)
+def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four languages, made from the pages' numbers, cut into their units."""
+    texts = {
+        "markdown": "intro\n# A %d\ntext\n```\n# no heading\n```\n## B ##\nmore\n",
+        "python": "import os\n\n@cache\ndef f%d(a):\n    return a\n\n\nclass C%d:\n    x = 1\n",
+        "typescript": "import x\nexport class K%d {\n}\n@dec\nexport default async function* g%d() {}\nconst v%d = 1\ntype T%d = X\n",
+        "config": "# note\nbuild%d:\n\tcmd\nFROM alpine%d\n# ====\n[sec]\nkey = 1\n",
+    }
+    i = F.col("page_id")
+    lang = F.element_at(F.array(*map(F.lit, texts)), (i % 4 + 1).cast("int"))
+    text = F.replace(F.element_at(F.array(*map(F.lit, texts.values())), (i % 4 + 1).cast("int")), F.lit("%d"), i.cast("string"))
+    files = table(spark, sf_dir, "pages").select("page_id", text.alias("text"), lang.alias("lang"))
+    return chunking.chunk(files, "page_id", "text", "lang").select(F.col("id").alias("page_id"), "ordinal", "name", "kind", "line_start", "line_end")

@@ -63,16 +63,18 @@ def _segments(mod: int, rest: int, segment: int):
             sizes = np.array([len(t) for t in texts], np.int64)
             out = np.array([is_held_out(i, mod, rest) for i in ids], bool)
             tokens, words = pd.factorize(np.concatenate(texts))
-            often = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")  # frequent words get small numbers, whose high bytes compress
+            often = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+            # Frequent words get numbers of one byte, then of two, whose other bytes compress; among their like words are sorted, so that their steps compress.
+            order = np.concatenate([part[np.argsort(words[part])] for part in np.split(often, [1 << 8, 1 << 16])])
             rank = np.empty(len(words), np.uint32)
-            rank[often] = np.arange(len(words), dtype=np.uint32)
-            words, tokens = words[often], rank[tokens]
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            words, tokens = words[order], rank[tokens]
             key = pa.array(ids, pa.int64())
             with pa.BufferOutputStream() as sink:
                 with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
                     w.write_batch(pa.record_batch([key], names=["id"]))
                 packed = sink.getvalue().to_pybytes()
-            row = [seg, packed, out.tobytes(), sizes.tobytes(), words.tobytes(), pack(tokens), int((~out).sum()), int(sizes[~out].sum())]
+            row = [seg, packed, out.tobytes(), sizes.tobytes(), pack(np.diff(words, prepend=np.uint64(0))), pack(tokens), int((~out).sum()), int(sizes[~out].sum())]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SEGMENT, strict=True)], schema=_SEGMENT)
 
         for batch in batches:
@@ -105,7 +107,7 @@ class Segment:
     def __init__(self, ids: bytes, held: bytes, sizes: bytes, words: bytes, tokens: bytes):
         self.ids = pa.ipc.open_stream(ids).read_all().column(0)
         self.held, self.sizes = np.frombuffer(held, bool), np.frombuffer(sizes, np.int64)
-        self.words, self.token = np.frombuffer(words, np.uint64), unpack(tokens, "<u4")[0].astype(np.int64)
+        self.words, self.token = np.cumsum(unpack(words, "<u8")[0], dtype=np.uint64), unpack(tokens, "<u4")[0].astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.trains = ~self.held[self.doc]

@@ -22,11 +22,12 @@ import math
 import random
 import string
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.shared import settled
+
 MARKS, SYMBOLS = "+/_-", ".!@%$#^&*~"
 CORE = "A-Za-z0-9+/_\\-"
 EVERY = string.ascii_letters + string.digits + MARKS + SYMBOLS
@@ -242,21 +243,21 @@ def train(findings: DataFrame, lexicon: Lexicon | None = None, trees: int = 24,
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings, lexicon))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featureSubsetStrategy="sqrt").fit(rows.select("features", F.col("label").cast("double").alias("label")))
+    known = settled(rows.select("features", F.col("label").cast("double").alias("label")))  # the forest reads them several times
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featureSubsetStrategy="sqrt").fit(known)
 
 
 def as_column(model) -> Column:
-    """The forest's probability of a secret as one expression over FEATURES."""
+    """The forest's probability of a secret as one expression over FEATURES, parsed from SQL at once, as a call for each node takes long."""
 
-    def node(x) -> Column:
-        if x.getClass().getSimpleName() == "LeafNode":
-            stats = [float(v) for v in x.impurityStats().stats()]
-            return F.lit(stats[1] / sum(stats))
+    def node(x) -> str:
+        if x.toString().startswith("LeafNode"):
+            return f"{x.impurityStats().prob(1.0)!r}D"
         split = x.split()
-        return F.when(F.col(FEATURES[split.featureIndex()]) <= F.lit(float(split.threshold())), node(x.leftChild())).otherwise(node(x.rightChild()))
+        return f"CASE WHEN `{FEATURES[split.featureIndex()]}` <= {split.threshold()!r}D THEN {node(x.leftChild())} ELSE {node(x.rightChild())} END"
 
     trees = [node(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in model.trees]
-    return reduce(lambda a, b: a + b, trees) / F.lit(float(len(trees)))
+    return F.expr(f"({' + '.join(trees)}) / {float(len(trees))!r}D")
 
 
 def labelled(spark: SparkSession, rows: list[tuple[str, str, str, str, int]]) -> DataFrame:

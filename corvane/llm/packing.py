@@ -61,6 +61,10 @@ class WordTokenizer:
         self.path = path
         self.model, self.ends, self.young, self.old = _tokenizers[path]
 
+    @property
+    def size(self) -> int:
+        return len(self.ends)
+
     def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of each word. Words of letters alone are one run each, so many are encoded as one text and parted at the ids that end a run."""
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -239,7 +243,7 @@ def places(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
     return {"first": np.searchsorted(table[:, 0], np.arange(capacity + 2)), "rank": table[:, 1], "copies": table[:, 2], "base": table[:, 3], "offset": table[:, 4]}
 
 
-def _encoded(batch: pa.RecordBatch, model: WordTokenizer) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batch: pa.RecordBatch, model: WordTokenizer) -> Iterator[tuple[int | None, bytes]]:
     """Ids of the batch's texts, some texts at a time."""
     keys: list[int | None] = []
     texts: list[bytes] = []
@@ -265,7 +269,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, ranks, out = WordTokenizer(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1), Rows(schema)
         for batch in batches:
-            for i, ids in _encoded(batch, model):
+            for i, ids in encoded(batch, model):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, jaccard_join, katz, line_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, warc
+from corvane.llm import clustering, decontamination, jaccard_join, katz, line_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, token_files, warc, whitening
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -57,9 +57,22 @@ def op10_katz_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"), order=3)
 
 
+def op11_yinyang_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.yinyang_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), packing.public_tokenizer(WORD_BPE))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return got.withColumn("deviation", got["deviation"].cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op4_warc_round_trip, op5_secret_scan, op6_quality_classifier, op7_ngram_jaccard_join, op8_token_counts, op9_quality_rules, op10_katz_lm_scoring)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op4_warc_round_trip, op5_secret_scan, op6_quality_classifier, op7_ngram_jaccard_join, op8_token_counts, op9_quality_rules, op10_katz_lm_scoring, op11_yinyang_clustering, op12_token_files, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_warc_round_trip": warc.ORACLE_SQL, "op7_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_warc_round_trip": warc.ORACLE_SQL, "op7_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op11_yinyang_clustering": clustering.ORACLE_SQL}

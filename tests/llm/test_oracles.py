@@ -17,7 +17,7 @@ def rows(frame, names):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     found, mine = c.sql(oracle_sql()[name]), queries()[name](spark, SMALL)
     assert sorted(found.columns) == sorted(mine.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,12 +70,21 @@ def tree(spark: SparkSession, source: Source) -> DataFrame:
     What is selected is said of the files' metadata alone, so that files of skipped folders are left out of the scan before any content is read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source.root)
-    bare = "^.*?" + escaped(source.root.split("://")[-1].rstrip("/")) + "/"
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), bare, "")
+    path = below(source.root)
     kept = raw.filter(~is_skipped(path) & path_selected(path, list(source.glob), list(source.exclude)))
     return kept.select(path.alias("path"), readable_text("content").alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def file_path() -> Column:
+    """The path of a row's file as it is written on disk; metadata has it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def below(root: str) -> Column:
+    """The path of a row's file, relative to the root."""
+    return F.regexp_replace(file_path(), "^.*?" + escaped(root.split("://")[-1].rstrip("/")) + "/", "")
+
+
 def escaped(text: str) -> str:
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in text)
 
@@ -104,13 +113,17 @@ def malformed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path).filter(F.trim("value") != "").select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+?)(?:\\.jsonl?)?$", 1).alias("session"), F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"), F.monotonically_increasing_id().alias("idx"))
-    return raw.select("session", "idx", "e.*")
+    """idx is an event's place in its file, blank lines left out, however the file is split."""
+    lines = spark.read.text(path).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value").filter(F.trim("value") != "")
+    session = F.regexp_extract("path", "([^/]+?)(?:\\.jsonl?)?$", 1)
+    place = Window.partitionBy("session").orderBy("path", "block", "at")
+    raw = lines.withColumn("session", session).withColumn("idx", F.row_number().over(place).cast("long") - 1)
+    return raw.select("session", "idx", F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e")).select("session", "idx", "e.*")
 
 
 def note_files(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    return raw.select(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + escaped(root.rstrip("/")) + "/", "").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
+    return raw.select(below(root).alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
 def fixtures(spark: SparkSession, root: str) -> DataFrame:

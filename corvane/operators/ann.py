@@ -26,8 +26,11 @@ def centroids(vectors: DataFrame, lists: int, id_col: str = "vec_id", embedding:
     """Spherical k-means on the sample."""
     rows = vectors.select(F.col(id_col).alias("i"), F.col(embedding).alias("e")).filter("e is not null").orderBy(F.xxhash64("i"), "i").limit(sample).collect()
     x = unit_rows(np.array([r["e"] for r in rows], np.float64).reshape(len(rows), -1 if rows else 1))
-    if not len(x):
-        return x
+    return spherical(x, lists, rounds, seed) if len(x) else x
+
+
+def spherical(x: np.ndarray, lists: int, rounds: int, seed: int) -> np.ndarray:
+    """Unit vectors that k-means by cosines finds among unit vectors."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(rounds):

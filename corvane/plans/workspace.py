@@ -21,6 +21,7 @@ from corvane.functions.shared import settled
 from corvane.functions.text import content_hash, is_document, readable_text
 from corvane.functions.vectors import hash_embedding
 from corvane.operators import ann, graph, notes, sessions, sync, vector
+from corvane.operators.stored_index import StoredIndex
 from corvane.plans import receipts, tools
 from corvane.sources import files, sinks
 from corvane.sources.buckets import BucketTable
@@ -30,6 +31,10 @@ from corvane.sources.stored import chunk_table
 from corvane.streaming.sync import Sink, next_batch, run_batch, start_changes
 
 
+#: Lists that a query of the backend `lists` looks into.
+PROBES = 24
+
+
 @dataclass
 class Workspace:
     """A schema of chunk tables, and what turns texts into vectors: `embed` a column of texts, `embed_one` a text on the driver."""
@@ -53,15 +58,20 @@ class Workspace:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {sinks.schema_name(self.schema)}")
         if reset:
             for table in sinks.TABLES:
-                Folder(self.spark, self._path(table)).delete()
+                for path in (self._path(table), self._path(table) + "_index"):
+                    Folder(self.spark, path).delete()
         parsed = files.parsed(files.tree(self.spark, source))
         chunks = files.ingest(parsed, source.root).withColumn("chunk_text", F.col("text")).withColumn("embedding", self._vectors(F.col("text"))).withColumn("id", F.abs(F.xxhash64("source_root", "file_path", "ordinal")))
         rows = settled(chunks.withColumn("properties", F.to_json(F.struct("name"))).withColumn("created_at", F.current_timestamp()).withColumn("is_doc", is_document("file_path", "language")))
         own_files = rows.select("source_root", "file_path").distinct()
         counts = {}
         for table, test in (("code_chunks", ~F.col("is_doc")), ("doc_chunks", F.col("is_doc"))):
-            stored = self.stored(table)
-            stored.upsert(rows.filter(test), deleted=own_files)
+            stored, own = self.stored(table), rows.filter(test)
+            if StoredIndex.there(self.spark, self._path(table) + "_index"):
+                index = self.index(table)
+                index.delete(stored.lookup(own_files).select("id").join(own.select("id"), "id", "left_anti"))
+                index.upsert(own, "id")
+            stored.upsert(own, deleted=own_files)
             counts[table] = stored.read().filter(F.col("source_root") == source.root).count()
         return counts
 
@@ -76,6 +86,13 @@ class Workspace:
     def chunks(self, table: str = "code_chunks") -> DataFrame:
         return self.stored(table).read()
 
+    def index(self, table: str = "code_chunks", lists: int = 64, parts: int = 16) -> StoredIndex:
+        """The stored index of a table's vectors, built when it is first asked for and kept in step by ingests."""
+        path = self._path(table) + "_index"
+        if StoredIndex.there(self.spark, path):
+            return StoredIndex(self.spark, path)
+        return StoredIndex.build(self.chunks(table), path, lists, parts, ("file_path", "language"), "id")
+
     def graph(self, source: files.Source) -> tuple[DataFrame, DataFrame]:
         return graph.project_files(files.parsed(files.tree(self.spark, source)), F.col("crate"))
 
@@ -116,11 +133,11 @@ class Workspace:
         return start_changes(self.spark, root, state_path, checkpoint, describe, [records], [gone], [moved], {"include": "*.md"}, seconds)
 
     def query(self, text: str, limit: int = 10, table: str = "code_chunks", backend: str = "exact") -> DataFrame:
-        """The chunks nearest to a text, the best of each file; other backends search by lists or codes first."""
+        """The chunks nearest to a text, the best of each file. Other backends ask the stored index first: `lists` some of its lists, `quantized` all codes."""
         chunks = self.chunks(table)
-        if ann.backend(backend) != "exact":
+        if (kind := ann.backend(backend)) != "exact" and not chunks.isEmpty():
             asked = self.spark.createDataFrame([(0, self._vector(text))], "query_id long, embedding array<double>")
-            near = ann.search_with(backend, chunks.withColumnRenamed("id", "vec_id"), asked, vector.over_fetch(limit))
+            near = self.index(table).search(asked, vector.over_fetch(limit), probes=PROBES if kind == "lists" else None)
             chunks = chunks.join(near.select("id"), "id", "left_semi")
         return vector.search(chunks.select("id", "file_path", "language", "line_start", "line_end", "embedding"), text, self._vector(text), limit)
 

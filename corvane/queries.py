@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.prior import Prior
+from corvane.functions.shared import checkpoint_dir, settled
 from corvane.functions.vectors import hash_embedding
 from corvane.operators import ann, audit, chunking, evals, graph, memory, notes, sessions, sync, vector
+from corvane.operators.stored_index import StoredIndex
 from corvane.plans import tools
+from corvane.sources.folders import Folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -662,6 +666,37 @@ def vector_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build(e, centres), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), centres, 8, 10)
 
 
+def stored_index(spark: SparkSession, sf_dir: str, lists: int, parts: int) -> StoredIndex:
+    """A stored index of all vectors; what it is made of goes with the session's shared folder."""
+    e = table(spark, sf_dir, "embeddings")
+    return StoredIndex.build(e, f"{checkpoint_dir(spark).rstrip('/')}/corvane-index-{uuid.uuid4().hex[:12]}", lists, parts, ("label",))
+
+
+def _answers(index: StoredIndex, found: DataFrame) -> DataFrame:
+    """The answers, written; the index goes."""
+    found = settled(found)
+    Folder(index.spark, index.path).delete()
+    return found
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate search of the stored index: some lists, the best by codes in full; its recall is tested against exact search."""
+    index, e = stored_index(spark, sf_dir, 16, 24), table(spark, sf_dir, "embeddings")
+    return _answers(index, index.search(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 8, probes=12))
+
+
+@query(f"WITH v AS (SELECT vec_id, label, CASE WHEN label = 1 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE label <> 0), e AS (SELECT * FROM v WHERE label <> 2 AND vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS similarity FROM e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
+def vector_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search of the stored index by its codes' bounds, after an upsert and a deletion, with a filter and a list of allowed ids."""
+    index, e = stored_index(spark, sf_dir, 16, 24), table(spark, sf_dir, "embeddings")
+    index.upsert(e.filter("label = 1").withColumn("embedding", F.reverse("embedding")))
+    index.delete(e.filter("label = 0").select(F.col("vec_id").alias("id")))
+    allowed = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _answers(index, index.search(asked, 8, where="label <> 2", allowed=allowed, exact=True))
+
+
 @query("WITH m AS (SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: abs(x::DOUBLE)), 'max') / 127.0 AS scale, embedding FROM embeddings) SELECT vec_id, round(scale, 9) AS scale, CAST(list_sum(list_transform(embedding, lambda x: CAST(round(x::DOUBLE / scale) AS BIGINT))) AS BIGINT) AS total FROM m")
 def vector_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "embeddings").select("vec_id", ann.quantize(F.col("embedding")).alias("q"))

@@ -25,6 +25,10 @@ class Folder:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
 
+    def size(self, name: str = "") -> int:
+        """Bytes of all files below."""
+        return self._fs.getContentSummary(self._at(name)).getLength()
+
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
 

@@ -12,12 +12,12 @@ all little-endian. An Elias-Fano sequence of n numbers up to u keeps floor(log2(
 gaps in a bit vector, two bits a number or less; every 256th set bit has its place in a table of 4 bytes. So start(k) is a select: it
 reads one place, a few bytes of the vector and one low part, and there is no table of offsets.
 
-Writing: a document is encoded once. Ranges are found from the keys of documents alone (id, length, checksum, place), never from their ids' arrays,
-and the place is part of the key, so that an id that many rows share is split over ranges like any other. What a range holds is known
-before it is written, so heads count over all files. Tasks write files of `file_ids` ids; one longer document is a file of its own.
+Writing: ranges are found from the keys of documents (id, hash of the text, and a salt, so that rows that are alike are split over ranges
+like others). A document is encoded once, dealt to its range, compressed, and kept there in order with its number, so what stands before a
+range is known when files are written, and heads count over all of them. Tasks write files of `file_ids` ids; one longer document is a file of its own.
 
 Results for edge cases: a null or empty text is the end id alone. Rows without an id come first; rows that share an id are ordered by
-length, then by checksum. Rows that repeat are written as often as they stand there. A text of any length is one document. An empty
+the hash of their texts. Rows that repeat are written as often as they stand there. A text of any length is one document. An empty
 table gives no files and an empty result. Other columns are not read, whatever their names. A file that is cut off is an error.
 """
 
@@ -30,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corvane.llm.common import Rows, Scratch, id_and_text, map_arrow, rows_of, small_batches
+from corvane.llm.common import Rows, Scratch, id_and_text, map_arrow, rows_of
 from corvane.llm.packed import MOST_PARTITIONS
 from corvane.llm.packing import WordTokenizer, encoded
 
@@ -46,8 +45,8 @@ _SEQUENCE = struct.Struct("<QQB")
 EVERY = 256
 #: Numbers whose low bits are packed at once, a multiple of 8.
 _CHUNK = 1 << 16
-#: Ids of a file, unless one document has more.
-FILE_IDS = 16_000_000
+#: Ids of a file, unless one document has more, and bytes of text for an id, about.
+FILE_IDS, ID_BYTES = 16_000_000, 3
 
 
 class EliasFano:
@@ -168,124 +167,137 @@ def token_file(doc_ids: list[int | None], lengths: list[int], ids: list[bytes],
     return b"".join([head, *ids, EliasFano.encode(ends), EliasFano.encode(above)])
 
 
-#: The order of documents in files: those without an id first. The last two part rows that are alike.
-ORDER = ["has_id", "doc_id", "n", "crc", "part", "local"]
-_TOKENS = "has_id int, doc_id long, n long, crc long, part int, local long, ids binary"
+#: The order of documents in files: those without an id first, those of one id by their texts' hashes. The last parts rows that are alike.
+ORDER = ["has_id", "doc_id", "text_hash", "salt"]
+SALTS = 1_024
 
 
-def _tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """ORDER and the packed ids of each document."""
-    schema = pa.schema([("has_id", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("part", pa.int32()), ("local", pa.int64()), ("ids", pa.binary())])
-    end = struct.pack("<I", end_id)
+def _width(model: WordTokenizer) -> int:
+    return 2 if model.size <= 1 << 16 else 4
+
+
+def _bounds(keys: DataFrame, n: int) -> list[tuple]:
+    """The least key of each of about n ranges of ORDER, but the first's. At most MOST_PARTITIONS rows come to the driver."""
+    salted = keys.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    ranges = salted.repartitionByRange(n, *ORDER).groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct(ORDER)).alias("least"))
+    return [tuple(r["least"]) for r in ranges.orderBy("range").collect()][1:]
+
+
+def _numbered(dealt: DataFrame) -> DataFrame:
+    """range, document, first, has_id, doc_id, n, ids of sorted ranges; document and first id count from the range's begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, document, first = None, 0, 0
+        for b in batches:
+            ranges, n = b.column(0).to_numpy(), b.column(3).to_numpy()
+            documents, firsts = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            for at, end in zip(*(lambda e: (e[:-1], e[1:]))(np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])).tolist()), strict=True):
+                if ranges[at] != now:
+                    now, document, first = ranges[at], 0, 0
+                documents[at:end] = document + np.arange(end - at)
+                firsts[at:end] = first + np.cumsum(n[at:end]) - n[at:end]
+                document, first = document + end - at, first + int(n[at:end].sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(documents), pa.array(firsts), *b.columns[1:]], names=["range", "document", "first", "has_id", "doc_id", "n", "ids"])
+
+    return dealt.select("range", "has_id", "doc_id", "n", "ids").transform(map_arrow, run, "range int, document long, first long, has_id int, doc_id long, n long, ids binary")
+
+
+def _tokens(docs: DataFrame, bounds: list[tuple], tokenizer: str, end_id: int) -> DataFrame:
+    """range, ORDER, n and the compressed ids of each document."""
+    schema = pa.schema([("range", pa.int32()), ("has_id", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("salt", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
+    shared, end = docs.sparkSession.sparkContext.broadcast(bounds), struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, local, held, out = WordTokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0, Rows(schema, 5_000)
-        kind = f"<u{_width(model)}"
+        model, local, held, out, squeeze = WordTokenizer(tokenizer), 0, 0, Rows(schema, 5_000), zstandard.ZstdCompressor(level=1)
+        kind, least = f"<u{_width(model)}", shared.value
         for batch in batches:
-            for i, ids in encoded(batch, model):
-                ids += end
-                own = np.frombuffer(ids, "<u4").astype(kind).tobytes()
-                out.add(int(i is not None), i or 0, len(ids) // 4, zlib.crc32(ids), part, local, own)
+            texts = pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "text"])
+            for (i, ids), h in zip(encoded(texts, model), batch.column(2).to_pylist(), strict=True):
+                key = int(i is not None), i or 0, h, local % SALTS
+                own = squeeze.compress(np.frombuffer(ids + end, "<u4").astype(kind).tobytes())
+                out.add(bisect_right(least, key), *key, len(ids) // 4 + 1, own)
                 local, held = local + 1, held + len(own)
                 if out.full or held > 4 << 20:
                     yield out.take()
                     held = 0
         yield out.take()
 
-    return id_and_text(docs, id_col, text_col).transform(map_arrow, run, _TOKENS)
-
-
-def _width(model: WordTokenizer) -> int:
-    return 2 if model.size <= 1 << 16 else 4
-
-
-def _ranges(tokens: DataFrame, n: int, scratch: Scratch) -> tuple[list[tuple], list[int], list[int]]:
-    """The least key of each of about n ranges of ORDER, but the first's, and the documents and ids before each. At most MOST_PARTITIONS rows come to the driver."""
-    keys = scratch.keep(tokens.select(ORDER).repartitionByRange(n, *ORDER).withColumn("range", F.spark_partition_id()), "keys")
-    rows = keys.groupBy("range").agg(F.min(F.struct(ORDER)).alias("least"), F.count("*").alias("docs"), F.sum("n").alias("ids")).orderBy("range").collect()
-    scratch.drop(keys)
-    before = lambda c: [0, *np.cumsum([r[c] for r in rows], dtype=np.int64).tolist()[:-1]]
-    return [tuple(r["least"]) for r in rows[1:]], before("docs"), before("ids")
+    return docs.transform(map_arrow, run, "range int, has_id int, doc_id long, text_hash long, salt int, n long, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> None:
-    """Writes the documents' files into the folder path; their order is that of first_document in their heads."""
+    """Writes the documents' files into the folder path; their order is that of first_document in their heads. docs are read twice, once for their keys."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "tokens")
-    tokens = scratch.keep(_tokens(docs, id_col, text_col, tokenizer, end_id), "tokens")
-    total = tokens.agg(F.sum("n")).first()[0]
-    if total is None:
-        spark.createDataFrame([], "value string").write.text(path)
-        return
-    n = min(MOST_PARTITIONS, max(-(-total // file_ids), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = spark.sparkContext.broadcast(_ranges(tokens, n, scratch))
-
-    @F.arrow_udf(T.IntegerType())
-    def range_of(*key: pa.Array) -> pa.Array:
-        least = found.value[0]
-        return pa.array([bisect_right(least, k) for k in zip(*(c.to_pylist() for c in key), strict=True)], pa.int32())
+    own = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64(F.coalesce("_text", F.lit(b""))))
+    keys = scratch.keep(own.select(F.col("_id").isNotNull().cast("int").alias("has_id"), F.coalesce("_id", F.lit(0)).alias("doc_id"), "text_hash", F.octet_length("_text").alias("bytes")), "keys")
+    volume = keys.agg(F.sum("bytes")).first()[0] or 0
+    n = min(MOST_PARTITIONS, max(volume // (ID_BYTES * file_ids) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    bounds = _bounds(keys.drop("bytes"), n)
+    dealt = _tokens(own, bounds, tokenizer, end_id).repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", *ORDER)
+    tokens = scratch.keep(_numbered(dealt), "tokens", "none")
+    before = np.zeros((len(bounds) + 2, 2), np.int64)
+    for r in tokens.groupBy("range").agg(F.count("*").alias("docs"), F.sum("n").alias("ids")).collect():  # n rows
+        before[r["range"] + 1] = r["docs"], r["ids"]
+    found = spark.sparkContext.broadcast(np.cumsum(before, axis=0))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordTokenizer(tokenizer)
-        width, now, held = _width(model), None, 0
+        """A range's rows come in their order; where others come between, as in a task of several parts of ranges, a file ends."""
+        width, held, follows, expand = _width(WordTokenizer(tokenizer)), 0, None, zstandard.ZstdDecompressor()
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         ids: list[bytes] = []
-        document = first = 0
+        start = (0, 0)
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal document, first, held
             if doc_ids:
-                yield pa.RecordBatch.from_arrays([pa.array([token_file(doc_ids, lengths, ids, width, document, first)], pa.binary())], names=["value"])
-            document, first, held = document + len(doc_ids), first + held, 0
+                yield pa.RecordBatch.from_arrays([pa.array([token_file(doc_ids, lengths, ids, width, *start)], pa.binary())], names=["value"])
             for x in (doc_ids, lengths, ids):
                 x.clear()
 
         for batch in batches:
-            for k, has_id, doc_id, n, own in rows_of(batch):
-                if k != now or doc_ids and held + n > file_ids:
+            for k, document, first, has_id, doc_id, n, own in rows_of(batch):
+                if (k, document) != follows or held + n > file_ids:
                     yield from close()
-                    if k != now:
-                        now, document, first = k, found.value[1][k], found.value[2][k]
+                    start, held = tuple((found.value[k] + (document, first)).tolist()), 0
                 doc_ids.append(doc_id if has_id else None)
                 lengths.append(n)
-                ids.append(own)
-                held += n
+                ids.append(expand.decompress(own))
+                held, follows = held + n, (k, document + 1)
         yield from close()
 
-    small_batches(spark)
-    dealt = tokens.withColumn("range", range_of(*ORDER)).repartitionById(len(found.value[1]), "range").sortWithinPartitions("range", *ORDER)
-    files = dealt.select("range", "has_id", "doc_id", "n", "ids").transform(map_arrow, write, "value binary")
+    files = tokens.transform(map_arrow, write, "value binary")
     files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
-    scratch.drop(tokens)
+    scratch.drop(keys, tokens)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document of a folder's files; with_ids adds its ids. A task holds a file at a time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(schema)
         for batch in batches:
             for content in batch.column(0):
-                yield from _documents(TokenFile(content.as_buffer()), out, with_ids)
-        yield out.take()
+                yield from _documents(TokenFile(content.as_buffer()), with_ids)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.transform(map_arrow, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def _documents(file: TokenFile, out: Rows, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _documents(file: TokenFile, with_ids: bool) -> Iterator[pa.RecordBatch]:
     ends = file.ends.values().astype(np.int64)
-    above = [None] * file.without_id + [file.least + x for x in file.doc_ids.values().tolist()]
-    held = 0
-    for doc_id, start, end in zip(above, [0, *ends.tolist()], ends.tolist(), strict=False):
-        own = file.ids[start:end].astype("<u4")
-        out.add(doc_id, file.first_id + start, end - start, zlib.crc32(own), *[own.astype(np.int32)] * with_ids)
-        held += (end - start) * with_ids
-        if out.full or held > 1 << 20:
-            yield out.take()
-            held = 0
+    starts = np.append(0, ends[:-1])
+    above = np.concatenate([np.zeros(file.without_id, np.uint64), file.doc_ids.values()]).astype(np.int64) + file.least
+    doc_ids = pa.array(above, mask=np.arange(file.n) < file.without_id)
+    for at in range(0, file.n, 1_000 if with_ids else 50_000):
+        a, b = starts[at : at + 50_000], ends[at : at + 50_000]
+        if with_ids:
+            a, b = a[:1_000], b[:1_000]
+        whole = file.ids[a[0] : b[-1]].astype("<u4")
+        crc = [zlib.crc32(whole[i:j]) for i, j in zip((a - a[0]).tolist(), (b - a[0]).tolist(), strict=True)]
+        columns = [doc_ids.slice(at, len(a)), pa.array(a + file.first_id), pa.array(b - a), pa.array(crc, pa.int64())]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(a, b[-1]) - a[0], pa.int32()), pa.array(whole.astype(np.int32))))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

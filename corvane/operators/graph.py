@@ -121,6 +121,36 @@ def _two_ways(step: DataFrame, known: Column | None = None) -> DataFrame:
     return ends.select("start", "id", F.explode(F.when((F.col("n") == 0) & (F.col("a") != F.col("b")), F.array("a", "b")).otherwise(F.array("a"))).alias("first"))
 
 
+def nearest_nodes(edges: DataFrame, start: DataFrame, depth: int = 1, limit: int = 50) -> DataFrame:
+    """start, id, depth: of each start the first `limit` other nodes by depth, then id, within `depth` edges in either direction.
+
+    For many starts, all nodes among them. A start goes on from the nodes of its last step until it has `limit`. It has seen fewer then, so of a
+    node's neighbours the first 2 * limit + 1 are enough: they hold `limit` new ones, or are all. So a hub costs its starts that many rows and
+    not its edges, and a step makes limit * (2 * limit + 1) rows for a start at most.
+    """
+    ways = _both_ways(edges).filter("at != to").select("at", "to").distinct()
+    near = settled(_first(ways, "at", "to", 2 * limit + 1).drop("_n"))
+    seen = settled(start.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
+    front = seen
+    for d in range(1, max(1, min(MAX_DEPTH, depth)) + 1):
+        step = front.select("start", F.col("id").alias("at")).join(near, "at").select("start", F.col("to").alias("id")).distinct()
+        new = _first(step.join(seen, ["start", "id"], "left_anti"), "start", "id", limit)
+        have = seen.groupBy("start").agg((F.count("*") - 1).alias("have"))
+        kept = settled(new.join(have, "start").filter(F.col("_n") + F.col("have") <= limit).select("start", "id", F.lit(d).alias("depth")))
+        seen = settled(seen.unionAll(kept))
+        if d < depth:
+            more = seen.groupBy("start").agg(F.count("*").alias("n")).filter(F.col("n") <= limit)
+            front = settled(kept.join(more.select("start"), "start", "left_semi"))
+            if front.isEmpty():
+                break
+    return seen.filter("depth > 0")
+
+
+def _first(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each key, with their number _n; tasks leave the others out before the shuffle."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_n") <= n)
+
+
 def context(edges: DataFrame, entity: DataFrame, undirected: bool = False) -> DataFrame:
     """direction, id, relationship at one entity."""
     ids = entity.select(F.col("id").alias("_e")).distinct()

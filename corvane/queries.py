@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import tables
 from corvane.functions import text as tx
 from corvane.functions.prior import Prior
 from corvane.functions.shared import checkpoint_dir, settled
@@ -221,6 +222,46 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ordinal", "line_start", "line_end", F.length("text").alias("n_chars"))
 
 
+@query(_WINDOWS)
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, c.ordinal, c.line_start, c.line_end, length(c.chunk) AS n_chars FROM {docs} d, LATERAL chunks(d.text, 'text') c", docs=table(spark, sf_dir, "documents"))
+
+
+@query(_WINDOWS.replace("doc_id", "conv_id").replace("FROM documents WHERE", "FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id) WHERE"))
+def sql_conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations cut by a table function with a partition for each; its schema follows from the table that it is given."""
+    tables.register(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("said"))
+    return spark.sql("SELECT conv_id, ordinal, line_start, line_end, length(chunk) AS n_chars FROM line_chunks(TABLE({turns}) PARTITION BY conv_id ORDER BY turn, text => 'said')", turns=turns)
+
+
+# Lines that begin with T, A or E become headings; their units are cut where a line more would pass 8,000 characters, found by recursion.
+_HEADINGS = """
+WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\\n)([TAE])', '\\1# \\2', 'g'), chr(10)) AS l FROM documents WHERE text <> ''),
+h AS (SELECT doc_id, line, i, regexp_matches(line, '^# ') OR i = 1 AS starts, regexp_matches(line, '^# ') AS heads FROM (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS i FROM d)),
+u AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS unit, count(*) FILTER (heads) OVER (PARTITION BY doc_id) AS n_heads FROM h),
+y AS (SELECT *, length(line) + 1 AS w, sum(length(line) + 1) OVER (PARTITION BY doc_id, unit) - 1 AS whole, sum(length(line) + 1) OVER (PARTITION BY doc_id, unit ORDER BY i) AS c,
+  max(i) OVER (PARTITION BY doc_id, unit) AS m, min(i) OVER (PARTITION BY doc_id, unit) AS f, first_value(line) OVER (PARTITION BY doc_id, unit ORDER BY i) AS top, first_value(heads) OVER (PARTITION BY doc_id, unit ORDER BY i) AS headed FROM u),
+e AS (SELECT a.doc_id, a.unit, a.i AS first, max(b.i) AS last, any_value(a.m) AS m FROM y a JOIN y b ON b.doc_id = a.doc_id AND b.unit = a.unit AND (b.i = a.i OR (b.i > a.i AND b.c - a.c + a.w <= 8000)) WHERE a.whole > 8000 GROUP BY a.doc_id, a.unit, a.i),
+w AS (SELECT doc_id, unit, 1 AS part, first, last, m FROM e WHERE (doc_id, unit, first) IN (SELECT doc_id, unit, f FROM y)
+  UNION ALL SELECT e.doc_id, e.unit, w.part + 1, e.first, e.last, e.m FROM w JOIN e ON e.doc_id = w.doc_id AND e.unit = w.unit AND e.first = w.last + 1 WHERE w.last < w.m),
+t AS (SELECT DISTINCT doc_id, unit, f, m, whole, n_heads, CASE WHEN headed THEN regexp_replace(regexp_replace(trim(substr(top, 2), ' ' || chr(9)), '#+$', ''), '\\s+$', '') ELSE '<preamble>' END AS name,
+  CASE WHEN headed THEN 'h1' WHEN n_heads = 0 THEN 'document' ELSE 'preamble' END AS kind FROM y)
+SELECT t.doc_id, name || CASE WHEN whole > 8000 THEN '#' || w.part ELSE '' END AS name, kind, CAST(coalesce(w.first, f) AS INTEGER) AS line_start, CAST(coalesce(w.last, t.m) AS INTEGER) AS line_end
+FROM t LEFT JOIN w ON w.doc_id = t.doc_id AND w.unit = t.unit
+"""
+
+
+@query(_HEADINGS)
+def chunk_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' own texts as markdown, cut at headings and, where a unit is long, between lines."""
+    text = F.regexp_replace("text", "(^|\\n)([TAE])", "$1# $2")
+    files = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit("markdown").alias("lang"))
+    return chunking.chunk(files, "doc_id", "text", "lang").select(F.col("id").alias("doc_id"), "name", "kind", "line_start", "line_end")
+
+
 @query()
 def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown, script and configuration chunkers over the pages' text, by page."""
@@ -433,6 +474,13 @@ def graph_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(nodes, edges, asked).select("section", "id", "rank", "depth")
 
 
+@query("WITH e AS (SELECT DISTINCT a, b FROM (SELECT 'region:' || n_regionkey AS a, 'nation:' || n_nationkey AS b FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier)), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d AS (SELECT a AS start, b AS id, 1 AS depth FROM w UNION ALL SELECT x.a, y.b, 2 FROM w x JOIN w y ON y.a = x.b WHERE y.b <> x.a), m AS (SELECT start, id, min(depth) AS depth FROM d GROUP BY start, id), r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, id) AS n FROM m) SELECT start, id, CAST(depth AS INTEGER) AS depth FROM r WHERE n <= 5")
+def graph_nearest_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest nodes of every node."""
+    nodes, edges = star_graph(spark, sf_dir)
+    return graph.nearest_nodes(edges, nodes.select("id"), 2, 5)
+
+
 @query("SELECT 'nation:' || n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'even' END AS parity, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM nation")
 def graph_upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").withColumn("id", F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string"))).withColumn("label", F.lit("nation"))

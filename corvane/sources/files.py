@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tomllib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,21 +128,46 @@ def note_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fixtures(spark: SparkSession, root: str) -> DataFrame:
-    """Retrieval fixtures (YAML): id, category, query, expected. Examples and files without id or expected are left out."""
+    """Retrieval fixtures (YAML): id, category, query, expected. Examples and files without id or expected are left out; what else is left out says broken_fixtures()."""
+    return _fixtures(spark, root).filter("reason is null").select("id", "category", "query", "expected")
+
+
+def broken_fixtures(spark: SparkSession, root: str) -> DataFrame:
+    """path, reason of the files that are no fixtures."""
+    return _fixtures(spark, root).filter("reason is not null").select("path", "reason")
+
+
+def _fixtures(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each file but the examples, parsed where the files are read."""
+    names = ["path", "id", "category", "query", "expected", "reason"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(path, *_fixture(text)) for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=names)
+
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.yml").text(root, wholetext=True)
+    files = raw.select(below(root).alias("path"), "value").filter(~F.concat(F.lit("/"), "path").rlike("/_example|/example\\.yml$"))
+    return files.mapInArrow(parse, "path string, id string, category string, query string, expected array<string>, reason string")
+
+
+def _fixture(text: str) -> tuple:
+    """id, category, query, expected, and why they are none."""
     import yaml
 
-    rows = []
-    for r in spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.yml").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value").toLocalIterator():
-        if "/_example" in r["p"] or r["p"].endswith("/example.yml"):
-            continue
-        try:
-            d = yaml.safe_load(r["value"])
-        except yaml.YAMLError:
-            continue
-        if isinstance(d, dict) and d.get("id") and d.get("expected"):
-            want = d["expected"] if isinstance(d["expected"], list) else [d["expected"]]
-            rows.append((str(d["id"]), d.get("category"), d.get("query"), [str(x) for x in want]))
-    return spark.createDataFrame(rows, "id string, category string, query string, expected array<string>")
+    try:
+        d = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        return None, None, None, None, f"not YAML: {str(e).splitlines()[0]}"
+    if not isinstance(d, dict):
+        return None, None, None, None, "no mapping"
+    missing = [k for k in ("id", "expected") if not d.get(k)]
+    if missing:
+        return None, None, None, None, f"without {missing[0]}"
+    want = d["expected"] if isinstance(d["expected"], list) else [d["expected"]]
+    named = [None if d.get(k) is None else str(d[k]) for k in ("category", "query")]
+    return str(d["id"]), *named, [str(x) for x in want], None
 
 
 def merged_fixtures(primary: DataFrame, extra: DataFrame) -> DataFrame:

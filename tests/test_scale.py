@@ -51,6 +51,25 @@ def test_neighbors_stop_at_the_limit(spark):
     assert len(few) == len(graph.paths(edges, spark.createDataFrame([("n0",)], "id string"), 2).collect())
 
 
+def test_nearest_of_many_starts(spark):
+    r = random.Random(8)
+    pairs = [(r.randrange(30), r.randrange(30)) for _ in range(40)] + [(0, i) for i in range(30, 70)]
+    edges = spark.createDataFrame([(i, f"n{a:02d}", f"n{b:02d}", "R") for i, (a, b) in enumerate(pairs)], "edge_id long, src_id string, dst_id string, relationship string")
+    names = sorted({f"n{x:02d}" for p in pairs for x in p} | {"none"})
+    beside = {n: {f"n{y:02d}" for a, b in pairs for x, y in ((a, b), (b, a)) if f"n{x:02d}" == n} for n in names}
+    starts = spark.createDataFrame([(n,) for n in names], "id string")
+    for depth, limit in ((1, 3), (2, 4), (3, 7), (4, 200)):
+        want = set()
+        for s in names:
+            found, front = {s: 0}, {s}
+            for d in range(1, depth + 1):
+                front = {y for x in front for y in beside[x]} - set(found)
+                found |= dict.fromkeys(front, d)
+            want |= {(s, n, d) for d, n in sorted((d, n) for n, d in found.items() if d)[:limit]}
+        got = [tuple(x) for x in graph.nearest_nodes(edges, starts, depth, limit).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("group", [None, "g"])
 def test_many_queries_equal_plain(spark, group, monkeypatch):
     monkeypatch.setattr(vector, "QUERY_BYTES", 2_000)

@@ -237,9 +237,9 @@ def sql_conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT conv_id, ordinal, line_start, line_end, length(chunk) AS n_chars FROM line_chunks(TABLE({turns}) PARTITION BY conv_id ORDER BY turn, text => 'said')", turns=turns)
 
 
-# Lines that begin with T, A or E become headings; their units are cut where a line more would pass 8,000 characters, found by recursion.
+# Lines that begin with L, V or W become headings; their units are cut where a line more would pass 8,000 characters, found by recursion.
 _HEADINGS = """
-WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\\n)([TAE])', '\\1# \\2', 'g'), chr(10)) AS l FROM documents WHERE text <> ''),
+WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\\n)([LVW])', '\\1# \\2', 'g'), chr(10)) AS l FROM documents WHERE text <> ''),
 h AS (SELECT doc_id, line, i, regexp_matches(line, '^# ') OR i = 1 AS starts, regexp_matches(line, '^# ') AS heads FROM (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS i FROM d)),
 u AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS unit, count(*) FILTER (heads) OVER (PARTITION BY doc_id) AS n_heads FROM h),
 y AS (SELECT *, length(line) + 1 AS w, sum(length(line) + 1) OVER (PARTITION BY doc_id, unit) - 1 AS whole, sum(length(line) + 1) OVER (PARTITION BY doc_id, unit ORDER BY i) AS c,
@@ -257,7 +257,7 @@ FROM t LEFT JOIN w ON w.doc_id = t.doc_id AND w.unit = t.unit
 @query(_HEADINGS)
 def chunk_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' own texts as markdown, cut at headings and, where a unit is long, between lines."""
-    text = F.regexp_replace("text", "(^|\\n)([TAE])", "$1# $2")
+    text = F.regexp_replace("text", "(^|\\n)([LVW])", "$1# $2")
     files = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit("markdown").alias("lang"))
     return chunking.chunk(files, "doc_id", "text", "lang").select(F.col("id").alias("doc_id"), "name", "kind", "line_start", "line_end")
 

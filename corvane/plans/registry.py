@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from corvane.functions import tables
 
 
 class Registry:
@@ -47,6 +49,10 @@ class Registry:
         """The first chunker of each language."""
         return {name: f for name, f in reversed(self.chunkers)}
 
+    def register_tables(self, spark: SparkSession) -> None:
+        """Makes the table functions of SQL know these chunkers."""
+        tables.register(spark, self.by_language())
+
     def project(self, files: DataFrame) -> DataFrame | None:
         return self._union([f(files) for f in self.projectors])
 

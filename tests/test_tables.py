@@ -4,6 +4,7 @@ import pytest
 
 from corvane.functions import tables
 from corvane.operators.chunking import Chunk, chunk_python
+from corvane.plans.registry import Registry
 from corvane.sources import files
 
 PYTHON = "import os\n\n@cache\ndef f(a):\n    return a\n\n\nclass C:\n    x = 1\n"
@@ -40,7 +41,9 @@ def test_partitions_in_order(spark, source):
 
 
 def test_own_chunkers(spark, source):
-    tables.register(spark, {"none": lambda text: [Chunk("mine", "whole", 1, 1, text)]})
+    registry = Registry()
+    registry.chunker("none", lambda text: [Chunk("mine", "whole", 1, 1, text)])
+    registry.register_tables(spark)
     got = spark.sql("SELECT c.name FROM (SELECT 'x' AS t) f, LATERAL chunks(f.t, 'none') c").collect()
     assert [r.name for r in got] == ["mine"]
 

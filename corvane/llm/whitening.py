@@ -47,7 +47,7 @@ def covariance(kept: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray,
     sums = [spread[f"s{i}"] for i in range(dim)]
     mean = [(2 * s + n) // (2 * n) for s in sums]
     widest = max(max(spread[f"b{i}"] - m, m - spread[f"a{i}"]) for i, m in enumerate(mean))
-    centred = kept.select(*((F.get("x", F.lit(i)) - F.lit(m)).alias(f"y{i}") for i, m in enumerate(mean)))
+    centred = kept.select(*(F.coalesce(F.get("x", F.lit(i)) - F.lit(m), F.lit(0)).alias(f"y{i}") for i, m in enumerate(mean)))  # never null, so sums need not look
     row = centred.selectExpr(*upper_triangle(dim, n * widest * widest < 1 << 63)).first()
     v = np.zeros((dim, dim))
     v[np.triu_indices(dim)] = [p / n for p in row]  # whole numbers divide with one rounding

@@ -4,9 +4,11 @@ removed, and a document that loses too much of its text is rejected.
 Rules of a line that has a word (in words, symbols are `[#*$%&|<>]`, letters are A-Z and a-z):
 
 * punctuation: over 30 symbols to 100 words, or over 20 words to 100 that hold `!!` or `??`, or eight words at most and no
-  final mark, one of FINAL, at the end
+  final mark, one of FINAL, at the end, where the line is no list item (a dash, star, dot or number before a space) and no code
+  (four spaces or a tab before it, or ` = ` inside)
 * shouting: three words or more, and more capital than small letters
-* navigation: three or more of ` | `, ` > `, ` » ` separators, or eight words at most that begin with a menu word
+* navigation: three or more of ` | `, ` > `, ` » ` separators, or eight words at most that begin with a menu word, as
+  an item of a list too
 * boilerplate: holds one of BOILERPLATE, or equals an earlier line of the document (of three words or more)
 
 Menu words and boilerplate are those of English, French, German and Spanish pages; a corpus of other languages brings its own by
@@ -21,6 +23,7 @@ and drops rows whose text is null or empty.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -36,10 +39,10 @@ from corvane.llm.common import Rows, hash_words, id_and_text, map_arrow, rows_of
 SYMBOLS = "#*$%&|<>"
 # Phrases of boilerplate, and words that begin a menu line, of English, French, German and Spanish pages.
 BOILERPLATE = (
-    *("all rights reserved", "terms of use", "privacy policy", "cookie policy", "use cookies", "lorem ipsum", "enable javascript", "javascript is disabled"),
-    *("tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "activer javascript"),
-    *("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "javascript aktivieren"),
-    *("todos los derechos reservados", "aviso legal", "política de privacidad", "términos de uso", "condiciones de uso", "utiliza cookies", "activar javascript"),
+    *("all rights reserved", "terms of use", "privacy policy", "cookie policy", "use cookies", "lorem ipsum", "enable javascript", "javascript is disabled", "follow us on", "copyright ©", "copyright 19", "copyright 20"),
+    *("tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "activer javascript", "suivez-nous sur"),
+    *("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "javascript aktivieren", "folgen sie uns"),
+    *("todos los derechos reservados", "aviso legal", "política de privacidad", "términos de uso", "condiciones de uso", "utiliza cookies", "activar javascript", "síguenos en"),
 )
 MENU = (
     *("home", "login", "log in", "sign in", "sign up", "register", "search", "menu", "skip to", "click here", "read more", "share this", "next page", "previous page", "back to top"),
@@ -49,10 +52,11 @@ MENU = (
 )
 FINAL = (".", "!", "?", "…", ":", ";", '"', "'", "»", "”", "’", ")", "]", "}", "。", "！", "？")
 SEPARATORS = (b" | ", b" > ", " » ".encode())
-_CAPS = re.compile(rb"[A-Z]")
-_SMALL = re.compile(rb"[a-z]")
+_CAPS, _SMALL = string.ascii_uppercase.encode(), string.ascii_lowercase.encode()
 _SHOUT = re.compile(rb"!!|\?\?")
-_SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]".encode())
+#: A list item, or an indented line.
+_ITEM = "(?:[-*+]|•|[0-9]{1,3}[.)])[ \\t]+"
+_SPARED = re.compile(f"[ \\t]*{_ITEM}[^ \\t\\r]|(?: {{4}}|\\t)".encode())
 _FINAL = tuple(x.encode() for x in FINAL)
 _SPACES = b" \t\n\v\f\r"
 
@@ -71,7 +75,7 @@ class Limits:
     def patterns(self) -> tuple[re.Pattern, re.Pattern]:
         """Of boilerplate anywhere, and of a menu word at the start that no letter follows; for lines with small letters a-z."""
         any_of = lambda words: "|".join("".join(f"(?:{c}|{c.upper()})" if c > "\x7f" else re.escape(c) for c in w) for w in words) or "(?!)"
-        return re.compile(any_of(self.boilerplate).encode()), re.compile(f"(?:{any_of(self.menu)})(?![a-z\x00])".encode().replace(b"\x00", b"\x80-\xff"))
+        return re.compile(any_of(self.boilerplate).encode()), re.compile(f"(?:{_ITEM})?(?:{any_of(self.menu)})(?![a-z\x00])".encode().replace(b"\x00", b"\x80-\xff"))
 
 
 def repeat_words(words: list[bytes], n: int = 5) -> int:
@@ -93,18 +97,23 @@ def repeat_words(words: list[bytes], n: int = 5) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def line_fails(line: bytes, n_words: int, seen: bool, limits: Limits) -> bool:
-    if len(_SYMBOL.findall(line)) * 100 > 30 * n_words or (b"!!" in line or b"??" in line) and 100 * sum(1 for w in line.split() if _SHOUT.search(w)) > 20 * n_words:
+def _count(line: bytes, those: bytes) -> int:
+    return len(line) - len(line.translate(None, those))
+
+
+def line_fails(line: bytes, n_words: int, seen: bool, limits: Limits, phrases: bool = True) -> bool:
+    """phrases: whether the line's text holds boilerplate anywhere."""
+    if _count(line, SYMBOLS.encode()) * 100 > 30 * n_words or (b"!!" in line or b"??" in line) and 100 * sum(1 for w in line.split() if _SHOUT.search(w)) > 20 * n_words:
         return True
-    if n_words <= 8 and not line.rstrip(_SPACES).endswith(_FINAL):
+    if n_words <= 8 and not line.rstrip(_SPACES).endswith(_FINAL) and not _SPARED.match(line) and b" = " not in line:
         return True
-    if n_words >= 3 and (seen or len(_CAPS.findall(line)) > len(_SMALL.findall(line))):
+    if n_words >= 3 and (seen or _count(line, _CAPS) > _count(line, _SMALL)):
         return True
     low = line.lower()
     boilerplate, menu = limits.patterns
     if sum(low.count(s) for s in SEPARATORS) >= 3 or n_words <= 8 and menu.match(low.lstrip(_SPACES)):
         return True
-    return bool(boilerplate.search(low))
+    return phrases and bool(boilerplate.search(low))
 
 
 def judge(text: bytes | None, limits: Limits) -> tuple:
@@ -114,7 +123,8 @@ def judge(text: bytes | None, limits: Limits) -> tuple:
     n, chars = len(words), text.decode("utf-8", "replace")
     word_chars = len(chars) - sum(map(chars.count, " \t\n\v\f\r"))
     seen: set[bytes] = set()
-    left, dup, lost = [], 0, 0
+    left, dup, lost, low = [], 0, 0, chars.lower()
+    phrases = any(p in low for p in limits.boilerplate)  # one look for all lines
     for line in text.split(b"\n"):
         if not (k := len(line.split())):
             left.append(line)
@@ -122,7 +132,7 @@ def judge(text: bytes | None, limits: Limits) -> tuple:
         old = line in seen
         dup += old
         seen.add(line)
-        if line_fails(line, k, old, limits):
+        if line_fails(line, k, old, limits, phrases):
             lost += k
         else:
             left.append(line)
@@ -188,9 +198,9 @@ bad AS (SELECT doc_id, k, seen,
     OR 100 * len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '!!|\?\?'))) > 20 * k
     OR (k >= 3 AND (seen OR len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]'))))
     OR len(regexp_extract_all(low, ' \| ')) + len(regexp_extract_all(low, ' > ')) + len(regexp_extract_all(low, ' » ')) >= 3
-    OR (k <= 8 AND NOT regexp_matches(line, '[.!?…:;"''»”’)\]}。！？][\x20\x09-\x0D]*$'))
-    OR (k <= 8 AND regexp_matches(low, '^[\x20\x09-\x0D]*(?:home|login|log in|sign in|sign up|register|search|menu|skip to|click here|read more|share this|next page|previous page|back to top|accueil|connexion|se connecter|plan du site|lire la suite|cliquez ici|haut de page|page suivante|page précédente|startseite|anmelden|impressum|datenschutz|menü|weiterlesen|mehr lesen|hier klicken|nach oben|nächste seite|vorherige seite|zum inhalt|inicio|iniciar sesión|leer más|haga clic aquí|volver arriba|página siguiente|página anterior|ir al contenido)(?:[^a-z\x{80}-\x{10FFFF}]|$)'))
-    OR regexp_matches(low, 'all rights reserved|terms of use|privacy policy|cookie policy|use cookies|lorem ipsum|enable javascript|javascript is disabled|tous droits réservés|mentions légales|politique de confidentialité|conditions d''utilisation|utilise des cookies|activer javascript|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|verwendet cookies|javascript aktivieren|todos los derechos reservados|aviso legal|política de privacidad|términos de uso|condiciones de uso|utiliza cookies|activar javascript') AS fails
+    OR (k <= 8 AND NOT regexp_matches(line, '[.!?…:;"''»”’)\]}。！？][\x20\x09-\x0D]*$') AND NOT regexp_matches(line, '^(?:[ \t]*(?:[-*+]|•|[0-9]{1,3}[.)])[ \t]+[^ \t\r]|(?: {4}|\t))') AND NOT contains(line, ' = '))
+    OR (k <= 8 AND regexp_matches(low, '^[\x20\x09-\x0D]*(?:(?:[-*+]|•|[0-9]{1,3}[.)])[ \t]+)?(?:home|login|log in|sign in|sign up|register|search|menu|skip to|click here|read more|share this|next page|previous page|back to top|accueil|connexion|se connecter|plan du site|lire la suite|cliquez ici|haut de page|page suivante|page précédente|startseite|anmelden|impressum|datenschutz|menü|weiterlesen|mehr lesen|hier klicken|nach oben|nächste seite|vorherige seite|zum inhalt|inicio|iniciar sesión|leer más|haga clic aquí|volver arriba|página siguiente|página anterior|ir al contenido)(?:[^a-z\x{80}-\x{10FFFF}]|$)'))
+    OR regexp_matches(low, 'all rights reserved|terms of use|privacy policy|cookie policy|use cookies|lorem ipsum|enable javascript|javascript is disabled|follow us on|copyright ©|copyright 19|copyright 20|tous droits réservés|mentions légales|politique de confidentialité|conditions d''utilisation|utilise des cookies|activer javascript|suivez-nous sur|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|verwendet cookies|javascript aktivieren|folgen sie uns|todos los derechos reservados|aviso legal|política de privacidad|términos de uso|condiciones de uso|utiliza cookies|activar javascript|síguenos en') AS fails
   FROM ln2),
 l AS (SELECT doc_id, sum(CASE WHEN seen THEN 1 ELSE 0 END) AS dup, sum(CASE WHEN fails THEN k ELSE 0 END) AS lost FROM bad GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,

@@ -1,14 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters, digits and underscores of the lower-cased text. A test item and a document are compared when
-they share a seed, a run of `min_match` words. Running Karp-Rabin then tiles the pair: beginning with long search lengths,
+they share a seed, a run of `min_match` words, and the item's words inside such seeds reach the threshold; tiles cover no others. Running Karp-Rabin then tiles the pair: beginning with long search lengths,
 it finds all matches of unmarked words, marks the longest on both sides, and goes on with the next longest, what a tile has left
 of a match waiting at its new length; then it halves the search length, down to `min_match`. So each tile is the longest free
 match there is, as in plain greedy tiling. Tiles may stand in any order, so reordered passages count. A document holds an item
 when the tiles cover at least `threshold` of the item's words. An item of fewer than `min_match` words is one seed of its own length.
 
 The benchmark is the stated query set: its seeds go to the tasks in blocks of at most `block_words` words, one pass over
-the documents for each block, so what is broadcast has a fixed bound however long the benchmark is.
+the documents for each block, so what is broadcast has a fixed bound however long the benchmark is. Where there are several blocks,
+contamination() writes what each finds before the next is sent.
 
 Results for edge cases: null and empty texts, and items without words, hold nothing. Texts of any length are read whole. Equal
 items are reported each under its own item_id; an item id that repeats with equal text is reported once. Null ids stay null.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import Rows, id_and_text, map_arrow, rows_of, small_batches, trim, window_hashes
+from corvane.llm.common import Rows, Scratch, id_and_text, map_arrow, rows_of, small_batches, trim, window_hashes
 
 _WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, coverage double"
@@ -109,21 +110,36 @@ class Block:
         self.ids: dict[str, int] = {}
         self.items = [(k, np.array([self.ids.setdefault(w, len(self.ids)) for w in ws], np.int64)) for k, ws in items]
         self.min_match = min_match
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[int]]]] = {}
-        by_size: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        #: By size of seeds: their hashes, bits that most others lack, where each one's places begin, and the places among all items' words.
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.begins = np.cumsum([0] + [len(ws) for _, ws in self.items])
+        by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for n, (_, ws) in enumerate(self.items):
             size = min(min_match, len(ws))
-            for h in np.unique(window_hashes(ws.astype(np.uint64), size)).tolist():
-                by_size[size][h].append(n)
+            h = window_hashes(ws.astype(np.uint64), size)
+            by_size[size].append((h, self.begins[n] + np.arange(len(h))))
         for size, seeds in by_size.items():
-            keys = np.array(sorted(seeds), np.uint64)
+            h, at = (np.concatenate(x) for x in zip(*seeds, strict=True))
+            order = np.lexsort((at, h))
+            keys, first = np.unique(h[order], return_index=True)
             maybe = np.zeros(1 << _BITS >> 3, np.uint8)
             low = (keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)
             np.bitwise_or.at(maybe, low >> 3, (1 << (low & 7)).astype(np.uint8))
-            self.sizes[size] = keys, maybe, {k: seeds[k] for k in seeds}
-
-    def holds(self, text: bytes | None) -> Iterator[tuple]:
-        """(item id, words, covered words, tiles) of each item that shares a seed with the text."""
+            self.sizes[size] = keys, maybe, np.append(first, len(h)), at[order]
+
+    def _within(self, size: int, hit: np.ndarray, threshold: float) -> np.ndarray:
+        """Items of which words enough stand in these seeds. Tiles cover no others, so the rest need not be tiled."""
+        _, _, first, places = self.sizes[size]
+        n = first[hit + 1] - first[hit]
+        at = np.sort(places[np.repeat(first[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        words_ = np.minimum(np.diff(at, append=at[-1] + size), size)  # a seed ends with its item at the latest
+        item = np.searchsorted(self.begins, at, "right") - 1
+        which, begin = np.unique(item, return_index=True)
+        most = np.add.reduceat(words_, begin)
+        return which[most >= threshold * (self.begins[which + 1] - self.begins[which])]
+
+    def holds(self, text: bytes | None, threshold: float = 0.0) -> Iterator[tuple]:
+        """(item id, words, covered words, tiles) of each item that shares a seed with the text, but for those that cannot reach the threshold."""
         get = self.ids.get
         own = [get(w, -1) for w in words(text)]
         if not own:
@@ -132,16 +148,17 @@ class Block:
         known = ids >= 0
         pairs: set[int] = set()
         cover = np.zeros(len(ids) + 1, np.int32)
-        for size, (keys, maybe, seeds) in self.sizes.items():
+        for size, (keys, maybe, *_) in self.sizes.items():
             if len(ids) < size or not (runs := np.flatnonzero(_free_runs(known, size))).size:
                 continue
             h = window_hashes(ids.astype(np.uint64), size)[runs]
             low = (h & np.uint64((1 << _BITS) - 1)).astype(np.int64)
             some = maybe[low >> 3] >> (low & 7) & 1 == 1
             h, runs = h[some], runs[some]
-            hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-            for k in np.unique(h[hit]).tolist():
-                pairs.update(seeds[k])
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[place] == h
+            if hit.any():
+                pairs.update(self._within(size, np.unique(place[hit]), threshold).tolist())
             np.add.at(cover, runs[hit], 1)
             np.add.at(cover, runs[hit] + size, -1)
         if not pairs:
@@ -157,7 +174,7 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, item_id: str, item_text: str, min_match: int, block_words: int) -> Iterator[Block]:
-    """Reads the benchmark through an iterator, so the driver holds one block at a time."""
+    """Reads the benchmark through an iterator, so the driver holds a block at a time, or two."""
     part: list[tuple[int | None, list[str]]] = []
     held = 0
     for row in id_and_text(benchmark, item_id, item_text).distinct().toLocalIterator():
@@ -175,23 +192,31 @@ def blocks(benchmark: DataFrame, item_id: str, item_text: str, min_match: int, b
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
     """A row per document and item it holds."""
-    spark, found = docs.sparkSession, []
+    spark, found, scratch = docs.sparkSession, [], Scratch(docs.sparkSession, "tiles")
     texts = id_and_text(docs, id_col, text_col)
-    for block in blocks(benchmark, item_id, item_text, min_match, block_words):
+    every = blocks(benchmark, item_id, item_text, min_match, block_words)
+    block = next(every, None)
+    while block is not None:
+        following = next(every, None)
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             out = Rows(_ARROW)
             for batch in batches:
                 for i, text in rows_of(batch):
-                    for item, n, covered, tiles in sent.value.holds(text):
+                    for item, n, covered, tiles in sent.value.holds(text, threshold):
                         if covered >= threshold * n:
                             out.add(i, item, n, covered, tiles, covered / n)
                 if out.full:
                     yield out.take()
             yield out.take()
 
-        found.append(texts.transform(map_arrow, run, SCHEMA))
+        own = texts.transform(map_arrow, run, SCHEMA)
+        if following is not None or found:
+            own = scratch.keep(own, "found")
+            sent.destroy()
+        found.append(own)
+        block = following
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
 
 
@@ -207,7 +232,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def _holds(sent: Broadcast, threshold: float):
     @F.arrow_udf(T.BooleanType())
     def holds(text: pa.Array) -> pa.Array:
-        out = pa.array([any(covered >= threshold * n for _, n, covered, _ in sent.value.holds(t)) for t in text.to_pylist()], pa.bool_())
+        out = pa.array([any(covered >= threshold * n for _, n, covered, _ in sent.value.holds(t, threshold)) for t in text.to_pylist()], pa.bool_())
         trim()
         return out
 

@@ -74,3 +74,19 @@ def test_the_query_equals_plain_tiling(spark):
                 want.add((d, k, len(item), covered, len(tiles), covered / len(item)))
     got = queries()["op1_benchmark_decontamination"](spark, SMALL).select("doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage").collect()
     assert want and len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_items_with_one_seed_in_common():
+    """3,000 items begin with the same words: a text that holds these words, and one item, tiles that item alone, and gets what tiling all gives."""
+    import time
+
+    stock = "answer the following question with care"
+    items = [(n, f"{stock} about the matter {n} of {n % 7} in detail {n * 3} once".split()) for n in range(3_000)]
+    block = decontamination.Block(items, 5)
+    text = f"x {stock} y z {' '.join(items[17][1][6:])} and more".encode()
+    began = time.process_time()
+    fast = [x for x in block.holds(text, 0.5) if x[2] >= 0.5 * x[1]]
+    took = time.process_time() - began
+    slow = [x for x in block.holds(text) if x[2] >= 0.5 * x[1]]
+    assert fast == slow and [x[0] for x in fast] == [17] and took < 0.2
+    assert len(list(block.holds(text))) == 3_000 and len(list(block.holds(text, 0.5))) < 20

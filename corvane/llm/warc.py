@@ -1,8 +1,8 @@
 """WARC archives of pages, and a reader that verifies the chain of record boundaries.
 
 Writing: of records with equal payloads the one with the smallest page_id is a response, the others are revisits that refer to
-it and hold no payload. Digests that repeat are found from the digests alone. They are marked in a bitmap of fixed size; a page
-whose digest is not marked is written where it is read, and of the marked ones a task sends each payload once. Archives are
+it and hold no payload. Digests that repeat are found from the digests alone. They are marked in a bitmap of BITS_EACH bits for each of them, as
+far as MARKS allows; a page whose digest is not marked is written where it is read, and of the marked ones a task sends each payload once. Archives are
 plain files, so that tasks can read parts of them, of at most `archive_records` records each.
 
 Reading: tasks read byte ranges of the archives, cut at every line that begins like a record. A task emits each such place and
@@ -29,7 +29,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Rows, Scratch, map_arrow, rows_of
@@ -38,8 +38,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, LINE, END = b"WARC/1.", b"\r\n", b"\r\n\r\n"
 #: What separates the pieces that a task reads.
 CUT = LINE + MAGIC
-#: Bits that mark the digests which repeat.
-MARKS = 1 << 26
+#: Bits that mark the digests which repeat, for each of them and at least and at most in all, powers of two: with 16 a digest that does not repeat is marked in 1 of 16 cases.
+BITS_EACH, LEAST_MARKS, MARKS = 16, 1 << 20, 1 << 30
 #: Candidates of a range whose pointers are followed in memory at once.
 PART = 50_000
 
@@ -68,14 +68,18 @@ def _record(page_id: int | None, url: str | None, payload: bytes | None, size: i
 _SAFE = "!#$%&'()*+,/:;=?@[]~-._"
 
 
-def _marked(repeats: DataFrame) -> np.ndarray | None:
-    """The bits of the digests that repeat; at most MARKS of them come to the driver. None if there are none."""
-    one = F.col("_bit") + 1  # these functions count from 1
+def _bit(size: int) -> Column:
+    return F.xxhash64("_digest").bitwiseAND(F.lit(size - 1))
+
+
+def _marked(repeats: DataFrame, size: int) -> np.ndarray | None:
+    """The bits of the digests that repeat; `size` of them come to the driver. None if there are none."""
+    one = _bit(size) + 1  # these functions count from 1
     rows = repeats.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits")).collect()
     if not rows:
         return None
     width = len(rows[0]["bits"])
-    out = np.zeros(MARKS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:
         out[(r["k"] - 1) * width : r["k"] * width] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
@@ -86,9 +90,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     spark = pages.sparkSession
     scratch = scratch or Scratch(spark, "warc")
     own = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("_payload"))
-    own = own.withColumn("_digest", F.unhex(F.sha1("_payload"))).withColumn("_bit", F.xxhash64("_digest").bitwiseAND(F.lit(MARKS - 1)))
-    repeats = scratch.keep(own.groupBy("_digest", "_bit").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeats")
-    marks = spark.sparkContext.broadcast(_marked(repeats))
+    own = own.withColumn("_digest", F.unhex(F.sha1("_payload")))
+    repeats = scratch.keep(own.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeats")
+    size = min(MARKS, max(LEAST_MARKS, 1 << (BITS_EACH * repeats.count()).bit_length()))
+    marks = spark.sparkContext.broadcast(_marked(repeats, size))
+    own = own.withColumn("_bit", _bit(size))
 
     def is_marked(bits: pa.Array) -> np.ndarray:
         at, table = bits.to_numpy(), marks.value

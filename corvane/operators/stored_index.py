@@ -5,8 +5,9 @@ A vector is its list, a byte for each part, and how far its code is from it. Cod
 a search reads the codes of the lists that its queries probe, an upsert or deletion rewrites the buckets it touches, and nothing is fitted in either.
 
 The product of a query with a code is the query's product with the centre plus a number for each part, from a table of 256 a part that is made
-once a query. As all vectors have length 1, it is within the stored distance of the true cosine. So a search of all lists may be exact: whatever could
-be among the k nearest by these bounds is looked up among the vectors.
+once a query. As all vectors have length 1, it is within the stored distance of the true cosine. So a search of all lists may be exact: codes give the
+k-th best lower bound of each query, then the vectors that reach the bound of any query, and those are compared with all queries where they lie. What is
+shuffled are k rows of each query and task and an id of each vector, however loose the bounds are.
 
 Filters and the list of allowed ids come before the top k. Null ids and embeddings are not stored, zero vectors have cosines of 0, and of
 an id's vectors in one call the greatest counts. An index whose vectors are all deleted has no answers.
@@ -26,13 +27,12 @@ from pyspark.sql import functions as F
 from corvane.functions.shared import settled
 from corvane.functions.vectors import cosine
 from corvane.operators import ann
-from corvane.operators.vector import query_blocks, unit_rows
+from corvane.operators.vector import NEAREST, Bests, batch_top_k, query_blocks, query_parts, unit_rows, vector_blocks
 from corvane.sources.buckets import BUCKET, BucketTable
 from corvane.sources.folders import Folder
 
 #: Queries up to which tables are quicker than codes that are turned back into vectors.
 FEW = 12
-_FOUND = "query_id long, id long, low double, high double"
 
 
 class Model:
@@ -127,11 +127,10 @@ class StoredIndex:
         names = ["id", "list", "code", "error", "embedding", *self.attributes]
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    lists, codes, error = sent.value.encode(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
-                    error = np.nextafter(error.astype(np.float32) + np.float32(1e-6), np.float32(9))  # of products in doubles, and of similarities' six places
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), *b.columns[1:]], names=names)
+            for b in vector_blocks(batches):
+                lists, codes, error = sent.value.encode(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
+                error = np.nextafter(error.astype(np.float32) + np.float32(1e-6), np.float32(9))  # of products in doubles, and of similarities' six places
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), *b.columns[1:]], names=names)
 
         rest = ["embedding", *self.attributes]
         once = own.groupBy("id").agg(F.max(F.struct(*rest)).alias("r")).select("id", "r.*")
@@ -153,33 +152,42 @@ class StoredIndex:
         """query_id, id, similarity, rank of the k nearest of each query.
 
         probes: lists that a query looks into, all if none is given. where: a filter on attributes and id. allowed: ids that may be answers.
-        The best `over` times k by codes are compared in full, with exact whatever may be among the k nearest.
+        The best `over` times k by codes are compared in full, with exact, which probes all lists, whatever may be among the k nearest.
         """
+        if exact:
+            return self._exact(queries, k, where, allowed, query_id, embedding)
         manifest = self.codes.manifest()
         parts = []
         for sent in query_blocks(self.spark, queries, query_id, embedding):
             keys, matrix = sent.value
-            n = len(self.model.centres) if probes is None or exact else probes
+            n = len(self.model.centres) if probes is None else probes
             nearest = np.argsort(-(matrix @ self.model.centres.T), axis=1, kind="stable")[:, :n] if len(keys) else np.zeros((0, 0), np.int64)
             asks = {int(a): np.flatnonzero((nearest == a).any(1)) for a in np.unique(nearest)}
-            rows = self.codes._read(manifest, asks)
-            rows = rows if where is None else rows.filter(where)
-            rows = rows if allowed is None else rows.join(allowed.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
-            run = _within(sent, self.spark.sparkContext.broadcast((self.model, asks)), k if exact else over * k, exact)
-            parts.append(rows.select("list", "id", "code", "error").mapInArrow(run, _FOUND))
-        near = settled(reduce(DataFrame.unionAll, parts))
+            run = _best(sent, self.spark.sparkContext.broadcast((self.model, asks)), over * k)
+            parts.append(_kept(self.codes._read(manifest, asks), where, allowed).mapInArrow(run, NEAREST))
         by = Window.partitionBy("query_id")
-        if exact:
-            least = near.withColumn("n", F.row_number().over(by.orderBy(F.desc("low"), "id"))).filter(F.col("n") == k).select("query_id", F.col("low").alias("least"))
-            near = near.join(least, "query_id", "left").filter("least is null or high >= least")
-        else:
-            near = near.withColumn("n", F.row_number().over(by.orderBy(F.desc("high"), "id"))).filter(F.col("n") <= over * k)
+        near = reduce(DataFrame.unionAll, parts).withColumn("n", F.row_number().over(by.orderBy(F.desc("similarity"), "id"))).filter(F.col("n") <= over * k)
         near = settled(near.select("query_id", "id"))
         asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(embedding).alias("_q"))
         full = near.join(self.vectors.lookup(near.select("id")).select("id", "embedding"), "id").join(asked, "query_id").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("_q")), 6))
         w = by.orderBy(F.desc("similarity"), "id")
         return full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
 
+    def _exact(self, queries: DataFrame, k: int, where: Column | str | None, allowed: DataFrame | None, query_id: str, embedding: str) -> DataFrame:
+        """The k-th lower bounds come to the driver, a number for each query of a block."""
+        rows = settled(_kept(self.codes.read(), where, allowed))
+        by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        parts = []
+        for sent in query_blocks(self.spark, queries, query_id, embedding):
+            keys = sent.value[0]
+            asks = dict.fromkeys(range(len(self.model.centres)), np.arange(len(keys)))
+            low = rows.mapInArrow(_best(sent, self.spark.sparkContext.broadcast((self.model, asks)), k, lower=True), NEAREST)
+            least = {r[0]: r[1] for r in low.withColumn("n", F.row_number().over(by)).filter(F.col("n") == k).select("query_id", "similarity").toLocalIterator()}
+            bound = np.array([least.get(q, -np.inf) for q in keys.tolist()])
+            parts.append(rows.mapInArrow(_reaching(sent, self.spark.sparkContext.broadcast((self.model, bound))), "id long"))
+        found = self.vectors.lookup(settled(reduce(DataFrame.unionAll, parts)))
+        return batch_top_k(found, queries, k, "id", "embedding", query_id, embedding)
+
     def bytes_of(self, lists: list[int] | None = None) -> int:
         """Bytes of the stored codes of some lists."""
         parts = self.codes.manifest()["parts"]
@@ -187,35 +195,50 @@ class StoredIndex:
         return sum(self.codes.folder.size(p) for ps in own.values() for p in ps)
 
 
-def _within(sent: Broadcast, shared: Broadcast, k: int, exact: bool):
-    """A task's candidates of each query: the k best by code, or with exact all whose upper bound reaches the k-th best lower bound here."""
+def _kept(codes: DataFrame, where: Column | str | None, allowed: DataFrame | None) -> DataFrame:
+    """list, id, code, error of the codes that may be answers."""
+    rows = codes if where is None else codes.filter(where)
+    rows = rows if allowed is None else rows.join(allowed.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
+    return rows.select("list", "id", "code", "error")
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """list, ids, codes and errors of each block's rows of a list."""
+    for b in vector_blocks(batches):
+        lists, ids, errors = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy().astype(np.float64)
+        codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        for n in np.unique(lists).tolist():
+            rows = lists == n
+            yield n, ids[rows], codes[rows], errors[rows]
+
+
+def _best(sent: Broadcast, shared: Broadcast, k: int, lower: bool = False):
+    """A task's k best of each query by code, or by the lower bound, among the lists that it looks into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, matrix = sent.value
         model, asks = shared.value
-        held: dict[int, tuple[np.ndarray, ...]] = {}  # of each query: id, low, high
-
-        def keep(q: int, rows: tuple[np.ndarray, ...]) -> None:
-            if q in held:
-                rows = tuple(np.concatenate(x) for x in zip(held[q], rows, strict=True))
-            n = len(rows[0])
-            if n > k:
-                bound = np.partition(rows[1], n - k)[n - k]
-                rows = tuple(x[rows[2] >= bound] for x in rows)
-            held[q] = rows
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lists, ids, errors = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy().astype(np.float64)
-            codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            for n in np.unique(lists).tolist():
-                rows = np.flatnonzero(lists == n)
-                s = model.products(matrix[asks[n]], n, codes[rows])
-                e = errors[rows] if exact else np.zeros(len(rows))
-                for q, row in zip(asks[n].tolist(), s, strict=True):
-                    keep(q, (ids[rows], row - e, row + e))
-        for q, (ids, low, high) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), keys[q])), pa.array(ids), pa.array(low), pa.array(high)], names=["query_id", "id", "low", "high"])
+        best = Bests(keys, k)
+        for n, ids, codes, errors in _coded(batches):
+            off = errors if lower else 0.0
+            best.add(asks[n], ids, lambda q: model.products(matrix[q], n, codes) - off)  # noqa: B023
+        yield from best.batches()
+
+    return run
+
+
+def _reaching(sent: Broadcast, shared: Broadcast):
+    """The ids whose upper bound reaches the bound of any query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, matrix = sent.value
+        model, bound = shared.value
+        for n, ids, codes, errors in _coded(batches):
+            rest = np.arange(len(ids))
+            for q in query_parts(np.arange(len(keys))):
+                if len(rest):
+                    high = model.products(matrix[q], n, codes[rest]) + errors[rest]
+                    rest = rest[(high < bound[q][:, None]).all(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.delete(ids, rest))], names=["id"])
 
     return run

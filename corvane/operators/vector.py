@@ -15,9 +15,10 @@ from corvane.functions.prior import Prior
 from corvane.functions.shared import settled
 from corvane.functions.vectors import cosine
 
-#: Bytes of query vectors that are sent to the tasks at once, and queries that a batch is multiplied by at once.
+#: Bytes of query vectors that are sent to the tasks at once, and queries and vectors that are multiplied at once: 16 MB of products.
 QUERY_BYTES = 64 << 20
 QUERY_ROWS = 1_024
+VECTOR_ROWS = 2_048
 
 
 def scored(vectors: DataFrame, query: list[float], embedding: str = "embedding", score: str = "similarity") -> DataFrame:
@@ -85,7 +86,7 @@ def distinct_top_k(rows: DataFrame, k: int, key: str, tie: str, score: str = "si
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id", query_embedding: str = "embedding", group: str | None = None) -> DataFrame:
     """query_id, id, similarity, rank of the k nearest vectors of every query, and with group the best of each group only.
 
-    Queries are sent to the tasks until they fill QUERY_BYTES, one scan of the vectors for each such block. A task multiplies its Arrow batches
+    Queries are sent to the tasks until they fill QUERY_BYTES, one scan of the vectors for each such block. A task multiplies VECTOR_ROWS vectors
     by QUERY_ROWS queries at a time and hands on the k best vectors, or groups, of each query: a vector or group among the k best of all has
     fewer than k better ones in any task. So the shuffle carries k rows for each query and task.
     """
@@ -126,6 +127,13 @@ def query_blocks(spark: SparkSession, queries: DataFrame, query_id: str, embeddi
         yield spark.sparkContext.broadcast((np.array(keys, np.int64), unit_rows(np.stack(rows)) if rows else np.zeros((0, 1))))
 
 
+def vector_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, at most VECTOR_ROWS at a time and never none: what a task makes of a block is bounded, whatever the session's batches are."""
+    for b in batches:
+        for at in range(0, b.num_rows, VECTOR_ROWS):
+            yield b.slice(at, VECTOR_ROWS)
+
+
 NEAREST = "query_id long, id long, similarity double, tag string"
 
 
@@ -162,15 +170,35 @@ class Best:
         self.rows = tuple(x[place < n] for x in rows)
 
 
+class Bests:
+    """The k best of each query by its place among the keys, held apart for every QUERY_ROWS queries, so that a block sorts only what its queries hold."""
+
+    def __init__(self, keys: np.ndarray, k: int):
+        self.keys, self.k = keys, k
+        self.held: dict[int, Best] = {}
+
+    def add(self, asked: np.ndarray, id_: np.ndarray, similarity: Callable[[np.ndarray], np.ndarray]) -> None:
+        """asked: ascending places of queries. similarity: a row for each of some of them, a column for each id."""
+        for q in query_parts(asked):
+            self.held.setdefault(int(q[0]) // QUERY_ROWS, Best(self.k, False)).add_all(self.keys[q], id_, similarity(q))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for best in self.held.values():
+            yield from best.batches()
+
+
+def query_parts(asked: np.ndarray) -> list[np.ndarray]:
+    """Ascending places of queries, those of the same QUERY_ROWS together."""
+    return [q for q in np.split(asked, np.flatnonzero(np.diff(asked // QUERY_ROWS)) + 1) if len(q)]
+
+
 def nearest(sent: Broadcast, k: int, by_tag: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's k best of each query of the block, from batches of id, embedding and tag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, matrix = sent.value
         found = [Best(k, by_tag) for _ in range(0, len(keys), QUERY_ROWS)]
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in vector_blocks(batches):
             ids, tags = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(str)
             v = unit_rows(b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1))
             if by_tag:

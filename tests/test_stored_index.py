@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from corvane.operators import ann, vector
+from corvane.functions.shared import settled
+from corvane.operators import ann, stored_index, vector
 from corvane.operators.stored_index import FEW, Model, StoredIndex
 from corvane.queries import queries
 
@@ -89,3 +90,14 @@ def test_recall_of_the_query(spark):
     e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     exact = vector.batch_top_k(e, e.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding"), 8)
     assert ann.recall(queries()["vector_index_topk"](spark, SMALL), exact) >= 0.9
+
+
+def test_exact_hands_on_no_pairs(spark, tmp_path, monkeypatch):
+    """Vectors that are spread evenly have loose bounds: nearly all reach each query's. What a search writes is no row for each query and vector."""
+    x = np.random.default_rng(6).normal(size=(3_000, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    index, written = StoredIndex.build(vectors, str(tmp_path / "x"), 4, 4, buckets=4), []
+    monkeypatch.setattr(stored_index, "settled", lambda df: written.append(settled(df)) or written[-1])
+    found = rows(index.search(asked(vectors, 10), 8, exact=True))
+    assert found == rows(vector.batch_top_k(vectors, asked(vectors, 10), 8).select("query_id", "id", "similarity", "rank"))
+    assert max(df.count() for df in written) <= 3_000

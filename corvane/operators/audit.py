@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.shared import settled
 from corvane.functions.text import col, contains_any, first_json_object, has_extension, lines
 
 # Words that begin a conventional commit subject.
@@ -29,6 +30,11 @@ RISK_PREFIXES = ("crates/core/", "crates/trust/")
 ACKNOWLEDGED = "gate: ack"
 
 
+#: What stands between words, and candidates up to which texts are not shuffled to be tested.
+SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+FEW_CANDIDATES = 200_000
+
+
 @dataclass(frozen=True)
 class ImpactRules:
     """The first rule that holds: a canonical document, a guard or policy, an engine path."""
@@ -202,3 +208,38 @@ def _imports(source: str) -> Iterator[tuple[int, str, str]]:
 def boundary_violations(found: DataFrame, forbidden: str) -> DataFrame:
     """Imports of modules that match a pattern."""
     return found.filter(F.col("module").rlike(forbidden))
+
+
+def _triples(words: Column) -> Column:
+    """The hash of each three words in a row."""
+    return F.transform(F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(0))), lambda z, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), z))
+
+
+def _anchor(words: Column) -> Column:
+    """Of the words inside a text the three in a row that are longest together; null for texts of fewer than five words."""
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    sizes = F.transform(F.slice(inner, 3, F.greatest(F.size(inner) - 2, F.lit(0))), lambda z, i: F.length(F.get(inner, i)) + F.length(F.get(inner, i + 1)) + F.length(z))
+    return F.array_max(F.arrays_zip(sizes.alias("size"), _triples(inner).alias("gram")))["gram"]
+
+
+def _of_words(text: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a text's words, which are split once however often f names them."""
+    return F.transform(F.array(F.split(text, SPACE, -1)), f)[0]
+
+
+def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text") -> DataFrame:
+    """doc_id, item_id of every pair of rows whose document's text holds the item's at any place.
+
+    Words inside an item, all but its first and last, are whole words of a text that holds it. So three of them are sought among the threes of
+    each text, and only texts that have them are tested. Items of fewer than five words are tested against all texts.
+    """
+    once = items.filter(F.col(text).isNotNull()).groupBy(F.col(item_id).alias("_item"), F.col(text).alias("_text")).agg(F.count("*").cast("int").alias("_n"))
+    known = once.select("*", F.xxhash64("_item", "_text").alias("_key"), _of_words(F.col("_text"), _anchor).alias("_gram"))
+    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_in"))
+    grams = own.select("_doc", F.explode(_of_words(F.col("_in"), _triples)).alias("_gram"))
+    near = settled(grams.join(known.filter("_gram is not null").select("_gram", "_key"), "_gram").select(F.col("_doc").alias("_near"), "_key").distinct())
+    near = F.broadcast(near) if near.count() <= FEW_CANDIDATES else near
+    tested = own.join(near, F.col("_doc").eqNullSafe(F.col("_near"))).join(known, "_key").select("_doc", "_in", "_item", "_text", "_n")
+    short = own.crossJoin(known.filter("_gram is null").select("_item", "_text", "_n"))
+    found = tested.unionAll(short).filter(F.col("_in").contains(F.col("_text")))
+    return found.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_n")).select(doc_id, item_id)

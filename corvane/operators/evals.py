@@ -25,19 +25,47 @@ def ranked_scores(expected: DataFrame, ranked: DataFrame, k: int = 5) -> DataFra
     return want.join(got, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("expected"), 6).alias("precision"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
+def by_category(asked: DataFrame, items: DataFrame, ranked: DataFrame) -> DataFrame:
+    """query_id, category, expected, hits, first (rank) of each query that expects the items of its category.
+
+    asked: query_id, category. items: item, category. ranked: query_id, item, rank. Items are counted by category and found ones alone are
+    joined, so a query and the items that it expects are not made into pairs.
+    """
+    own = items.select("item", "category").filter(F.col("category").isNotNull()).distinct()
+    sizes = own.groupBy("category").agg(F.count("*").alias("expected"))
+    want = asked.select("query_id", "category").distinct().join(sizes, "category")
+    got = ranked.join(own, "item").groupBy("query_id", "category").agg(F.countDistinct("item").alias("hits"), F.min("rank").alias("first"))
+    return want.join(got, ["query_id", "category"], "left").select("query_id", "category", "expected", F.coalesce("hits", F.lit(0)).alias("hits"), "first")
+
+
+def category_scores(asked: DataFrame, items: DataFrame, ranked: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, category, and precision and mrr as ranked_scores has them, where a query expects all items of its category."""
+    own = by_category(asked, items, ranked.filter(F.col("rank") <= k))
+    return own.select("query_id", "category", F.round(F.col("hits") / F.col("expected"), 6).alias("precision"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+
+
+def _of_union(hits: list[DataFrame], k: int, fetch: int) -> DataFrame:
+    every = reduce(DataFrame.unionByName, (h.filter(F.col("rank") <= fetch).select("query_id", "item", "similarity") for h in hits))
+    best = every.groupBy("query_id", "item").agg(F.max("similarity").alias("similarity"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item"))).filter(F.col("rank") <= k)
+
+
 def union_recall(expected: DataFrame, hits: list[DataFrame], k: int = 3, fetch: int = 10) -> DataFrame:
     """query_id, recall: the share of the expected items among the first k of the union of several stores' hits.
 
     hits: query_id, item, similarity, rank of each store, of which the first `fetch` count; an item that several stores have counts once, by its best similarity.
     """
-    every = reduce(DataFrame.unionByName, (h.filter(F.col("rank") <= fetch).select("query_id", "item", "similarity") for h in hits))
-    best = every.groupBy("query_id", "item").agg(F.max("similarity").alias("similarity"))
-    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item"))).filter(F.col("rank") <= k)
-    got = first.join(expected, ["query_id", "item"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
+    got = _of_union(hits, k, fetch).join(expected, ["query_id", "item"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
     want = expected.groupBy("query_id").agg(F.countDistinct("item").alias("expected"))
     return want.join(got, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("expected"), 6).alias("recall"))
 
 
+def category_recall(asked: DataFrame, items: DataFrame, hits: list[DataFrame], k: int = 3, fetch: int = 10) -> DataFrame:
+    """query_id, category, and recall as union_recall has it, where a query expects all items of its category."""
+    own = by_category(asked, items, _of_union(hits, k, fetch))
+    return own.select("query_id", "category", F.round(F.col("hits") / F.col("expected"), 6).alias("recall"))
+
+
 def calibration(spark: SparkSession, run: int, scenario: str, augmentations: dict[str, str], raters: dict[str, Callable[[str, str], dict[str, int]]], dimensions: tuple[str, ...]) -> DataFrame:
     """Ratings of one run: run, scenario, augmentation, rater, dimension, score, rationale. A rater gives a score for each dimension of an augmentation's body; one that fails gives none and says why."""
     rows: list[tuple] = []

@@ -151,10 +151,24 @@ class Best:
             self._take(np.lexsort((self.rows[1], -self.rows[2], self.rows[3], self.rows[0])), (0, 3), 1)
         self._take(np.lexsort((self.rows[3 if self.by_tag else 1], -self.rows[2], self.rows[0])), (0,), self.k)
 
-    def add_all(self, query: np.ndarray, id_: np.ndarray, similarity: np.ndarray) -> None:
-        """A matrix of similarities, a row for each query and a column for each id, without tags."""
-        q, c = np.nonzero(similarity >= _cut(similarity, self.k))
-        self.add(query[q], id_[c], similarity[q, c], np.zeros(len(q), "U1"))
+    def add_all(self, query: np.ndarray, id_: np.ndarray, similarity: np.ndarray, places: int | None = None) -> None:
+        """A matrix of similarities, a row for each query and a column for each id, without tags; places: those that are rounded to."""
+        least = self._least(query)
+        new = np.isinf(least)
+        least[new] = _cut(similarity[new], self.k)[:, 0]
+        q, c = np.nonzero(similarity >= least[:, None] - (0 if places is None else 10.0**-places))
+        if len(q):
+            found = similarity[q, c]
+            self.add(query[q], id_[c], found if places is None else np.round(found, places) + 0.0, np.zeros(len(q), "U1"))
+
+    def _least(self, query: np.ndarray) -> np.ndarray:
+        """The k-th best similarity of each query so far, without end if it has fewer."""
+        if self.rows is None:
+            return np.full(len(query), -np.inf)
+        keys, first, n = np.unique(self.rows[0], return_index=True, return_counts=True)
+        last = np.where(n >= self.k, self.rows[2][first + n - 1], -np.inf)
+        at = np.minimum(np.searchsorted(keys, query), len(keys) - 1)
+        return np.where(keys[at] == query, last[at], -np.inf)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         if self.rows is not None:
@@ -177,10 +191,10 @@ class Bests:
         self.keys, self.k = keys, k
         self.held: dict[int, Best] = {}
 
-    def add(self, asked: np.ndarray, id_: np.ndarray, similarity: Callable[[np.ndarray], np.ndarray]) -> None:
+    def add(self, asked: np.ndarray, id_: np.ndarray, similarity: Callable[[np.ndarray], np.ndarray], places: int | None = None) -> None:
         """asked: ascending places of queries. similarity: a row for each of some of them, a column for each id."""
         for q in query_parts(asked):
-            self.held.setdefault(int(q[0]) // QUERY_ROWS, Best(self.k, False)).add_all(self.keys[q], id_, similarity(q))
+            self.held.setdefault(int(q[0]) // QUERY_ROWS, Best(self.k, False)).add_all(self.keys[q], id_, similarity(q), places)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         for best in self.held.values():
@@ -207,18 +221,18 @@ def nearest(sent: Broadcast, k: int, by_tag: bool) -> Callable[[Iterator[pa.Reco
                 edge = np.append(np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1]])), len(ids))
             for n, best in enumerate(found):
                 part = slice(n * QUERY_ROWS, (n + 1) * QUERY_ROWS)
+                if not by_tag:
+                    best.add_all(keys[part], ids, matrix[part] @ v.T, 6)
+                    continue
                 s = np.round(matrix[part] @ v.T, 6) + 0.0
-                if by_tag:
-                    tops = np.maximum.reduceat(s, edge[:-1], axis=1)
-                    q, g = np.nonzero(tops >= _cut(tops, k))
-                    size = edge[g + 1] - edge[g]  # the first vector of each chosen group that has the group's best similarity
-                    pair = np.repeat(np.arange(len(q)), size)
-                    c = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + edge[g][pair]
-                    hit = s[q[pair], c] == tops[q[pair], g[pair]]
-                    _, first = np.unique(pair[hit], return_index=True)
-                    c = c[hit][first]
-                else:
-                    q, c = np.nonzero(s >= _cut(s, k))
+                tops = np.maximum.reduceat(s, edge[:-1], axis=1)
+                q, g = np.nonzero(tops >= _cut(tops, k))
+                size = edge[g + 1] - edge[g]  # the first vector of each chosen group that has the group's best similarity
+                pair = np.repeat(np.arange(len(q)), size)
+                c = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + edge[g][pair]
+                hit = s[q[pair], c] == tops[q[pair], g[pair]]
+                _, first = np.unique(pair[hit], return_index=True)
+                c = c[hit][first]
                 best.add(keys[part][q], ids[c], s[q, c], tags[c])
         for best in found:
             yield from best.batches()

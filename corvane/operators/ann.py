@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.vectors import cosine
-from corvane.operators.vector import NEAREST, QUERY_ROWS, Best, batch_top_k, query_blocks, unit_rows
+from corvane.operators.vector import NEAREST, Bests, batch_top_k, query_blocks, unit_rows, vector_blocks
 
 
 def centroids(vectors: DataFrame, lists: int, id_col: str = "vec_id", embedding: str = "embedding", sample: int = 20_000, rounds: int = 15, seed: int = 3) -> np.ndarray:
@@ -46,10 +46,9 @@ def build(vectors: DataFrame, centres: np.ndarray, id_col: str = "vec_id", embed
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                v = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array((v @ sent.value.T).argmax(1).astype(np.int32)), b.column(0), b.column(1)], names=["list", "id", "embedding"])
+        for b in vector_blocks(batches):
+            v = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array((v @ sent.value.T).argmax(1).astype(np.int32)), b.column(0), b.column(1)], names=["list", "id", "embedding"])
 
     own = vectors.filter(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("embedding"))
     return own.mapInArrow(run, "list int, id long, embedding array<double>")
@@ -73,17 +72,13 @@ def _in_lists(sent: Broadcast, asks: Broadcast, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, matrix = sent.value
-        best = Best(k, False)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        best = Bests(keys, k)
+        for b in vector_blocks(batches):
             lists, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             v = unit_rows(b.column(2).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1))
             for n in np.unique(lists).tolist():
-                rows = np.flatnonzero(lists == n)
-                for at in range(0, len(asks.value[n]), QUERY_ROWS):
-                    q = asks.value[n][at : at + QUERY_ROWS]
-                    best.add_all(keys[q], ids[rows], np.round(matrix[q] @ v[rows].T, 6) + 0.0)
+                own = v[lists == n].T
+                best.add(asks.value[n], ids[lists == n], lambda q: matrix[q] @ own, 6)  # noqa: B023
         yield from best.batches()
 
     return run
@@ -114,15 +109,14 @@ def build_codes(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "em
     top = (1 << (bits - 1)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                v = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
-                largest = np.abs(v).max(1)
-                scale = np.where(largest > 0, largest / top, 1.0)
-                x = v / scale[:, None]
-                codes = (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int8)  # half away from zero, like SQL
-                rows = _packed(codes, bits)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scale), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "scale", "codes"])
+        for b in vector_blocks(batches):
+            v = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+            largest = np.abs(v).max(1)
+            scale = np.where(largest > 0, largest / top, 1.0)
+            x = v / scale[:, None]
+            codes = (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int8)  # half away from zero, like SQL
+            rows = _packed(codes, bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scale), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "scale", "codes"])
 
     own = vectors.filter(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("embedding"))
     return own.mapInArrow(run, "id long, scale double, codes binary")
@@ -149,12 +143,10 @@ def search_codes(codes: DataFrame, queries: DataFrame, k: int, bits: int = 4, qu
     def near(sent: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, matrix = sent.value
-            best = Best(k, False)
-            for b in batches:
-                if b.num_rows:
-                    v = unit_rows(_unpacked(b.column(1).to_pylist(), bits, matrix.shape[1]).astype(np.float64))
-                    for at in range(0, len(keys), QUERY_ROWS):
-                        best.add_all(keys[at : at + QUERY_ROWS], b.column(0).to_numpy(), np.round(matrix[at : at + QUERY_ROWS] @ v.T, 6) + 0.0)
+            best, every = Bests(keys, k), np.arange(len(keys))
+            for b in vector_blocks(batches):
+                v = unit_rows(_unpacked(b.column(1).to_pylist(), bits, matrix.shape[1]).astype(np.float64))
+                best.add(every, b.column(0).to_numpy(), lambda q: matrix[q] @ v.T, 6)  # noqa: B023
             yield from best.batches()
 
         return run

@@ -15,10 +15,11 @@ from corvane.functions.prior import Prior
 from corvane.functions.shared import settled
 from corvane.functions.vectors import cosine
 
-#: Bytes of query vectors that are sent to the tasks at once, and queries and vectors that are multiplied at once: 16 MB of products.
+#: Bytes of query vectors that are sent to the tasks at once, queries and vectors that are multiplied at once (16 MB of products), and products that are selected from at once.
 QUERY_BYTES = 64 << 20
 QUERY_ROWS = 1_024
 VECTOR_ROWS = 2_048
+SELECTED = 1 << 18
 
 
 def scored(vectors: DataFrame, query: list[float], embedding: str = "embedding", score: str = "similarity") -> DataFrame:
@@ -153,15 +154,12 @@ class Best:
 
     def add_all(self, query: np.ndarray, id_: np.ndarray, similarity: np.ndarray, places: int | None = None) -> None:
         """A matrix of similarities, a row for each query and a column for each id, without tags; places: those that are rounded to."""
-        least = self._least(query)
-        new = np.isinf(least)
-        least[new] = _cut(similarity[new], self.k)[:, 0]
-        q, c = np.nonzero(similarity >= least[:, None] - (0 if places is None else 10.0**-places))
+        q, c = k_of_rows(similarity, self.least(query), self.k, np.argsort(id_, kind="stable"), places)
         if len(q):
             found = similarity[q, c]
             self.add(query[q], id_[c], found if places is None else np.round(found, places) + 0.0, np.zeros(len(q), "U1"))
 
-    def _least(self, query: np.ndarray) -> np.ndarray:
+    def least(self, query: np.ndarray) -> np.ndarray:
         """The k-th best similarity of each query so far, without end if it has fewer."""
         if self.rows is None:
             return np.full(len(query), -np.inf)
@@ -224,26 +222,54 @@ def nearest(sent: Broadcast, k: int, by_tag: bool) -> Callable[[Iterator[pa.Reco
                 if not by_tag:
                     best.add_all(keys[part], ids, matrix[part] @ v.T, 6)
                     continue
-                s = np.round(matrix[part] @ v.T, 6) + 0.0
+                s = matrix[part] @ v.T
+                np.round(s, 6, out=s)
+                s += 0.0
                 tops = np.maximum.reduceat(s, edge[:-1], axis=1)
-                q, g = np.nonzero(tops >= _cut(tops, k))
-                size = edge[g + 1] - edge[g]  # the first vector of each chosen group that has the group's best similarity
-                pair = np.repeat(np.arange(len(q)), size)
-                c = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + edge[g][pair]
-                hit = s[q[pair], c] == tops[q[pair], g[pair]]
-                _, first = np.unique(pair[hit], return_index=True)
-                c = c[hit][first]
-                best.add(keys[part][q], ids[c], s[q, c], tags[c])
+                q, g = k_of_rows(tops, best.least(keys[part]), k, np.arange(len(edge) - 1))
+                if len(q):
+                    c = _firsts(s, q, tops[q, g], edge[g], edge[g + 1] - edge[g])
+                    best.add(keys[part][q], ids[c], s[q, c], tags[c])
         for best in found:
             yield from best.batches()
 
     return run
 
 
-def _cut(s: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest value of each row."""
-    n = s.shape[1]
-    return np.partition(s, n - k, axis=1)[:, n - k : n - k + 1] if n > k else np.full((len(s), 1), -np.inf)
+def k_of_rows(s: np.ndarray, least: np.ndarray, k: int, order: np.ndarray, places: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the values that reach their row's least, the k largest of a row at most, and of equal ones those that come first in the
+    order of columns: what equal vectors add is bounded too. places: values are equal if they are when rounded to so many."""
+    slack, step = 0 if places is None else 10.0**-places, max(1, SELECTED // max(1, s.shape[1]))
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(s), step):
+        part = s[at : at + step]
+        keep = part >= least[at : at + step, None] - slack
+        q, c = np.nonzero(keep)
+        many = np.flatnonzero(np.bincount(q, minlength=len(part)) > k)
+        if len(many):
+            own = np.where(keep[many], part[many], -np.inf)[:, order]
+            own = own if places is None else np.round(own, places)
+            cut = np.partition(own, -k, axis=1)[:, -k, None]
+            above, equal = own > cut, own == cut
+            equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= k - np.count_nonzero(above, axis=1)[:, None]
+            keep[many[:, None], order] = above | equal
+            q, c = np.nonzero(keep)
+        rows.append(q + at)
+        columns.append(c)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def _firsts(s: np.ndarray, row: np.ndarray, value: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first column of each row's range that has the value."""
+    out, step = np.zeros(len(row), np.int64), max(1, SELECTED // int(size.max()))
+    for at in range(0, len(row), step):
+        n = size[at : at + step]
+        pair = np.repeat(np.arange(at, at + len(n)), n)
+        c = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + start[pair]
+        hit = s[row[pair], c] == value[pair]
+        _, first = np.unique(pair[hit], return_index=True)
+        out[at : at + step] = c[hit][first]
+    return out
 
 
 def over_fetch(limit: int) -> int:

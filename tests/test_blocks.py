@@ -78,6 +78,40 @@ def test_products_of_the_stored_index(spark, many, monkeypatch):
     assert peak(frame.run, batch) < 90
 
 
+@pytest.mark.parametrize("files", [3, 50])
+@pytest.mark.parametrize("by_tag", [False, True])
+def test_products_of_equal_vectors(many, by_tag, files):
+    """eval_end_to_end: copies, and files that hold most vectors of a block, are not all sorted."""
+    x, sent = many
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(N)), lists_of(np.repeat(x[:1], N, 0)), pa.array([f"=src/m{i % files}.py" for i in range(N)])], names=["id", "e", "tag"])
+    assert peak(vector.nearest(sent, 5, by_tag), batch) < 60
+
+
+@pytest.mark.parametrize("by_tag", [False, True])
+def test_ties_of_many_blocks(by_tag):
+    """Few different vectors, ids in no order: the nearest by similarity, then id, or of each file the best, then by file."""
+    r = np.random.default_rng(5)
+    n, k = 5_000, 7
+    x = r.integers(-1, 2, (n, 3)).astype(np.float64)
+    x[:40] = r.normal(size=(40, 3)) * 1e-4 + x[40:80]
+    ids, tags = r.permutation(n), np.array([f"=m{i}.py" for i in r.integers(0, 40, n)])
+    q = vector.unit_rows(r.integers(-1, 2, (1_100, 3)).astype(np.float64))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), lists_of(x), pa.array(tags)], names=["id", "e", "tag"])
+    got = pa.Table.from_batches(vector.nearest(SimpleNamespace(value=(np.arange(1_100), q)), k, by_tag)(iter([batch.slice(0, 3_000), batch.slice(3_000)]))).to_pydict()
+    found = {i: [] for i in range(1_100)}
+    for i, row in zip(got["query_id"], zip(got["similarity"], got["id"], got["tag"], strict=True), strict=True):
+        found[i].append(row)
+    s = np.round(q @ vector.unit_rows(x.astype(np.float32).astype(np.float64)).T, 6) + 0.0
+    for i in range(0, 1_100, 9):
+        want = sorted(zip((-s[i]).tolist(), ids.tolist(), tags.tolist(), strict=True))
+        if by_tag:
+            best = {}
+            for row in want:
+                best.setdefault(row[2], row)
+            want = sorted(best.values(), key=lambda row: (row[0], row[2]))
+        assert found[i] == [(-a, b, c if by_tag else "") for a, b, c in want[:k]]
+
+
 def test_chunks_of_long_texts(spark):
     """chunk_headings: a batch's texts and chunks are not held together."""
     text = "".join(f"# heading {i}\n" + "words of a line\n" * 30 for i in range(60))

@@ -78,6 +78,10 @@ def test_products_of_the_stored_index(spark, many, monkeypatch):
     assert peak(frame.run, batch) < 90
 
 
+def code_batch(codes, n):
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.full(n, 0.1, np.float32))], names=["list", "id", "code", "error"])
+
+
 @pytest.mark.parametrize("files", [3, 50])
 @pytest.mark.parametrize("by_tag", [False, True])
 def test_products_of_equal_vectors(many, by_tag, files):
@@ -87,6 +91,17 @@ def test_products_of_equal_vectors(many, by_tag, files):
     assert peak(vector.nearest(sent, 5, by_tag), batch) < 60
 
 
+@pytest.mark.parametrize("lower", [False, True])
+def test_products_of_equal_codes(many, lower):
+    """vector_index_topk: copies have one code, and all of them the k-th best product."""
+    x, sent = many
+    model = stored_index.Model(vector.unit_rows(x[:1]), [np.random.default_rng(3).normal(size=(256, 8)) * 0.1 for _ in range(8)])
+    run = stored_index._best(sent, SimpleNamespace(value=(model, {0: np.arange(Q)})), 32, lower)
+    assert peak(run, code_batch(np.full((N, 8), 7, np.uint8), N)) < 60
+    got = pa.Table.from_batches(run(iter([code_batch(np.full((N, 8), 7, np.uint8), N)]))).to_pydict()
+    assert sorted(zip(got["query_id"], got["id"], strict=True)) == [(q, i) for q in range(Q) for i in range(32)]
+
+
 @pytest.mark.parametrize("by_tag", [False, True])
 def test_ties_of_many_blocks(by_tag):
     """Few different vectors, ids in no order: the nearest by similarity, then id, or of each file the best, then by file."""

@@ -12,6 +12,7 @@ packed once each. An empty table gives an empty result. Other columns are not re
 
 from __future__ import annotations
 
+import re
 import string
 import struct
 import sys
@@ -23,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Rows, Scratch, id_and_text, map_arrow, rows_of
+from corvane.llm.common import Rows, Scratch, id_and_text, map_arrow
 
-_PUNCTUATION = string.punctuation.encode()
 #: Words whose ids a Python worker remembers.
 WORD_CACHE = 800_000
-#: Bytes of text that are encoded together.
-GROUP_BYTES = 500_000
+#: Bytes of text that are encoded together, and words that the tokenizer is given at once.
+GROUP_BYTES, WORDS_AT_ONCE = 8 << 20, 2_000
+#: Words of small Latin-1 letters, in UTF-8: lower-casing and composing leave them as they are.
+_small_letters = re.compile(rb"(?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++").fullmatch
 _tokenizers: dict[str, tuple] = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -47,19 +50,23 @@ def public_tokenizer(name: str) -> str:
 
 
 class WordTokenizer:
-    """Ids of a text, word by word: the tokenizer lower-cases and splits at white space, so a word's ids do not depend on its neighbours. Likewise the punctuation after a last ASCII letter is a run of its own."""
+    """Ids of a text, word by word: the tokenizer lower-cases and splits at white space, so a word's ids do not depend on its neighbours. Likewise the ASCII punctuation after a last Latin-1 letter is a run of its own.
+
+    A group's texts are split and its distinct words numbered by Arrow, so that Python meets each of them once a group."""
 
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _tokenizers:
             model = Tokenizer.from_file(path)
-            _tokenizers[path] = model, np.array([(model.id_to_token(i) or "").endswith("</w>") for i in range(model.get_vocab_size())]), {}, {}
+            bare = Tokenizer(model.model)  # of a byte-level model, without the steps that leave small letters as they are
+            bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            _tokenizers[path] = model, bare if "ByteLevel" in str(model.pre_tokenizer) else model, np.array([(model.id_to_token(i) or "").endswith("</w>") for i in range(model.get_vocab_size())]), {}, {}
         self.path = path
-        self.model, self.ends, self.young, self.old = _tokenizers[path]
+        self.model, self.bare, self.ends, self.young, self.old = _tokenizers[path]
 
     @property
     def size(self) -> int:
@@ -67,51 +74,84 @@ class WordTokenizer:
 
     def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of each word. Words of letters alone are one run each, so many are encoded as one text and parted at the ids that end a run."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for letters in (True, False):
-            own = [k for k, t in enumerate(texts) if t.isalpha() == letters]
-            for at in range(0, len(own), 2_000):
-                part = own[at : at + 2_000]
-                if letters:
-                    ids = np.array(self.model.encode(" ".join(texts[k] for k in part), add_special_tokens=False).ids, "<u4")
-                    last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-                    if len(last) == len(part):
-                        packed = ids.tobytes()
-                        yield from ((words[k], packed[4 * i : 4 * j]) for k, i, j in zip(part, [0, *last], last, strict=False))
-                        continue
-                for k, e in zip(part, self.model.encode_batch([texts[k] for k in part], add_special_tokens=False), strict=True):
-                    yield words[k], array("I", e.ids).tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Brings all these words into young. When it is full it becomes old, so words that are in use stay known."""
+        small, letters, others = [], [], []
+        for w in words:
+            (small if _small_letters(w) else letters if w.decode("utf-8", "replace").isalpha() else others).append(w)
+        for model, own in ((self.bare, small), (self.model, letters)):
+            for at in range(0, len(own), WORDS_AT_ONCE):
+                part = own[at : at + WORDS_AT_ONCE]
+                ids = np.array(model.encode_batch_fast([b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+                last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(last) == len(part):
+                    packed = ids.tobytes()
+                    yield from ((w, packed[4 * i : 4 * j]) for w, i, j in zip(part, [0, *last], last, strict=False))
+                else:
+                    others += part
+        for at in range(0, len(others), WORDS_AT_ONCE):
+            part = others[at : at + WORDS_AT_ONCE]
+            for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                yield w, array("I", e.ids).tobytes()
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of different words; all are in young then. When it is full it becomes old, so words that are in use stay known."""
         if len(self.young) + len(words) > WORD_CACHE // 2:
             self.old, self.young = self.young, {}
-            _tokenizers[self.path] = self.model, self.ends, self.young, self.old
-        young, old = self.young, self.old
-        missing = words.difference(young)
-        ends: dict[bytes, bytes] = {}
-        for w in missing:
-            stem = w.rstrip(_PUNCTUATION)
-            if len(stem) < len(w) and stem[-1:].isalpha() and b"<|" not in w:
-                ends[w] = stem
-        wanted = missing.difference(ends)
-        wanted.update(ends.values(), {w[len(stem) :] for w, stem in ends.items()})
-        new = []
-        for w in wanted.difference(young):
-            if (known := old.get(w)) is not None:
-                young[w] = known
-            else:
-                new.append(w)
+            _tokenizers[self.path] = self.model, self.bare, self.ends, self.young, self.old
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if (known := old.get(w)) is not None:
+                    young[w] = known
+                else:
+                    new.append(w)
         young.update(self.encode(new))
-        for w, stem in ends.items():
-            young[w] = young[stem] + young[w[len(stem) :]]
+        return list(map(young.__getitem__, words))
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def ids(self, texts: list[bytes] | pa.Array) -> list[bytes]:
         """Packed ids of each text in the machine's order, which is little-endian here."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # a special token is only found as it is written
-        self.learn(set().union(*split))
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if not len(texts):
+            return []
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())).cast(pa.large_binary()).fill_null(b"").view(pa.large_string())
+        split = pc.ascii_split_whitespace(column)
+        found = split.flatten()
+        lower = pc.ascii_lower(found)  # not of the column: of a slice it would read other bytes
+        if special := pc.any(pc.match_substring(column, "<|")).as_py():  # a special token is only found as it is written
+            lower = pc.if_else(pc.match_substring(found, "<|"), found, lower)
+        words = lower.dictionary_encode()
+        parts = _parted(words.dictionary, special).dictionary_encode()
+        at, data = _inside(parts.dictionary)
+        at, data = at.tolist(), bytes(data)
+        ids = self.learn([data[i:j] for i, j in zip(at, at[1:], strict=False)])
+        at, data = _inside(_strings(np.cumsum([0, *map(len, ids)]), b"".join(ids)).take(parts.indices))
+        at, data = _inside(_strings(at[::2], data).take(words.indices))
+        at = at[split.offsets.to_numpy()].tolist()
+        return [bytes(data[i:j]) for i, j in zip(at, at[1:], strict=False)]
+
+
+def _inside(a: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where the strings of a large array begin and the last ends, and their bytes."""
+    _, at, data = a.buffers()
+    return np.frombuffer(at, np.int64)[a.offset : a.offset + len(a) + 1], memoryview(data or b"")
+
+
+def _strings(at: np.ndarray, data: bytes | memoryview) -> pa.Array:
+    """The array of these strings."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(data)])
+
+
+def _parted(words: pa.Array, special: bool) -> pa.Array:
+    """Of each word what stands before the ASCII punctuation at its end, then this punctuation. A word is whole, and the second part empty, where the first would not end with a Latin-1 letter."""
+    at, data = _inside(words)
+    size = pc.binary_length(pc.ascii_rtrim(words, string.punctuation)).to_numpy()
+    end, read = at[:-1] + size, np.frombuffer(data, np.uint8)
+    last, before = (read[np.where(size >= k, end - k, 0)] * (size >= k) if len(read) else np.zeros(len(size), np.uint8) for k in (1, 2))
+    letter = (last | 32) - np.uint8(97) < 26
+    letter |= (before == 0xC3) & (last >= 0x80) & (last | 32 != 0xB7)
+    if special:
+        letter &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+    edges = np.empty(2 * len(size) + 1, np.int64)
+    edges[::2], edges[1::2] = at, np.where(letter, end, at[1:])
+    return _strings(edges, data)
 
 
 def reduce_by_dominance(count: dict[int, int], capacity: int) -> list[Pattern]:
@@ -245,17 +285,11 @@ def places(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
 
 def encoded(batch: pa.RecordBatch, model: WordTokenizer) -> Iterator[tuple[int | None, bytes]]:
     """Ids of the batch's texts, some texts at a time."""
-    keys: list[int | None] = []
-    texts: list[bytes] = []
-    held = 0
-    for i, text in rows_of(batch):
-        keys.append(i)
-        texts.append(text or b"")
-        held += len(texts[-1])
-        if held >= GROUP_BYTES:
-            yield from zip(keys, model.ids(texts), strict=True)
-            keys, texts, held = [], [], 0
-    yield from zip(keys, model.ids(texts), strict=True)
+    keys, texts = batch.column(0).to_pylist(), batch.column(1)
+    group = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64) // GROUP_BYTES
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist() if len(keys) else []
+    for at, end in zip(edges, edges[1:], strict=False):
+        yield from zip(keys[at:end], model.ids(texts.slice(at, end - at)), strict=True)
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
